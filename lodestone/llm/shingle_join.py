@@ -38,6 +38,8 @@ PERCENT = 75
 RARE = 32
 UNIVERSE = 0.34  # part of the token universe that step 1 counts
 STARS = 4
+FIRSTS = 64
+BITS = 16  # longs of a node's bitmap
 M64 = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
 LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
@@ -185,7 +187,7 @@ def signatures(unique: int, rare: list[int], frequent: list[int], n: int, level:
     for t in frequent:
         if need <= 0:
             break
-        seen = classes.setdefault((t >> 20) % m, [])
+        seen = classes.setdefault((t >> 20 & 0xFFFFFFFF) % m, [])
         if seen:
             need -= 1
             out += [(min(t, u) * BASE + max(t, u)) * 33 + level & M64 for u in seen]
@@ -200,19 +202,17 @@ def indexed(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     adaptive execution splits. A node's list is bounded by its own set."""
     rows = sets.select("node", F.explode("tokens").alias("token"))
     df = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token", F.least(F.col("df"), F.lit(RARE + 1)).cast("int").alias("df"))
-    shared = rows.join(df, "token").groupBy("node").agg(F.collect_list(F.struct("df", "token")).alias("shared"))
-    sized = shared.join(sets.select("node", F.size("tokens").alias("n")), "node")
+    shared = rows.join(df, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    listed = shared.select("node", F.col("shared.token").alias("shared"), F.size(F.filter("shared", lambda s: s["df"] <= RARE)).alias("rare"))
+    sized = listed.join(sets.select("node", F.size("tokens").alias("n")), "node")
 
     def make():
         def step(x):
             out = {"signature": [], "node": [], "n": []}
-            for node, n, shared in zip(x["node"], x["n"], x["shared"], strict=True):
-                order = sorted((s["df"] if s["df"] <= RARE else RARE + 1, s["token"] & M64) for s in shared)
-                rare = [t for d, t in order if d <= RARE]
-                frequent = [t for d, t in order if d > RARE]
+            for node, n, shared, k in zip(x["node"], x["n"], x["shared"], x["rare"], strict=True):
                 found: set[int] = set()
                 for level in levels(n, percent):
-                    found.update(signatures(n - len(order), rare, frequent, n, level, percent))
+                    found.update(signatures(n - len(shared), shared[:k], shared[k:], n, level, percent))
                 out["signature"] += [s - (1 << 64) if s >> 63 else s for s in found]
                 out["node"] += [node] * len(found)
                 out["n"] += [n] * len(found)
@@ -220,7 +220,7 @@ def indexed(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
 
         return step
 
-    made = stored(map_rows(sized.select("node", "n", "shared"), "signature long, node long, n int", make), "signatures")
+    made = stored(map_rows(sized.select("node", "n", "shared", "rare"), "signature long, node long, n int", make), "signatures")
     twice = made.groupBy("signature").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("signature")
     return made.join(twice, "signature")
 
@@ -233,6 +233,32 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("i"), (F.size("x") + F.size("y") - both).alias("u")).where(F.lit(100) * F.col("i") >= F.lit(percent) * F.col("u")).select("a", "b")
 
 
+def bitmaps(sets: DataFrame) -> DataFrame:
+    """node, z0 .. z15: a bit for the hash of each token. A bit of one set that another lacks stands for a missing token."""
+
+    def make():
+        def step(x):
+            out = {"node": x["node"]} | {f"z{i}": [] for i in range(BITS)}
+            for t in x["tokens"]:
+                bits = np.zeros(64 * BITS, np.uint8)
+                bits[(np.array(t, np.int64) >> 24) & (64 * BITS - 1)] = 1
+                for i, v in enumerate(np.packbits(bits).view(">i8").tolist()):
+                    out[f"z{i}"].append(v)
+            return out
+
+        return step
+
+    return map_rows(sets.select("node", "tokens"), "node long, " + ", ".join(f"z{i} long" for i in range(BITS)), make)
+
+
+def bounded(n: str, m: str, percent: int = PERCENT) -> str:
+    """SQL on z0.. and y0..: neither set provably lacks more of the other's tokens than sets of n and m may:
+    linked sets share at least t (n + m) / (1 + t)."""
+    lacks = lambda a, b: " + ".join(f"bit_count({a}{i} & ~{b}{i})" for i in range(BITS))
+    least = f"(({n} + {m}) * {percent} + {99 + percent}) DIV {100 + percent}"
+    return f"{lacks('z', 'y')} <= {n} - {least} AND {lacks('y', 'z')} <= {m} - {least}"
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """id, root (smallest id reachable) of every id in the edges (a, b): smallest labels by rounds, with pointer jumps."""
     both = stored(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
@@ -278,11 +304,16 @@ def linked_components(index: DataFrame, sets: DataFrame, percent: int = PERCENT,
         if not merge(placed.join(open_, "signature").where("comp != pc AND " + similar("n", "m", percent)).select(F.col("node").alias("a"), "b")):
             break
     # what is left: members outside a group's largest component against all members in other components
-    placed = stored(index.join(comp, "node"), "placed")
-    parts = placed.groupBy("signature", "comp").agg(F.count("*").alias("k"))
-    largest = parts.groupBy("signature").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    minor = placed.join(largest, "signature").where("comp != main").select("signature", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("pc"))
-    merge(placed.join(minor, "signature").where("comp != pc AND " + similar("n", "m", percent)).select(F.col("node").alias("a"), "b"))
+    closed = index.join(comp, "node")
+    parts = closed.groupBy("signature", "comp").agg(F.count("*").alias("k"))
+    largest = parts.groupBy("signature").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("signature", "main")
+    held = closed.join(largest, "signature")
+    # a pair comes once, at the first of its shared signatures; FIRSTS a node are enough to tell for nearly all pairs
+    firsts = held.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("signature")), 1, FIRSTS).alias("zs"))
+    placed = stored(held.join(bitmaps(sets).join(firsts, "node"), "node"), "placed")
+    minor = placed.where("comp != main").select("signature", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("pc"), F.col("zs").alias("ys"), *[F.col(f"z{i}").alias(f"y{i}") for i in range(BITS)])
+    once = " AND coalesce(array_min(array_intersect(zs, ys)), signature) = signature"
+    merge(placed.join(minor, "signature").where("comp != pc AND " + similar("n", "m", percent) + " AND " + bounded("n", "m", percent) + once).select(F.col("node").alias("a"), "b"))
     return comp
 
 
