@@ -55,6 +55,7 @@ def mixer(x: np.ndarray) -> np.ndarray:
 
 
 BYTE = mixer(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
+STEPS = mixer(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)  # odd factors of the words of a shingle
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -93,10 +94,13 @@ def shingles(text: str, n: int = WORDS) -> np.ndarray:
     if not len(w):
         return w
     n = min(n, len(w))
-    h = np.full(len(w) - n + 1, len(w) if len(w) < WORDS else 0, np.uint64)
-    for i in range(n):
-        h = mixer(h * np.uint64(BASE) + w[i : len(w) - n + 1 + i])
-    return np.unique(h)
+    k = len(w) - n + 1
+    h = w[:k] * STEPS[0]
+    for i in range(1, n):
+        h += w[i : k + i] * STEPS[i]
+    h = mixer(h + np.uint64(n))
+    h.sort()
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 def node_of(s: np.ndarray) -> int:
