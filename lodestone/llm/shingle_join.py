@@ -37,7 +37,7 @@ WORDS = 5
 PERCENT = 75
 RARE = 32
 UNIVERSE = 0.34  # part of the token universe that step 1 counts
-STARS = 4
+STARS = 2
 FIRSTS = 64
 BITS = 16  # longs of a node's bitmap
 M64 = (1 << 64) - 1
