@@ -38,7 +38,7 @@ PERCENT = 75
 RARE = 32
 UNIVERSE = 0.34  # part of the token universe that step 1 counts
 STARS = 2
-FIRSTS = 64
+FIRSTS = 16
 BITS = 16  # longs of a node's bitmap
 M64 = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -301,14 +301,19 @@ def linked_components(index: DataFrame, sets: DataFrame, percent: int = PERCENT,
         comp = stored(comp.join(roots.select(F.col("id").alias("comp"), "root"), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "comp")
         return True
 
+    # placed: the index with each node's component; a signature within one component is done and leaves
+    placed = index.withColumn("comp", F.col("node"))
     for turn in range(stars):
-        placed = index.join(comp, "node")
         pivot = F.min_by(F.struct("node", "n", "comp"), F.xxhash64("node", F.lit(turn))).alias("p")
         open_ = placed.groupBy("signature").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), pivot).where("c < d").select("signature", F.col("p.node").alias("b"), F.col("p.n").alias("m"), F.col("p.comp").alias("pc"))
-        if not merge(placed.join(open_, "signature").where("comp != pc AND " + similar("n", "m", percent)).select(F.col("node").alias("a"), "b")):
+        found = merge(placed.join(open_, "signature").where("comp != pc AND " + similar("n", "m", percent)).select(F.col("node").alias("a"), "b"))
+        now = placed.drop("comp").join(comp, "node")
+        still = now.groupBy("signature").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c < d").select("signature")
+        placed = stored(now.join(still, "signature"), "open")
+        if not found:
             break
     # what is left: members outside a group's largest component against all members in other components
-    closed = index.join(comp, "node")
+    closed = placed
     parts = closed.groupBy("signature", "comp").agg(F.count("*").alias("k"))
     largest = parts.groupBy("signature").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("signature", "main")
     held = closed.join(largest, "signature")
