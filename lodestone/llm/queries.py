@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anisotropic, cdc, dac, matroska, mixing, pow2_packing, prefix_counts, quality, secrets, shingle_join
+from . import anisotropic, cdc, dac, matroska, mixing, pow2_packing, prefix_counts, quality, secrets, shingle_join, sql
 from .common import new_path, tune
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -71,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_temperature_mix": sql.MIX, "op10_combination_join": sql.COMPONENTS}
