@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, stored, texts
+from .common import join_small, map_rows, stored, texts
 
 WORDS = 5
 PERCENT = 75
@@ -343,14 +343,13 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id.
 
-    Of rows that share the kept doc_id the first by text stays; rows whose doc_id is null all stay. Texts move
-    once, to meet the ids that stay."""
-    known = docs.where("doc_id IS NOT NULL")
-    table = components(known, percent)
-    kept = stored(table.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("_rows")).where("doc_id = c").select("doc_id", "_rows"), "kept")
-    rows = known.join(kept, "doc_id")
-    if not kept.where("_rows > 1").limit(1).count():
-        return rows.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    Of rows that share the kept doc_id the first by text stays; rows whose doc_id is null all stay. Only the ids
+    that go or repeat meet the texts, by broadcast while they are few (counted), else by a shuffled join."""
+    table = components(docs.where("doc_id IS NOT NULL"), percent).groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("_rows"))
+    changed = stored(table.where("doc_id != c OR _rows > 1").select("doc_id", "_rows", (F.col("doc_id") == F.col("c")).alias("_stays")), "changed")
+    rows = join_small(docs, changed, ["doc_id"], "left").where("_stays IS NULL OR _stays")
+    if not changed.where("_stays").limit(1).count():
+        return rows.select(*docs.columns)
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    first = rows.where("_rows > 1").withColumn("_nth", nth).where("_nth = 1")
-    return rows.where("_rows = 1").select(*docs.columns).unionByName(first.select(*docs.columns)).unionByName(docs.where("doc_id IS NULL"))
+    first = rows.where("_stays").withColumn("_nth", nth).where("_nth = 1")
+    return rows.where("_stays IS NULL").select(*docs.columns).unionByName(first.select(*docs.columns))
