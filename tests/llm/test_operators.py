@@ -474,6 +474,13 @@ def test_components_of_documents(spark, odd, none):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "3", "4", "5", "6", "8", "10", "None"])
 
 
+def test_keep_one_by_a_shuffled_join(spark, odd, monkeypatch):
+    want = sorted(map(str, shingle_join.keep_one(odd).collect()))
+    joined = shingle_join.join_small
+    monkeypatch.setattr(shingle_join, "join_small", lambda *a: joined(*a, most=0))
+    assert sorted(map(str, shingle_join.keep_one(odd).collect())) == want
+
+
 def test_signatures_share_whenever_sets_link():
     rng = random.Random(9)
     for _ in range(4000):
