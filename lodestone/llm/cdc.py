@@ -102,25 +102,33 @@ def repeating(table: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame, least: int = LEAST, mean: int = MEAN, most: int = MOST) -> DataFrame:
-    """One row a repeated passage: doc_id, start_byte, end_byte, n_chunks, first_doc and last_doc (documents that
-    share its chunks), in_first (it is the copy to keep: no smaller doc_id holds any of its chunks)."""
+    """One row a repeated part of a passage: doc_id, start_byte, end_byte, n_chunks, first_doc and last_doc (documents
+    that share its chunks), in_first (this is the copy to keep).
+
+    A gapless run of repeating chunks is parted where its chunks go from those that a smaller doc_id holds to those
+    that none does. Of the former a part of under `least` bytes is a phrase, and stays with what it is in; so every
+    chunk stays in its own first document, and each run of `least` bytes has a part of as many."""
     table = chunks(docs, mean, most)
     marked = table.join(repeating(table), "digest").select(
         "doc_id", F.expr("shiftright(place, 41)").cast("int").alias("row"), F.expr("shiftright(place, 9) & 4294967295").alias("at"), F.expr("place & 511").alias("size"), "first_doc", "last_doc"
     )
     by_doc = Window.partitionBy("doc_id", "row").orderBy("at")
+    own = F.col("doc_id") == F.col("first_doc")
     fresh = F.when(F.lag(F.col("at") + F.col("size")).over(by_doc) == F.col("at"), 0).otherwise(1)
-    runs = marked.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(by_doc))
-    return (
-        runs.groupBy("doc_id", "row", "run")
-        .agg(F.min("at").alias("start_byte"), F.max(F.col("at") + F.col("size")).alias("end_byte"), F.count("*").alias("n_chunks"), F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc"))
-        .where(F.col("end_byte") - F.col("start_byte") >= least)
-        .select("doc_id", "start_byte", "end_byte", "n_chunks", "first_doc", "last_doc", (F.col("doc_id") == F.col("first_doc")).alias("in_first"))
-    )
+    turn = F.when((F.col("fresh") == 0) & F.lag("in_first").over(by_doc).eqNullSafe(F.col("in_first")), 0).otherwise(1)
+    runs = marked.withColumns({"fresh": fresh, "in_first": own}).withColumn("turn", turn).withColumns({"run": F.sum("fresh").over(by_doc), "part": F.sum("turn").over(by_doc)})
+    ends = (F.min("start_byte").alias("start_byte"), F.max("end_byte").alias("end_byte"), F.sum("n_chunks").alias("n_chunks"), F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc"), F.first("in_first").alias("in_first"))
+    size = F.col("end_byte") - F.col("start_byte")
+    parts = runs.withColumns({"start_byte": F.col("at"), "end_byte": F.col("at") + F.col("size"), "n_chunks": F.lit(1)}).groupBy("doc_id", "row", "run", "part").agg(*ends)
+    parts = parts.withColumn("in_first", F.col("in_first") | (F.col("doc_id").isNotNull() & (size < least)))
+    by_run = Window.partitionBy("doc_id", "row", "run").orderBy("start_byte")
+    turn = F.when(F.lag("in_first").over(by_run).eqNullSafe(F.col("in_first")), 0).otherwise(1)
+    joined = parts.withColumn("turn", turn).withColumn("part", F.sum("turn").over(by_run)).groupBy("doc_id", "row", "run", "part").agg(*ends)
+    return joined.where(size >= least).select("doc_id", "start_byte", "end_byte", "n_chunks", "first_doc", "last_doc", "in_first")
 
 
 def cut_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """docs with repeated passages removed from every document but the one with the smallest doc_id; all columns stay."""
+    """docs with the parts of passages that documents of smaller doc_id hold removed; all columns stay."""
     found = repeats(docs, least).where(~F.col("in_first")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_byte", "end_byte"))).alias("_cut"))
     joined = docs.join(stored(found, "cuts"), "doc_id", "left")
     raw = F.encode(F.col("text"), "UTF-8")

@@ -213,6 +213,26 @@ def test_repeats(spark, odd, none):
     assert cdc.repeats(none).count() == 0
 
 
+def test_copies_that_share_a_phrase_or_a_passage_with_a_smaller_id(spark):
+    rng = random.Random(12)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(n))
+    phrase, passage, one, two = prose(12), prose(60), prose(100), prose(100)
+    texts = {0: f"{prose(50)} {phrase} {prose(50)}", 1: f"{prose(50)} {passage} {prose(50)}"}
+    texts |= dict.fromkeys((2, 5, 7), f"{one} {phrase} {two}") | dict.fromkeys((3, 6, 8), f"{one[::-1]} {passage} {two[::-1]}")
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = cdc.repeats(docs).collect()
+    bytes_of = lambda i, keep: sum(r["end_byte"] - r["start_byte"] for r in got if r["doc_id"] == i and r["in_first"] == keep)
+    assert bytes_of(2, True) == len(texts[2]) and bytes_of(2, False) == 0
+    assert bytes_of(3, True) > len(one + two) - cdc.MOST and 112 <= bytes_of(3, False) <= len(passage) + 2
+    for i in (5, 6, 7, 8):
+        assert bytes_of(i, True) == 0 and bytes_of(i, False) == len(texts[i])
+    cut = {r["doc_id"]: r["text"] for r in cdc.cut_repeats(docs).collect()}
+    assert all(cut[i] == texts[i] for i in (0, 1, 2)) and all(cut[i] == "" for i in (5, 6, 7, 8))
+    assert cut[3].startswith(one[::-1]) and cut[3].endswith(two[::-1]) and len(cut[3]) < len(texts[3]) - 112
+    chunked = lambda t: {t[i:j] for i, j in zip([0, *cdc.cuts(t.encode())], cdc.cuts(t.encode()), strict=False)}
+    assert all(any(c in t for t in cut.values()) for t in texts.values() for c in chunked(t))
+
+
 # 5 ---------------------------------------------------------------------------------------------------
 def test_quality_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
