@@ -9,7 +9,8 @@ in code points. The battery looks at every other run of 20 or more encoding char
    deviate; a run stays a candidate unless one of three Bonferroni-corrected tests rejects it at ALPHA.
 3. Against written language: pairs of equal characters are expected at the corpus's own rate (the index of
    coincidence of all lower-case candidate strings, LANGUAGE_RATE at least); the lower tail of the observed
-   count gives the p-value that language wrote it.
+   count gives the p-value that language wrote it. What language writes with the letters a to f alone repeats
+   them far more often, so the hexadecimal encodings are held against HEX_RATE at least.
 4. Length-aware control: p-values are divided by weights in proportion to length (mean 1 over all distinct
    candidates), as in weighted Benjamini-Hochberg, at rate FDR over all candidates of the corpus. Ranks are
    cumulative counts of p-values in steps of 0.01 of their logarithm, so nothing is sorted globally.
@@ -40,6 +41,8 @@ ALPHABETS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-",
 }
 LANGUAGE_RATE = 0.065
+# Sum of squared shares among a to f in English text (8.17, 1.49, 2.78, 4.25, 12.70, 2.23 %); random hex has 0.0625.
+HEX_RATE = 0.26
 ALPHA = 0.001
 FDR = 0.01
 MASK = "[SECRET]"
@@ -123,10 +126,11 @@ def false_discovery(tested: DataFrame, fdr: float = FDR) -> DataFrame:
     Only sums reach the driver: one row an encoding, the mean length, and the least significant step of log p."""
     rates = {r["encoding"]: max(LANGUAGE_RATE, (r["equal"] or 0.0) / r["pairs"]) for r in tested.groupBy("encoding").agg(F.sum("equal").alias("equal"), F.sum("pairs").alias("pairs")).collect() if r["pairs"] and r["encoding"] == "lower"}
     sums = tested.agg(F.count("*").alias("c"), F.avg("n").alias("n")).first()
-    rate = F.lit(rates.get("lower", LANGUAGE_RATE))
-    z = (F.col("pairs") * rate - F.col("equal")) / F.sqrt(F.col("pairs") * rate * (1 - rate))
-    p = F.greatest(tail(z), F.lit(1e-300)) / (F.col("n") / F.lit(sums["n"] or 1.0))
-    judged = tested.withColumn("step", F.floor(F.least(F.lit(30000.0), F.greatest(F.lit(0.0), -100 * F.log10(p)))))
+    least = rates.get("lower", LANGUAGE_RATE)
+    rate = F.when(F.col("m") == 16, F.lit(max(HEX_RATE, least))).otherwise(F.lit(least))
+    z = (F.col("pairs") * F.col("_rate") - F.col("equal")) / F.sqrt(F.col("pairs") * F.col("_rate") * (1 - F.col("_rate")))
+    p = F.greatest(tail(F.col("_z")), F.lit(1e-300)) / (F.col("n") / F.lit(sums["n"] or 1.0))
+    judged = tested.withColumn("_rate", rate).withColumn("_z", z).withColumn("step", F.floor(F.least(F.lit(30000.0), F.greatest(F.lit(0.0), -100 * F.log10(p)))))
     # at most 30,001 steps: the largest p-value whose rank allows it
     ranked = judged.groupBy("step").agg(F.count("*").alias("k")).select("step", F.sum("k").over(Window.orderBy(F.col("step").desc())).alias("rank"))
     best = ranked.where(F.pow(F.lit(10.0), -F.col("step") / 100) <= fdr * F.col("rank") / F.lit(max(1, sums["c"]))).agg(F.min("step").alias("s")).first()["s"]
@@ -138,10 +142,12 @@ def scan(docs: DataFrame, *keep: str, fdr: float = FDR) -> DataFrame:
     """Kept columns, base and found (base and accepted runs): arrays of (start, stop, kind, value) by start, then kind.
 
     Texts are read once: spans are written to the shared folder with a row number that the table fixes, and
-    corpus counts, decisions and the way back to the rows use that table. Each distinct string is tested once."""
+    corpus counts, decisions and the way back to the rows use that table. Each distinct string is tested once,
+    and what the tests gave is written too."""
     table = stored(base_scan(docs, *keep).withColumn("_row", F.monotonically_increasing_id()), "spans", compression="zstd")
     runs = table.where(F.size("runs") > 0).select("_row", F.explode("runs").alias("run"))
-    accepted = false_discovery(battery(runs.select("run.value").distinct()), fdr)
+    tested = stored(battery(runs.select("run.value").distinct()).select("value", "encoding", "n", "m", "pairs", "equal", "p_random"), "tested", compression="zstd")
+    accepted = false_discovery(tested, fdr)
     more = runs.withColumn("value", F.col("run.value")).join(accepted, "value").groupBy("_row").agg(F.collect_list("run").alias("more"))
     plain = table.where(F.size("runs") == 0).select(*keep, "base", F.col("base").alias("found"))
     rest = table.where(F.size("runs") > 0).join(more, "_row", "left").select(*keep, "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more"))).alias("found"))

@@ -418,6 +418,17 @@ def test_random_strings_are_found_and_language_is_not(spark):
     assert sum(masked[i] == "key [SECRET] end" for i in range(30)) >= 28 and masked[100] == rows[30][1]
 
 
+def test_random_strings_of_every_alphabet_are_found(spark):
+    rng = random.Random(22)
+    kinds = [(a, 64) for a in secrets.ALPHABETS] + [("HEX", 32), ("HEX", 40), ("HEX", 128)]
+    rows = [(100 * k + i, f"key {''.join(rng.choice(secrets.ALPHABETS[a]) for _ in range(n))} end") for k, (a, n) in enumerate(kinds) for i in range(30)]
+    rows += [(-1 - i, t) for i, t in enumerate(["DEADBEEFDEADBEEFCAFE FACADEDECADEFACADEDECADE", "ACCEDEDBEADEDDEFACEDFADED", "internationalresponsibility"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["f"].split(",") for r in secrets.scan(docs, "doc_id").select("doc_id", secrets.listing(F.col("found")).alias("f")).collect()}
+    found = {kind: sum(any(s.endswith(f":4:{4 + kind[1]}") for s in got[100 * k + i]) for i in range(30)) for k, kind in enumerate(kinds)}
+    assert min(found.values()) >= 28 and not any(got[k] != [""] for k in (-1, -2, -3)), found
+
+
 def test_redact_overlaps(spark, odd):
     t = "é password=0123456789abcdef0123 and 0123456789abcdef."
     docs = spark.createDataFrame([(1, t, "k"), (2, None, "k"), (3, "plain", None)], "doc_id long, text string, source string")
