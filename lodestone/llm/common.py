@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Rows of text in one Arrow batch; documents can be long, so the default of 10,000 is too many.
 BATCH_ROWS = 1000
+#: Bytes in memory (by size_bound) up to which a side is broadcast.
+BROADCAST = 32 << 20
 
 
 def tune(spark: SparkSession) -> None:
@@ -22,12 +27,17 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares: spark.checkpoint.dir, or where it is unset (tests) a temporary one."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder that the cluster shares: spark.checkpoint.dir. Only one machine by itself (local master, as in tests)
+    may leave it unset and gets a temporary folder; a cluster without it is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = getattr(shared_dir, "own", None)
         if root is None or not os.path.isdir(root):
             root = shared_dir.own = tempfile.mkdtemp(prefix="lodestone-")
+            atexit.register(shutil.rmtree, root, ignore_errors=True)
         root = "file://" + root
     return root.rstrip("/")
 
@@ -36,22 +46,65 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
 
 
+_scratch: list[list[str]] = []
+
+
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    if _scratch:
+        _scratch[-1].append(path)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def folders(df: DataFrame) -> set[str]:
+    """The stored() folders that a frame reads, by their names."""
+    return {f.rsplit("/", 2)[1] for f in df.inputFiles() if "/lodestone/" in f}
+
+
 def drop_stored(df: DataFrame) -> None:
-    """Removes the files of a frame made by stored(); callers do so once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/lodestone/" in f:
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Removes every stored() folder that df reads; for callers that have written or consumed df."""
+    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/lodestone/" in f}:
+        delete(df.sparkSession, f)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Removes what stored() wrote inside the block, but for the folders read by the frames put into the list."""
+    keep: list[DataFrame] = []
+    _scratch.append([])
+    try:
+        yield keep
+    finally:
+        paths = _scratch.pop()
+        held = set().union(*map(folders, keep)) if keep else set()
+        for p in paths:
+            if p.rsplit("/", 1)[1] not in held:
+                delete(spark, p)
+            elif _scratch:
+                _scratch[-1].append(p)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Each name with as many underscores before it as keep it apart from df's columns, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def texts(docs: DataFrame, *keep: str) -> DataFrame:
@@ -78,7 +131,14 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[dict], dic
 TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64()), "array<int>": pa.list_(pa.int32())}
 
 
-def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", most: int = 200_000) -> DataFrame:
-    """Joins a side that is usually small: written and counted first, broadcast only up to most rows, else joined by shuffle."""
+def size_bound(df: DataFrame) -> int:
+    """An upper bound of the bytes that df's rows take in memory: 16 a field, and 8 a character of a row as JSON, in
+    which any number, character or array element takes one at least."""
+    row = F.length(F.to_json(F.struct(*map(quoted, df.columns)), {"ignoreNullFields": "false"}))
+    return df.agg(F.sum(8 * row + 16 * len(df.columns)).alias("b")).first()["b"] or 0
+
+
+def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", most: int = BROADCAST) -> DataFrame:
+    """Joins a side that is usually small: written and measured first, broadcast only up to most bytes, else joined by shuffle."""
     small = stored(small, "side")
-    return big.join(F.broadcast(small) if small.count() <= most else small, on, how)
+    return big.join(F.broadcast(small) if size_bound(small) <= most else small.hint("merge"), on, how)

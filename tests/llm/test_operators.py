@@ -233,6 +233,79 @@ def test_copies_that_share_a_phrase_or_a_passage_with_a_smaller_id(spark):
     assert all(any(c in t for t in cut.values()) for t in texts.values() for c in chunked(t))
 
 
+def test_first_copy_keeps_overlaps(spark):
+    """A passage whose parts have different first holders stays somewhere whole."""
+    rng = random.Random(13)
+    x = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(200))
+    texts = {3: x[:600], 5: x, 9: x[500:]}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    cut = {r["doc_id"]: r["text"] for r in cdc.cut_repeats(docs).collect()}
+    chunked = lambda t: {t[i:j] for i, j in zip([0, *cdc.cuts(t.encode())], cdc.cuts(t.encode()), strict=False)}
+    assert all(any(c in t for t in cut.values()) for c in set().union(*map(chunked, texts.values())))
+
+
+def brute_passages(rows, least=cdc.LEAST):
+    """Chunks by dictionary, then runs and their parts chunk by chunk: (doc_id, start, end, chunks, first, last, in_first)."""
+    holders = defaultdict(set)
+    placed = {}
+    for k, t in set(rows):
+        raw, at = t.encode(), 0
+        placed[k, t] = []
+        for e in cdc.cuts(raw).tolist():
+            placed[k, t].append((at, e, raw[at:e]))
+            holders[raw[at:e]].add(k)
+            at = e
+    out = []
+    for (k, _), parts in placed.items():
+        runs, last_end = [], None
+        for i, j, c in parts:
+            h = holders[c] - {None}
+            if k is None or len(h) < 2:
+                continue
+            piece = [i, j, 1, min(h), max(h), min(h) == k]
+            if last_end == i and runs:
+                runs[-1].append(piece)
+            else:
+                runs.append([piece])
+            last_end = j
+        for run in runs:
+            for turn in (0, 1):
+                merged = []
+                for p in run:
+                    if merged and merged[-1][5] == p[5]:
+                        m = merged[-1]
+                        merged[-1] = [m[0], p[1], m[2] + p[2], min(m[3], p[3]), max(m[4], p[4]), m[5]]
+                    else:
+                        merged.append(list(p))
+                run = [[*p[:5], p[5] or p[1] - p[0] < least] for p in merged] if not turn else merged
+            out += [(k, *p) for p in run if p[1] - p[0] >= least]
+    return sorted(out)
+
+
+def test_all_passages_of_documents(spark, odd):
+    repeated = small(spark).select("doc_id", "text").unionByName(small(spark).select("doc_id", "text").where("doc_id % 3 = 0"))
+    for docs in (small(spark), repeated, odd):
+        assert sorted(map(tuple, cdc.repeats(docs).collect())) == brute_passages(pairs(docs))
+
+
+def test_cut_repeats_keeps_rows_characters_and_columns(spark, odd):
+    rng = random.Random(14)
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    shared = han(120)
+    rows = [(i, f"{han(80)}{shared}{han(80)}", "x", 1, "s") for i in range(30)] + [(7, "p", "x", 1, "s"), (7, "an unrelated text", "x", 1, "s"), (8, None, "x", 1, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string, _cut int, Spans string")
+    got = cdc.cut_repeats(docs)
+    assert got.columns == docs.columns
+    texts = defaultdict(list)
+    for r in got.collect():
+        texts[r["doc_id"]].append(r["text"])
+    assert texts[0] == [rows[0][1]] and {"p", "an unrelated text"} <= set(texts[7]) and None in texts[8]
+    for i in range(1, 30):
+        longest = max((t or "" for t in texts[i]), key=len)
+        assert len(longest) <= 280 - 60 and longest.startswith(rows[i][1][:60]) and longest.endswith(rows[i][1][-60:]) and set(longest) <= set(rows[i][1])
+    assert sorted(map(str, cdc.cut_repeats(odd.where("doc_id < 2")).collect())) == sorted(map(str, odd.where("doc_id < 2").collect()))
+
+
 # 5 ---------------------------------------------------------------------------------------------------
 def test_quality_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
