@@ -4,22 +4,28 @@ Cells come from k-means on a bounded sample; a vector's residual to its cell cen
 16 codes (4 bits) a block of two dimensions. Codebooks and codes minimise eta * |parallel error|^2 +
 |orthogonal error|^2, the parallel direction being the vector's own: errors along it change large inner
 products most. A query visits the cells whose centres promise most, scans 4-bit codes by table look-ups, and
-reranks the best of each block exactly in double precision on the original vectors.
+reranks the best of each block exactly in double precision on the original vectors. A cell promises its centre's
+inner product and, on top, the maximum to expect from its spread.
+
+How many cells a query visits is measured on the sample: as many as held REACH of the sample's own true
+neighbours. Clustered vectors need a few cells, so work grows far slower than rows times queries; directions
+without clusters need most cells, as for them no partition tells near from far.
 
 The model is fitted on the driver from at most SAMPLE rows (those of smallest hash) and has bounded size;
-every row is indexed. Rows are dealt to blocks (cell, slice) of about BLOCK rows, so a crowded cell becomes
-several blocks that a query visits all. In a task a block's rows come before its queries, which stream: no
-group is gathered beyond BLOCK index rows. Of rows with one and the same vector only the depth + 1 smallest
-ids can be among anyone's nearest, so the others leave before the blocks; that drops no answer.
-
-Rows with a null id, null or zero vectors, null or non-finite components, or another dimension than the first
-row's by id take no part. Rows with the same id and vector count once; those with the same id and different
-vectors are different candidates, none of which is a candidate for a query of that id.
+every row is indexed. Cells hold about BLOCK rows; a crowded cell becomes several blocks that a query visits all.
+In a task a block's rows come before its queries, which stream: no group is gathered beyond BLOCK index rows
+(about: slices are dealt by hash). Of rows with one and the same vector only the depth + 1 smallest ids can be
+among anyone's nearest, so the others leave before the blocks; that drops no answer.
+
+Inner products exist between vectors of the same dimension only: each dimension is a table of its own, one with up
+to BLOCK vectors searched exactly by an equi-join on the dimension. Rows with a null id, null or zero vectors, null
+or non-finite components take no part; an empty table gives no rows; other columns are not read. Repeated rows count
+once. Rows with the same id and different vectors are one candidate and one query: the nearness of two ids is the
+largest inner product between their vectors (of the same dimension).
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,18 +33,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, stored
+from .common import join_small, scratch, stored
 
 SAMPLE = 16_384
-BLOCK = 512
+BLOCK = 2048
 DEPTH = 20
 WIDTH = 2  # dimensions in a quantised block
 CODES = 16
 THRESHOLD = 0.2  # the share of a vector's norm at which inner products start to matter; sets eta
-RERANK = 64  # candidates of a block that are scored exactly
-PROBE = 0.75  # share of the cells that a query visits, at least PROBE_LEAST; directions without clusters need this much for a recall of 0.95, clustered vectors far less
-PROBE_LEAST = 8
-CELLS_MOST = 4096
+RERANK = 192  # candidates of a block that are scored exactly
+REACH = 0.97  # share of the sample's true neighbours that the visited cells must have held
+ASKED = 512  # sample rows that serve as queries for that
+CELLS_MOST = 1024
+TASKS = 50_000  # tasks of a scan at most; below that a block each, as the work is in the blocks and not in the bytes
+DIMENSIONS = 64  # dimensions with more than BLOCK vectors that one table may have
 
 
 def clean(table: DataFrame) -> DataFrame:
@@ -47,8 +55,7 @@ def clean(table: DataFrame) -> DataFrame:
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(
         "vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('inf')) AND exists(v, x -> x != 0)"
     )
-    first = rows.orderBy("vec_id").select(F.size("v").alias("d")).first()
-    return rows.where(F.size("v") == (first["d"] if first else 0)).dropDuplicates(["vec_id", "v"])
+    return rows.dropDuplicates(["vec_id", "v"])
 
 
 def distinct_enough(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -59,7 +66,7 @@ def distinct_enough(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
 class Model:
     """Centres and anisotropic codebooks."""
 
-    def __init__(self, x: np.ndarray, cells: int, seed: int = 7, rounds: int = 8):
+    def __init__(self, x: np.ndarray, cells: int, seed: int = 7, rounds: int = 6):
         rng = np.random.default_rng(seed)
         n, d = x.shape
         self.d = d
@@ -69,10 +76,14 @@ class Model:
             for c in range(len(self.centres)):
                 if (near == c).any():
                     self.centres[c] = x[near == c].mean(0)
+        near = self.cell(x)
+        size = np.bincount(near, minlength=len(self.centres))
+        spread = np.bincount(near, ((x - self.centres[near]) ** 2).sum(1), len(self.centres)) / np.maximum(size, 1) / d
+        self.lift = np.sqrt(spread * 2 * np.log(np.maximum(size, 1)))  # what the best of a cell may add, for a query of norm 1
         self.cuts = [(i, min(i + WIDTH, d)) for i in range(0, d, WIDTH)]
         # weight of the parallel error for a threshold t: (d - 1) t^2 / (1 - t^2), at least 1
         self.eta = max(1.0, (d - 1) * THRESHOLD**2 / (1 - THRESHOLD**2))
-        r = x - self.centres[self.cell(x)]
+        r = x - self.centres[near]
         unit = x / np.linalg.norm(x, axis=1, keepdims=True)
         self.books = []
         for i, j in self.cuts:
@@ -82,27 +93,44 @@ class Model:
             codes = self.codes(r, unit)
             self.update(r, unit, codes)
 
-    def cell(self, x: np.ndarray) -> np.ndarray:
-        return ((self.centres**2).sum(1)[None, :] - 2 * x @ self.centres.T).argmin(1)
+    def cell(self, x: np.ndarray, rows: int = 1024) -> np.ndarray:
+        square = (self.centres**2).sum(1)
+        return np.concatenate([(square - 2 * x[i : i + rows] @ self.centres.T).argmin(1) for i in range(0, len(x), rows)]) if len(x) else np.zeros(0, np.int64)
+
+    def promise(self, q: np.ndarray) -> np.ndarray:
+        """The largest inner product to expect in each cell: the centre's, and the expected maximum of the spread around it."""
+        return q @ self.centres.T + np.linalg.norm(q, axis=1, keepdims=True) * self.lift
+
+    def reach(self, x: np.ndarray, share: float = REACH, depth: int = DEPTH, asked: int = ASKED) -> int:
+        """Cells a query must visit so that `share` of the true neighbours of `asked` rows among x lie in them."""
+        cells, ranks = self.cell(x), []
+        for i in range(0, len(x), max(1, len(x) // asked)):
+            score = x @ x[i]
+            score[i] = -np.inf
+            near = np.argpartition(-score, min(depth, len(x) - 1) - 1)[:depth] if len(x) > 1 else np.zeros(0, np.int64)
+            order = np.empty(len(self.centres), np.int64)
+            order[np.argsort(-self.promise(x[i : i + 1])[0], kind="stable")] = np.arange(len(self.centres))
+            ranks.append(order[cells[near]])
+        return int(np.quantile(np.concatenate(ranks), share, method="higher")) + 1 if ranks and len(ranks[0]) else len(self.centres)
 
     def codes(self, r: np.ndarray, unit: np.ndarray, passes: int = 2) -> np.ndarray:
         """Codes by coordinate descent on the anisotropic loss |e|^2 + (eta - 1) (e . unit)^2."""
-        n = len(r)
+        n, row = len(r), np.arange(len(r))
         out = np.empty((n, len(self.cuts)), np.uint8)
-        along = np.zeros(n)
+        along = np.zeros(n)  # parallel error of the whole vector
+        square, part = [], []
         for b, (i, j) in enumerate(self.cuts):
-            e = r[:, None, i:j] - self.books[b][None]
-            k = (e**2).sum(2).argmin(1)
-            out[:, b] = k
-            along += (e[np.arange(n), k] * unit[:, i:j]).sum(1)
+            x, u, book = r[:, i:j], unit[:, i:j], self.books[b]
+            square.append((x**2).sum(1)[:, None] - 2 * x @ book.T + (book**2).sum(1))
+            part.append((x * u).sum(1)[:, None] - u @ book.T)
+            out[:, b] = square[b].argmin(1)
+            along += part[b][row, out[:, b]]
         for _ in range(passes):
-            for b, (i, j) in enumerate(self.cuts):
-                e = r[:, None, i:j] - self.books[b][None]
-                p = np.einsum("nkd,nd->nk", e, unit[:, i:j])
-                own = p[np.arange(n), out[:, b]]
-                loss = (e**2).sum(2) + (self.eta - 1) * (along[:, None] - own[:, None] + p) ** 2
-                k = loss.argmin(1)
-                along += p[np.arange(n), k] - own
+            for b in range(len(self.cuts)):
+                p = part[b]
+                own = p[row, out[:, b]]
+                k = (square[b] + (self.eta - 1) * ((along - own)[:, None] + p) ** 2).argmin(1)
+                along += p[row, k] - own
                 out[:, b] = k
         return out
 
@@ -138,31 +166,55 @@ def unpack_codes(packed: np.ndarray, blocks: int) -> np.ndarray:
     return out[:, :blocks]
 
 
-def fit(rows: DataFrame, count: int, sample: int = SAMPLE) -> Model | None:
-    """From at most sample rows; cells grow with the square root of the rows, up to CELLS_MOST."""
+def fit(rows: DataFrame, count: int, sample: int = SAMPLE) -> tuple[Model, int]:
+    """From at most sample rows: the model, with a cell for BLOCK rows up to CELLS_MOST, and the cells to visit."""
     picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()
-    if not picked:
-        return None
     x = np.array([r["v"] for r in picked])
-    return Model(x, max(1, min(CELLS_MOST, len(x), math.isqrt(count))))
+    model = Model(x, max(1, min(CELLS_MOST, len(x), count // BLOCK)))
+    return model, model.reach(x)
 
 
 def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def search(table: DataFrame, queries: str = "vec_id % 20 = 0", depth: int = DEPTH, rerank: int = RERANK, probe: float = PROBE, sample: int = SAMPLE) -> DataFrame:
-    """query_id, rank, vec_id, score of the rows that meet the SQL condition `queries`, against all rows."""
-    rows = stored(clean(table), "vectors")
-    empty = rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).where("false")
-    index = stored(distinct_enough(rows, depth), "candidates")
-    count = index.count()
-    model = fit(index, count, sample)
-    if model is None:
-        return empty
+def exact(index: DataFrame, asked: DataFrame, depth: int) -> DataFrame:
+    """query_id, vec_id, score of all pairs within a dimension; for dimensions of at most BLOCK vectors."""
+    q = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.size("v").alias("d"))
+    c = index.select("vec_id", "v", F.size("v").alias("d"))
+    product = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return q.join(c, "d").where("query_id != vec_id").select("query_id", "vec_id", product.alias("score"))
+
+
+def search(table: DataFrame, queries: str = "vec_id % 20 = 0", depth: int = DEPTH, rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
+    """query_id, rank, vec_id, score of the ids that meet the SQL condition `queries`, against all rows."""
     spark = table.sparkSession
+    with scratch(spark) as keep:
+        rows = stored(clean(table), "vectors")
+        index = stored(distinct_enough(rows, depth), "candidates")
+        counts = index.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"))
+        large = counts.where(F.col("n") > BLOCK).orderBy("d").limit(DIMENSIONS + 1).collect()
+        if len(large) > DIMENSIONS:
+            raise ValueError(f"more than {DIMENSIONS} dimensions with over {BLOCK} vectors each")
+        here = F.size("v").isin([r["d"] for r in large])
+        asked = rows.where(queries)
+        hits = exact(index.where(~here), asked.where(~here), depth)
+        for r in large:
+            own = F.size("v") == r["d"]
+            hits = hits.unionByName(approximate(index.where(own), asked.where(own), r["n"], depth, rerank, sample))
+        if rows.groupBy("vec_id").count().where("count > 1").limit(1).count():
+            hits = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+        out = hits.withColumn("rank", rank).where(F.col("rank") <= depth).select("query_id", "rank", "vec_id", "score")
+        keep.append(out)
+    return out
+
+
+def approximate(index: DataFrame, asked: DataFrame, count: int, depth: int, rerank: int, sample: int) -> DataFrame:
+    """query_id, vec_id, score: of each query and block that it visits the nearest `depth` ids, for vectors of one dimension."""
+    spark = index.sparkSession
+    model, visits = fit(index, count, sample)
     shared = spark.sparkContext.broadcast(model)  # bounded: CELLS_MOST centres and the codebooks
-    visits = min(len(model.centres), max(PROBE_LEAST, math.ceil(probe * len(model.centres))))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -175,19 +227,20 @@ def search(table: DataFrame, queries: str = "vec_id % 20 = 0", depth: int = DEPT
 
     coded = stored(index.mapInArrow(assign, "vec_id long, v array<double>, cell int, code binary"), "codes")
     slices = coded.groupBy("cell").agg(F.count("*").alias("n")).select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("slices"))
-    placed = join_small(coded, slices, ["cell"]).withColumn("slice", F.pmod(F.xxhash64("vec_id"), F.col("slices")).cast("int"))
+    blocks = slices.agg(F.sum("slices").alias("n")).first()["n"]
+    placed = join_small(coded, slices, ["cell"]).withColumn("slice", F.pmod(F.xxhash64("vec_id", "v"), F.col("slices")).cast("int"))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
             if b.num_rows:
-                best = np.argsort(-(matrix(b.column("v")) @ m.centres.T), axis=1, kind="stable")[:, :visits]
+                best = np.argsort(-m.promise(matrix(b.column("v"))), axis=1, kind="stable")[:, :visits]
                 yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(best.astype(np.int32).tolist(), pa.list_(pa.int32()))], ["vec_id", "v", "cells"])
 
-    asked = rows.where(queries).mapInArrow(route, "vec_id long, v array<double>, cells array<int>").withColumn("cell", F.explode("cells"))
+    asked = asked.mapInArrow(route, "vec_id long, v array<double>, cells array<int>").select("vec_id", "v", F.explode("cells").alias("cell"))
     asked = join_small(asked, slices, ["cell"]).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     both = placed.select("cell", "slice", F.lit(0).alias("kind"), "vec_id", "v", "code").unionByName(asked.select("cell", "slice", F.lit(1).alias("kind"), "vec_id", "v", F.lit(b"").alias("code")))
-    dealt = both.repartition("cell", "slice").sortWithinPartitions("cell", "slice", "kind", "vec_id")
+    dealt = both.repartition(min(blocks, TASKS), "cell", "slice").sortWithinPartitions("cell", "slice", "kind", "vec_id")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -213,21 +266,27 @@ def search(table: DataFrame, queries: str = "vec_id % 20 = 0", depth: int = DEPT
                     continue
                 if flat is None:
                     all_ids, all_vecs = np.concatenate(ids), np.concatenate(vecs)
-                    flat = unpack_codes(np.concatenate(codes), blocks).astype(np.int64) + offset
+                    flat = np.ascontiguousarray((unpack_codes(np.concatenate(codes), blocks).astype(np.intp) + offset).T)
+                    several = len(np.unique(all_ids)) < len(all_ids)
                 # the cell's centre adds the same to every row of the block
                 lut = m.tables(x)
                 rows_out: list[tuple] = []
                 for i in range(len(k)):
                     if len(all_ids) > rerank:
-                        near = np.argpartition(-lut[i][flat].sum(1), rerank - 1)[:rerank]
+                        # codes of a code block lie together, so each look-up is one gather and the sums run over rows
+                        guess = lut[i][flat[0]]
+                        for f in flat[1:]:
+                            guess += lut[i][f]
+                        near = np.argpartition(-guess, rerank - 1)[:rerank]
                     else:
                         near = np.arange(len(all_ids))
                     near = near[all_ids[near] != k[i]]
                     score = (all_vecs[near] * x[i]).sum(1)
-                    top = np.lexsort((all_ids[near], -score))[:depth]
+                    order = np.lexsort((all_ids[near], -score))
+                    if several:  # an id counts once, by its best vector
+                        order = order[np.sort(np.unique(all_ids[near][order], return_index=True)[1])]
+                    top = order[:depth]
                     rows_out.append((np.full(len(top), k[i]), all_ids[near][top], score[top]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows_out, strict=True)], ["query_id", "vec_id", "score"])
 
-    hits = dealt.mapInArrow(scan, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= depth).select("query_id", "rank", "vec_id", "score")
+    return dealt.mapInArrow(scan, "query_id long, vec_id long, score double")

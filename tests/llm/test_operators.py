@@ -369,10 +369,55 @@ def test_search_awkward(spark):
     got = anisotropic.search(df).where("query_id = 0").orderBy("rank").collect()
     assert [r["vec_id"] for r in got] == [200, *range(1, 20)]
     assert anisotropic.search(df.limit(0)).count() == 0
+    assert [(r["query_id"], r["vec_id"]) for r in anisotropic.search(df.where("vec_id = 0 OR vec_id = 204")).collect()] == []
     few = anisotropic.search(df.where("vec_id IN (0, 1)")).collect()
     assert [(r["query_id"], r["vec_id"], r["score"]) for r in few] == [(0, 1, 5.0)]
 
 
+def brute_ids(rows, depth=20):
+    """Nearness of two ids: the largest inner product of their vectors of the same dimension."""
+    best = defaultdict(dict)
+    for q, u in rows:
+        if q % 20 == 0:
+            for c, v in rows:
+                if c != q and len(u) == len(v):
+                    best[q][c] = max(best[q].get(c, -np.inf), float(np.dot(np.array(u, np.float32).astype(float), np.array(v, np.float32).astype(float))))
+    return {q: sorted(b.items(), key=lambda x: (-x[1], x[0]))[:depth] for q, b in best.items()}
+
+
+def test_search_of_mixed_dimensions_and_repeated_ids(spark, monkeypatch):
+    """Small dimensions are exact; the first row's dimension decides nothing; ids with several vectors come once."""
+    rng = np.random.default_rng(5)
+    rows = [(0, [2.0]), (0, rng.normal(size=3).tolist()), (1, [3.0])]
+    rows += [(i, rng.normal(size=3).round(2).tolist()) for i in range(1, 120)] + [(i, rng.normal(size=5).round(2).tolist()) for i in range(300, 400)]
+    rows += [(20, [1.0, 0.5, 0.5]), (20, [-1.0, 0.5, 2.0]), (33, [4.0, 4.0, 4.0]), (33, [5.0, 5.0, 5.0]), (33, [5.0, 5.0, 5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+
+    def found(**k):
+        got = defaultdict(list)
+        for r in anisotropic.search(df, **k).orderBy("query_id", "rank").collect():
+            assert r["rank"] == len(got[r["query_id"]]) + 1
+            got[r["query_id"]].append((r["vec_id"], r["score"]))
+        return got
+
+    same = lambda got, want: got.keys() == want.keys() and all([i for i, _ in got[q]] == [i for i, _ in want[q]] and np.allclose([s for _, s in got[q]], [s for _, s in want[q]]) for q in want)
+    assert same(found(), brute_ids(rows))
+    monkeypatch.setattr(anisotropic, "BLOCK", 40)  # the larger dimensions go by cells; with all cells visited and reranked they are exact too
+    monkeypatch.setattr(anisotropic.Model, "reach", lambda self, x: len(self.centres))
+    assert same(found(rerank=10**6), brute_ids(rows))
+
+
+def test_clustered_vectors_need_few_cells():
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(64, 32)) * 4
+    x = centres[rng.integers(0, 64, 8000)] + rng.normal(size=(8000, 32)) * 0.3
+    m = anisotropic.Model(x, 64)
+    assert m.reach(x) <= 12
+    flat = rng.normal(size=(8000, 32))
+    flat /= np.linalg.norm(flat, axis=1, keepdims=True)
+    assert anisotropic.Model(flat, 64).reach(flat) > 16
+
+
 def test_anisotropic_codes_keep_parallel_error_small():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(3000, 16))
