@@ -46,6 +46,7 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
 
 
+_made: set[str] = set()  # folders that stored() of this process wrote; nothing else is ever removed
 _scratch: list[list[str]] = []
 
 
@@ -53,6 +54,7 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    _made.add(path.rsplit("/", 1)[1])
     if _scratch:
         _scratch[-1].append(path)
     df.write.options(**options).parquet(path)
@@ -64,15 +66,16 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def folders(df: DataFrame) -> set[str]:
-    """The stored() folders that a frame reads, by their names."""
-    return {f.rsplit("/", 2)[1] for f in df.inputFiles() if "/lodestone/" in f}
+def folders(df: DataFrame) -> dict[str, str]:
+    """The stored() folders that a frame reads: name to path."""
+    paths = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    return {p.rsplit("/", 1)[1]: p for p in paths if p.rsplit("/", 1)[1] in _made}
 
 
 def drop_stored(df: DataFrame) -> None:
     """Removes every stored() folder that df reads; for callers that have written or consumed df."""
-    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/lodestone/" in f}:
-        delete(df.sparkSession, f)
+    for p in folders(df).values():
+        delete(df.sparkSession, p)
 
 
 @contextmanager

@@ -16,7 +16,9 @@ from lodestone.llm import anisotropic, cdc, dac, matroska, mixing, pow2_packing,
 from tests.conftest import MEDIUM, SMALL
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, start string, node string, value string, _row string, n string"
+# extra columns named like those that the operators use inside
+CLASHES = "start node value _row n runs base found more _text kept row score _score spans _cut stays _stays nth _nth n_rows _rows _source source_name tokens _tokens chosen one block order _ends _n _copy".split()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES)
 LONG = " ".join(f"word{i} lorem" for i in range(20000))
 
 
@@ -30,7 +32,7 @@ def odd(spark):
     """Nulls, empty and very long texts, ties, repeated rows and clashing extra columns."""
     one = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
     rows = [(1, one), (2, one), (2, one), (3, None), (4, ""), (5, " \n\t "), (6, LONG), (7, one + " omega"), (8, "a b"), (9, "A  b"), (None, "nobody's text"), (10, "password=abcdefghijkl <|endoftext|> é日本\x85 x"), (11, one.upper())]
-    return spark.createDataFrame([(k, t, None, "s" if k and k % 2 else None, None, "x", "y", "z", "r", "n") for k, t in rows], SCHEMA)
+    return spark.createDataFrame([(k, t, None, "s" if k and k % 2 else None, None, *CLASHES) for k, t in rows], SCHEMA)
 
 
 @pytest.fixture(scope="module")
@@ -59,6 +61,75 @@ def test_media_round_trip(spark, odd, none):
     assert matroska.media_features(matroska.media_store(none)).count() == 0
 
 
+def plain_media(payload):
+    """The stored form written byte by byte: an 8-bit PCM track, clusters of eight blocks of eight frames of 1024 bytes."""
+    size = lambda n: next((n | 1 << 7 * w).to_bytes(w, "big") for w in range(1, 9) if n < (1 << 7 * w) - 1)
+    el = lambda h, body: bytes.fromhex(h) + size(len(body)) + body
+    num = lambda h, n: el(h, n.to_bytes(max(1, (n.bit_length() + 7) // 8), "big"))
+    head = el("1a45dfa3", num("4286", 1) + num("42f7", 1) + num("42f2", 4) + num("42f3", 8) + el("4282", b"matroska") + num("4287", 4) + num("4285", 2))
+    audio = el("e1", el("b5", bytes.fromhex("40bf400000000000")) + num("9f", 1) + num("6264", 8))
+    body = el("1549a966", num("2ad7b1", 1000000)) + el("1654ae6b", el("ae", num("d7", 1) + num("73c5", 1) + num("83", 2) + el("86", b"A_PCM/INT/LIT") + audio))
+    frames, cues, blocks = [payload[i : i + 1024] for i in range(0, len(payload), 1024)], b"", 0
+    for c in range(0, len(frames), 64):
+        cluster = num("e7", c * 128)
+        for b in range(c, min(c + 64, len(frames)), 8):
+            group = frames[b : b + 8]
+            blocks += 1
+            lace = 0 if len(group) == 1 else 4 if len({len(f) for f in group}) == 1 else 6
+            sizes = b""
+            if lace == 6:  # all frames but the last have 1024 bytes: the size, then differences of 0
+                sizes = b"\x44\x00" + b"\xbf" * (len(group) - 2)
+            cluster += el("a3", b"\x81" + ((b - c) * 128).to_bytes(2, "big") + bytes([128 | lace]) + (bytes([len(group) - 1]) if lace else b"") + sizes + b"".join(group))
+        cues += el("bb", num("b3", c * 128) + el("b7", num("f7", 1) + num("f1", len(body))))
+        body += el("1f43b675", cluster)
+    count = len(range(0, len(frames), 64))
+    text = f"packets={len(frames)};blocks={blocks};clusters={count};cues_ok=1;last_ms={(len(frames) - 1) * 128};mean={sum(payload) / len(payload):.4f};above_mid={sum(x >= 128 for x in payload)}"
+    return head + el("18538067", body + el("1c53bb6b", cues)), text
+
+
+def test_media_query_in_full(spark):
+    got = {r["doc_id"]: r for r in queries.op1_matroska(spark, SMALL).collect()}
+    assert len(got) == small(spark).count()
+    for k, t in pairs(small(spark)):
+        p = t.encode() + bytes(64 if not t else -len(t.encode()) % 64)
+        b, text = plain_media(p)
+        assert tuple(got[k]) == (k, len(t.encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(b), hashlib.sha256(b).hexdigest(), text)
+
+
+def test_malformed_media(spark):
+    good = matroska.mux(bytes(range(256)) * 40)
+    simple = matroska.block(1, 0, [b"abc", b"defg"], "xiph")
+    head, wrap = matroska.element(matroska.EBML, b""), lambda b: matroska.element(matroska.SEGMENT, b)
+    rate = matroska.element(matroska.TRACKS, matroska.element(matroska.TRACK, matroska.element(matroska.AUDIO, matroska.element(matroska.RATE, b"\0\0"))))
+    bad = [b"", b"junk", head + wrap(simple), head + wrap(rate), head + wrap(matroska.element(matroska.CLUSTER, matroska.element(matroska.SIMPLE_BLOCK, b"\x81\0")))]
+    bad += [head + wrap(matroska.element(matroska.CLUSTER, matroska.element(matroska.SIMPLE_BLOCK, b"\x81\0\0\x02\x01\xff")))]
+    rng = random.Random(4)
+    for _ in range(400):
+        b = bytearray(good[: rng.randrange(len(good))] if rng.random() < 0.5 else good)
+        for _ in range(rng.randint(0, 3)):
+            if b:
+                b[rng.randrange(min(len(b), 300))] = rng.randrange(256)
+        try:
+            matroska.demux(bytes(b))
+        except ValueError:
+            pass
+    for b in bad:
+        with pytest.raises(ValueError):
+            matroska.demux(b)
+    df = spark.createDataFrame([(1, 3, bytearray(good)), (2, 3, None), *((10 + i, 3, bytearray(b)) for i, b in enumerate(bad))], "doc_id long, n_bytes long, media binary")
+    assert matroska.media_errors(df).count() == len(bad) and matroska.packets(df).select("key").distinct().count() == 1
+    assert {r["doc_id"]: r["payload_bytes"] for r in matroska.media_features(df).collect()} == {1: 10240, 2: None} | {10 + i: None for i in range(len(bad))}
+
+
+def test_cluster_id_in_a_payload_ends_no_cluster():
+    frames = [b"x" + matroska.CLUSTER.to_bytes(4, "big") * 9]
+    unknown = matroska.CLUSTER.to_bytes(4, "big") + b"\x01" + b"\xff" * 7
+    cluster = matroska.number(matroska.CLUSTER_TIME, 4) + matroska.block(1, 1, frames, "none")
+    b = matroska.element(matroska.EBML, b"") + matroska.SEGMENT.to_bytes(4, "big") + b"\xff" + (unknown + cluster) * 2
+    m = matroska.demux(b)
+    assert len(m.clusters) == 2 and [b[p[6] : p[6] + p[7]] for p in m.packets] == frames * 2
+
+
 def test_packet_table_and_cues(spark):
     payload = bytes(random.Random(3).randbytes(200_001))
     b = matroska.mux(payload)
@@ -119,58 +190,78 @@ def brute_mix(rows, entropy=0.95, repeats=2.0, block=1 << 15, seed=17, steps=20)
     size = lambda t: max(1, len(re.findall(r"[^\x20\x09-\x0D]+", t)))
     by = defaultdict(list)
     for k, s, t in rows:
-        by[s or ""].append((k, size(t or "")))
-    total = {s: sum(n for _, n in d) for s, d in by.items()}
+        by[s or ""].append((k, size(t or ""), hashlib.md5((t or "").encode()).hexdigest()))
+    total = {s: sum(d[1] for d in docs) for s, docs in by.items()}
     whole = sum(total.values())
     p = {s: n / whole for s, n in total.items()}
 
-    def met(a):
+    def aims(a):
         z = sum(x**a for x in p.values())
         h = math.log(z) - a * sum(x**a * math.log(x) for x in p.values()) / z
-        return h <= entropy * math.log(len(p)) + 1e-12 and min(p.values()) ** (a - 1) / z <= repeats + 1e-12
+        return h <= entropy * math.log(len(p)) + 1e-12, min(p.values()) ** (a - 1) / z <= repeats + 1e-12, max(p.values()) ** (a - 1) / z <= repeats + 1e-12
 
-    a = 0.0 if met(0.0) else 1.0
-    if a and met(1.0):
-        low, high = 0.0, 1.0
+    def halve(right, low, high):
         for _ in range(steps):
             mid = (low + high) / 2
-            low, high = (low, mid) if met(mid) else (mid, high)
-        a = high
+            low, high = (low, mid) if right(mid) else (mid, high)
+        return low, high
+
+    met = lambda a: all(aims(a)[:2])
+    a = 0.0 if met(0.0) else halve(met, 0.0, 16.0)[1] if met(16.0) else 16.0
+    if a > 1 and not aims(a)[2]:
+        a = halve(lambda x: not aims(x)[2], 1.0, a)[0]
     z = sum(float(n) ** a for n in total.values())
     out, blocks = [], max(1, -(-whole // block))
     for s, docs in by.items():
-        quota, at, epoch = math.floor(float(total[s]) ** a / z * whole), 0, 0
+        quota, epoch = math.floor(float(total[s]) ** a / z * whole), 0
         while epoch * total[s] < quota:
-            key = lambda k, e=epoch: hashlib.md5(f"{seed}:{e}:{'' if k is None else k}".encode()).hexdigest()
+            key = lambda k, d, e=epoch: hashlib.md5(f"{seed}:{e}:{'' if k is None else k}:{d}".encode()).hexdigest()
             at = epoch * total[s]
             peers = defaultdict(list)
-            for k, n in docs:
-                peers[key(k), n].append(k)
+            for k, n, d in docs:
+                peers[key(k, d), n].append(k)
             for (_, n), ks in sorted(peers.items()):
                 at += n * len(ks)
                 if at <= quota:
-                    out += [(k, s, n, epoch, at - n, (at - n) * blocks // quota) for k in ks]
+                    starts = [at - n * (len(ks) - i) for i in range(len(ks))]
+                    out += [(k, s, n, epoch, x, x * blocks // quota) for k, x in zip(ks, starts)]
             epoch += 1
-    return a, out
+    return a, out, aims(a)
 
 
 def test_mixing(spark, odd, none):
-    for docs, block in ((spark.read.parquet(f"{MEDIUM}/documents.parquet").where("source IN ('src0', 'src1', 'src2') OR doc_id % 4 = 0"), 4096), (odd, 1 << 15)):
-        a, want = brute_mix([(r["doc_id"], r["source"], r["text"]) for r in docs.collect()], block=block)
-        got = mixing.mix(docs, block=block)
-        assert sorted(map(tuple, got.select("doc_id", "source", "tokens", "epoch", "start", "block").collect()), key=str) == sorted(want, key=str)
-        assert abs(mixing.exponent(mixing.shares(mixing.sized(docs))) - a) < 1e-9
+    medium = spark.read.parquet(f"{MEDIUM}/documents.parquet")
+    # flattening, sharpening, and a repeated document with many rows
+    tables = ((medium.where("source IN ('src0', 'src1', 'src2') OR doc_id % 4 = 0"), 4096), (odd, 1 << 15), (small(spark), 512), (small(spark).unionByName(small(spark).where("doc_id < 20")), 512))
+    exponents = []
+    for docs, block in tables:
+        a, want, (level, light, heavy) = brute_mix([(r["doc_id"], r["source"], r["text"]) for r in docs.collect()], block=block)
+        got = mixing.mix(docs, block=block).collect()
+        assert sorted(((r["doc_id"], r["source"], r["tokens"], r["epoch"], r["start"], r["block"]) for r in got), key=str) == sorted(want, key=str)
+        assert (round(got[0]["exponent"], 9), got[0]["entropy_met"], got[0]["repeats_met"]) == (round(a, 9), level, light and heavy)
+        exponents.append(a)
         places = defaultdict(list)
-        for r in got.collect():
+        for r in got:
             places[r["block"]].append(r["place"])
         assert all(sorted(v) == list(range(1, len(v) + 1)) for v in places.values())
         rows = mixing.mixed(docs)
-        assert rows.columns == docs.columns
-        drawn = sorted(str(r["doc_id"]) for r in mixing.mix(docs).collect())
-        assert sorted(str(r["doc_id"]) for r in rows.collect()) == drawn
+        assert rows.columns == docs.columns and sorted(str(r["doc_id"]) for r in rows.collect()) == sorted(str(d[0]) for d in want)
+    assert min(exponents) < 1 < max(exponents)
     assert mixing.mix(none).count() == 0 and mixing.mixed(none).count() == 0
 
 
+def test_mixing_keeps_clashing_columns(odd):
+    assert all([r[c] for c in CLASHES] == CLASHES for r in mixing.mixed(odd).collect())
+
+
+def test_sharpening_stops_at_the_repetition_limit(spark):
+    docs = spark.createDataFrame([(i, "w " * 10, f"s{i % 40}") for i in range(400)] + [(1000 + i, "w " * 11, "big") for i in range(44)], "doc_id long, text string, source string")
+    sources = mixing.shares(mixing.sized(docs))
+    a, level, limit = mixing.temperature(sources, entropy=0.5, repeats=2.0)
+    assert a > 1 and not level and limit
+    assert mixing.temperature(sources, entropy=0.5, repeats=1000.0)[1]
+
+
 # 4 ---------------------------------------------------------------------------------------------------
 def test_rolling_hash_is_local():
     raw = random.Random(1).randbytes(500)
@@ -324,6 +415,63 @@ def test_quality_defined_results(spark, odd, none):
     assert quality.keep_good(odd, labels.limit(0), 0.4).count() == odd.count()
 
 
+def plain_statistics(t):
+    """The fourteen statistics by loops over characters and words."""
+    import math
+
+    odds = lambda a, w: math.log((a + 0.5) / (max(w - a, 0) + 0.5))
+    raw, words, lines = t.encode(), t.split(), [x for x in t.split("\n") if x]
+    upper, digit = sum(65 <= b <= 90 for b in raw), sum(48 <= b <= 57 for b in raw)
+    lower = sum(97 <= b <= 122 or b >= 128 for b in raw)
+    mark = sum(chr(b) in ".,;:?'\"-()" for b in raw)
+    symbol = sum(b > 32 and b < 128 and not chr(b).isalnum() and chr(b) not in ".,;:?'\"-()" for b in raw)
+    sizes = [len(w) for w in words] or [0]
+    mean = sum(sizes) / len(sizes)
+    follow = list(zip(words, words[1:]))
+    shares = [raw.count(bytes([b])) / len(raw) for b in set(raw)] or [1.0]
+    return [
+        math.log1p(len(t)), math.log1p(mean), math.log1p(math.sqrt(sum((x - mean) ** 2 for x in sizes) / len(sizes))), odds(upper, upper + lower), odds(digit, len(raw)), odds(mark, len(raw)), odds(symbol, len(raw)),
+        odds(len(words) - len(set(words)), len(words)), odds(len(follow) - len(set(follow)), len(follow)), odds(max((words.count(w) for w in set(words)), default=0), len(words)), math.log1p(len(words) / max(1, len(lines))),
+        odds(len(lines) - len(set(lines)), len(lines)), -sum(x * math.log2(x) for x in shares), odds(sum(not (w[-1].isalnum() or w[-1] in ".,") for w in words), len(words)),
+    ]
+
+
+def test_quality_in_full(spark):
+    """Statistics, moments, shrinkage and scores again in plain form, on the whole query."""
+    docs, labels = pairs(small(spark)), {r["doc_id"]: r["quality"] for r in small(spark, "labels").collect()}
+    x = {k: np.array(plain_statistics(t)) for k, t in docs}
+    out = lambda k: zlib.crc32(str(k).encode()) % 4 == 2
+    taught = {c: np.array([x[k] for k in labels if labels[k] == c and not out(k) and k in x]) for c in (0, 1)}
+    whole = np.concatenate([taught[0], taught[1]])
+    mean, scale = whole.mean(0), np.sqrt(np.maximum(whole.var(0), 1e-9))
+    z = {c: (v - mean) / scale for c, v in taught.items()}
+    cov = {c: np.cov(v.T, bias=True) for c, v in z.items()}
+    pooled = sum(len(z[c]) * cov[c] for c in z) / len(whole)
+    d, log = len(mean), {}
+    for c in (0, 1):
+        m = 0.7 * cov[c] + 0.3 * pooled
+        m = 0.95 * m + 0.05 * np.trace(m) / d * np.eye(d)
+        inverse, size = np.linalg.inv(m), np.linalg.slogdet(m)[1]
+        log[c] = {k: -0.5 * (((v - mean) / scale - z[c].mean(0)) @ inverse @ ((v - mean) / scale - z[c].mean(0)) + size) for k, v in x.items()}
+    rows = queries.op5_quality(spark, SMALL).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        k = r["doc_id"]
+        want = 1 / (1 + np.exp(-np.clip(4 / d * (log[1][k] - log[0][k]) + np.log(len(z[1]) / len(z[0])), -60, 60)))
+        assert r["held_out"] == out(k) and abs(r["score"] - want) < 1e-6 and r["predicted"] == (r["score"] >= 0.7)
+
+
+def test_keep_good_learns_as_classify_does(spark, odd, monkeypatch):
+    docs, labels = small(spark), small(spark, "labels")
+    want = {r["doc_id"] for r in quality.classify(docs, labels).collect() if r["score"] >= 0.7}
+    assert {r["doc_id"] for r in quality.keep_good(docs, labels).collect()} == want
+    joined = quality.join_small
+    monkeypatch.setattr(quality, "join_small", lambda *a: joined(*a, most=0))
+    assert {r["doc_id"] for r in quality.keep_good(docs, labels).collect()} == want
+    kept = quality.keep_good(odd, labels.limit(0), 0.4)
+    assert kept.columns == odd.columns and all([r[c] for c in CLASHES] == CLASHES for r in kept.collect())
+
+
 def test_cached_factors_match_densities():
     rng = np.random.default_rng(1)
     d = len(quality.STATISTICS)
@@ -449,11 +597,24 @@ def test_token_files(spark, odd, none, library, tmp_path):
             flat += ids
         assert got == want
         spots = random.Random(2).sample(range(at), 50)
-        hits = dac.token_at(files, spark.createDataFrame([(p,) for p in [*spots, at, at + 10**9]], "position long")).collect()
-        assert {r["position"]: r["token"] for r in hits} == {p: flat[p] for p in spots}
+        hits = dac.token_at(files, spark.createDataFrame([(p,) for p in [*spots, spots[0], at, at + 10**9, -1, None]], "position long")).collect()
+        assert sorted((r["position"], r["token"]) for r in hits) == sorted((p, flat[p]) for p in [*spots, spots[0]])
     assert dac.document_index(dac.read_token_files(spark, dac.write_token_files(none, PATH, f"file://{tmp_path}/none"))).count() == 0
 
 
+def test_one_id_with_many_rows_is_parted(spark, library, tmp_path, monkeypatch):
+    monkeypatch.setattr(dac, "REPEATED", 50)
+    docs = spark.createDataFrame([(7, f"{chr(97 + i % 26)} text {i}") for i in range(400)] + [(1, "first"), (9, "last")], "doc_id long, text string")
+    files = dac.read_token_files(spark, dac.write_token_files(docs, PATH, f"file://{tmp_path}/hot"))
+    got = sorted(map(tuple, dac.document_index(files).collect()), key=lambda r: r[1])
+    want, at = [], 0
+    for k, t in sorted(pairs(docs)):
+        ids = [*library.encode(t, add_special_tokens=False).ids, 2]
+        want.append((k, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert got == want and files.select("part").distinct().count() > 3
+
+
 def test_levels_random_access():
     ids = np.array([0, 255, 256, 65535, 65536, 2**32 - 1, 7] * 300, "<u4")
     s = dac.Shard(dac.encode_shard([1, None], [ids[:5].tobytes(), ids[5:].tobytes()]))
@@ -551,7 +712,76 @@ def test_redact_overlaps(spark, odd):
     t = "é password=0123456789abcdef0123 and 0123456789abcdef."
     docs = spark.createDataFrame([(1, t, "k"), (2, None, "k"), (3, "plain", None)], "doc_id long, text string, source string")
     assert {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()} == {1: "é [SECRET] and [SECRET].", 2: None, 3: "plain"}
-    assert secrets.redact(odd.select("doc_id", "text", "lang", "source", "n_chars")).count() == odd.count()
+    kept = secrets.redact(odd)
+    assert kept.columns == odd.columns and kept.count() == odd.count() and all([r[c] for c in CLASHES] == CLASHES for r in kept.collect())
+
+
+def brute_random(texts, shortest=20):
+    """Every accepted random span: the battery, its deviates from language and the length-aware step-up, in plain Python."""
+    import math
+
+    def upper(z):
+        return 0.5 * math.erfc(z / math.sqrt(2))
+
+    spans, values = [], {}
+    for k, t in texts:
+        base = [tuple(map(int, s.split(":")[1:])) for s in brute_base(t)]
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{%d,}" % shortest, t):
+            if not any(a < m.end() and m.start() < b for a, b in base):
+                spans.append((k, m.start(), m.end(), m.group()))
+                values[m.group()] = None
+    for v in values:
+        w = v.rstrip("=")
+        w = w if len(w) > 1 else v
+        name, a = next(((k, a) for k, a in secrets.ALPHABETS.items() if k != "base64" and set(w) <= set(a)), ("base64", secrets.ALPHABETS["base64"]))
+        n, m, x = len(w), len(a), [a.find(c) + 1.0 for c in w]
+        square, mean = sum(w.count(c) ** 2 for c in a), sum(x) / n
+        var, cov = sum((y - mean) ** 2 for y in x), sum((y - mean) * (z - mean) for y, z in zip(x, x[1:]))
+        high = sum(y > m / 2 for y in x)
+        mix = 2 * high * (n - high)
+        spread = mix * (mix - n) / (n * n * max(n - 1, 1))
+        turns = 1 + sum((y > m / 2) != (z > m / 2) for y, z in zip(x, x[1:]))
+        chi = (m / n * square - n - (m - 1)) / math.sqrt(2 * (m - 1) * (n - 1) / n)
+        runs = (turns - 1 - mix / n) / math.sqrt(spread) if spread > 0 else -math.sqrt(n)
+        serial = cov / var * math.sqrt(n) if var > 0 else math.sqrt(n)
+        p = min(1, 3 * min(upper(chi), 2 * upper(abs(runs)), 2 * upper(abs(serial))))
+        values[v] = (name, n, m, n * (n - 1) / 2, (square - n) / 2, runs, serial, p)
+    if not values:
+        return {}
+    lower = [v for v in values.values() if v[0] == "lower"]
+    rate = max(0.065, sum(v[4] for v in lower) / sum(v[3] for v in lower)) if lower else 0.065
+    drift = {}
+    for name in {v[0] for v in values.values()}:
+        bad = [v for v in values.values() if v[0] == name and v[7] < 0.001]
+        drift[name] = [sum(max(-0.25, min(0.25, v[i] / math.sqrt(v[1]))) for v in bad) / len(bad) if bad else 0.0 for i in (5, 6)]
+    size = sum(v[1] for v in values.values()) / len(values)
+    steps = {}
+    for s, (name, n, m, pairs_, equal, runs, serial, p) in values.items():
+        r = max(rate, 0.26) if m == 16 else rate
+        spread = math.sqrt(pairs_ * r * (1 - r))
+        shifts = [max(0.0, pairs_ * (r - 1 / m) / spread), drift[name][0] * math.sqrt(n), drift[name][1] * math.sqrt(n)]
+        away = [(pairs_ * r - equal) / spread, shifts[1] - runs, shifts[2] - serial]
+        norm = math.sqrt(sum(w * w for w in shifts))
+        z = sum(a * w for a, w in zip(away, shifts)) / norm if norm else 0.0
+        q = max(upper(z), 1e-300) / (n / size)
+        steps[s] = (min(30000, max(0, math.floor(-100 * math.log10(q)))), p)
+    ranked = sorted((t for t, _ in steps.values()), reverse=True)
+    best = min((t for t in ranked if 10 ** (-t / 100) <= 0.01 * sum(u >= t for u in ranked) / len(ranked)), default=None)
+    out = defaultdict(list)
+    for k, i, j, s in spans:
+        if best is not None and steps[s][0] >= best and steps[s][1] >= 0.001:
+            out[k].append(f"random:{i}:{j}")
+    return out
+
+
+def test_all_random_spans_against_plain_python(spark):
+    rng = random.Random(31)
+    names = list(secrets.ALPHABETS)
+    made = [(i, " ".join(["key", "".join(rng.choice(secrets.ALPHABETS[names[i % 6]]) for _ in range(rng.randint(20, 60))), rng.choice(("internationally" * 2, "aaaaaaaaaaaaaaaaaaaaaaaaa", "x", "ab" * 15, "thequickbrownfoxjumpsoverthelazydog"))])) for i in range(120)]
+    for docs in (spark.createDataFrame(made, "doc_id long, text string"), spark.read.parquet(f"{MEDIUM}/documents.parquet")):
+        got = {r["doc_id"]: [s for s in r["f"].split(",") if s.startswith("random")] for r in secrets.scan(docs, "doc_id").select("doc_id", secrets.listing(F.col("found")).alias("f")).collect()}
+        want = brute_random(pairs(docs))
+        assert {k: v for k, v in got.items() if v} == dict(want)
 
 
 # 10 --------------------------------------------------------------------------------------------------
@@ -563,7 +793,7 @@ def brute_sets(rows):
     return out
 
 
-def brute_components(rows):
+def brute_components(rows, percent=75):
     sets = brute_sets(rows)
     parent = {k: k for k, _ in sets.values()}
 
@@ -582,7 +812,7 @@ def brute_components(rows):
             for b in h[i + 1 :]:
                 seen[a, b] += 1
     for (a, b), i in seen.items():
-        if 100 * i >= 75 * (len(sets[a][1]) + len(sets[b][1]) - i):
+        if 100 * i >= percent * (len(sets[a][1]) + len(sets[b][1]) - i):
             x, y = find(sets[a][0]), find(sets[b][0])
             parent[max(x, y)] = min(x, y)
     return sorted((k, len(s), find(k)) for k, s in sets.values())
@@ -623,6 +853,25 @@ def test_components_of_documents(spark, odd, none):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "3", "4", "5", "6", "8", "10", "None"])
 
 
+def test_other_similarities(spark):
+    rows = [(0, "a b c d e f"), (1, "a b c d e f g"), (2, "z a b c d e f g"), (3, "q r s t u"), (4, "q r s t u v"), (5, "only these")] + near_copies(4, 120)[6:]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent in (50, 60, 90):
+        assert sorted(map(tuple, shingle_join.components(docs, percent).collect())) == brute_components(rows, percent)
+
+
+def test_nameless_rows_connect(spark):
+    w = [f"w{i}" for i in range(60)]
+    change = lambda *at: " ".join("x" if i in at else x for i, x in enumerate(w))
+    rows = [(1, change()), (None, change(0, 59)), (3, change(0, 1, 2, 3, 58, 59)), (None, "no name and no link at all"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    named = {n: r for n, r in enumerate(rows)}
+    want = brute_components([(n, t or "") for n, (_, t) in named.items()])
+    assert want[2][2] == want[1][2] == 0  # 1 and 3 meet through the row without an id
+    got = sorted(((r["doc_id"], r["component_id"]) for r in shingle_join.components(docs).collect()), key=str)
+    assert got == [(1, 1), (3, 1), (None, 1), (None, None), (None, None)]
+
+
 def test_keep_one_by_a_shuffled_join(spark, odd, monkeypatch):
     want = sorted(map(str, shingle_join.keep_one(odd).collect()))
     joined = shingle_join.join_small
@@ -651,6 +900,22 @@ def test_entry_lists_ten():
     assert {re.match(r"op\d+", k).group() for k in queries.queries()} == {f"op{i}" for i in range(1, 11)}
 
 
+# common ----------------------------------------------------------------------------------------------
+def test_stored_folders_go_unless_kept(spark):
+    from lodestone.llm import common
+
+    with common.scratch(spark) as keep:
+        one, two = common.stored(spark.range(5), "one"), common.stored(spark.range(7), "two")
+        keep.append(two.where("id > 2"))
+    assert two.count() == 7 and len(common.folders(two)) == 1
+    with pytest.raises(Exception):
+        spark.read.parquet(*one.inputFiles()).count()
+    common.drop_stored(two)
+    assert common.fresh(spark.createDataFrame([(1, 2)], "A int, _a int"), "a", "b") == ["__a", "b"]
+    wide = spark.createDataFrame([(1, "é" * 50, [1, 2, 3]), (None, None, None)], "k long, s string, a array<long>")
+    assert common.size_bound(wide) >= 8 * 3 + 100 and common.size_bound(wide.limit(0)) == 0
+
+
 # pipeline --------------------------------------------------------------------------------------------
 def test_pipeline_against_brute_force(spark):
     """Every stage on its own input, at sf0.001: decisions and texts from plain Python."""
@@ -671,7 +936,7 @@ def test_pipeline_against_brute_force(spark):
         cut = [(int(s.split(":")[1]), int(s.split(":")[2])) for s in brute_base(t)]
         assert (after[k] == t) if not cut else ("[SECRET]" in after[k] and all(t[s:e] not in after[k] for s, e in cut))
     mixed = stage["mixing"](spark, masked, SMALL).cache()
-    _, drawn = brute_mix([(r["doc_id"], r["source"], r["text"]) for r in masked.collect()])
+    _, drawn, _ = brute_mix([(r["doc_id"], r["source"], r["text"]) for r in masked.collect()])
     assert sorted(r["doc_id"] for r in mixed.collect()) == sorted(d[0] for d in drawn)
     for s in (good, single, masked, mixed):
         assert s.columns == docs.columns
@@ -681,3 +946,15 @@ def test_pipeline_against_brute_force(spark):
     assert sorted((r["doc_id"], r["doc_tokens"]) for r in rows if r["start"] == 0) == want
     assert sum(r["length"] for r in rows) == sum(n for _, n in want)
     assert corpus_pipeline.run(spark, SMALL).count() == len(rows)
+
+
+def test_stages_take_awkward_rows(spark, odd, none):
+    import corpus_pipeline
+
+    for docs in (odd, none):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SMALL)
+            if name == "packing":
+                assert out.where("start = 0").count() == docs.count()
+            else:
+                assert out.columns == docs.columns and all([r[c] for c in CLASHES] == CLASHES for r in out.collect())
