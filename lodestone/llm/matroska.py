@@ -4,8 +4,10 @@ Only the public container specification (RFC 8794 EBML, RFC 9559 Matroska) is us
 variable-length element ids and sizes (unknown sizes too), clusters, simple blocks and block groups,
 all three lacings and the cue index. Payload bytes are found through the packet table's byte ranges.
 
-Defined results: a null medium gives no packets; an empty or foreign byte string raises ValueError from
-demux(), and packets() gives it no rows but error text through media_errors(). Extra columns are ignored.
+Defined results: a null medium gives no packets and null features; any byte string that is not well-formed (empty,
+foreign, cut short, a block outside a cluster) raises ValueError from demux(): packets() gives it no rows,
+media_features() null features, media_errors() the error's text. Repeated rows count each; an empty table gives no
+rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ EBML, SEGMENT, INFO, SCALE, TRACKS, TRACK = 0x1A45DFA3, 0x18538067, 0x1549A966,
 TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC, AUDIO, RATE, CHANNELS, DEPTH = 0xD7, 0x73C5, 0x83, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER, CLUSTER_TIME, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
 CUES, CUE_POINT, CUE_TIME, CUE_TRACKS, CUE_TRACK, CUE_AT = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
+TOP = {EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES, 0x114D9B74, 0x1941A469, 0x1043A770, 0x1254C367}  # and seek head, attachments, chapters, tags
 MASTERS = {SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_TRACKS}
 
 UNIT = 64  # payload is padded to a positive multiple of this
@@ -116,19 +119,28 @@ def read_vint(b: bytes, i: int, keep: bool = False) -> tuple[int, int]:
     return (-1 if n == (1 << 7 * w) - 1 else n), i + w
 
 
-def elements(b: bytes, i: int, end: int, level_of: frozenset = frozenset()):
-    """(id, body start, body end, element start) of the elements in a range. An unknown size runs to the next cluster, cues or the end."""
+def unknown_end(b: bytes, eid: int, i: int, end: int) -> int:
+    """Where an element of unknown size ends: at the first element that cannot be inside it (a segment: at the end)."""
+    if eid != CLUSTER:
+        return end
+    while i < end:
+        child, j = read_vint(b, i, True)
+        if child in TOP:
+            return i
+        n, j = read_vint(b, j)
+        if n < 0:
+            raise ValueError(f"element {child:x} of unknown size in a cluster, at byte {i}")
+        i = j + n
+    return end
+
+
+def elements(b: bytes, i: int, end: int):
+    """(id, body start, body end, element start) of the elements in a range."""
     while i < end:
         start = i
         eid, i = read_vint(b, i, True)
         n, i = read_vint(b, i)
-        if n < 0:
-            stop = end
-            if eid == CLUSTER:
-                found = [x for x in (b.find(k.to_bytes(4, "big"), i, end) for k in (CLUSTER, CUES)) if x >= 0]
-                stop = min(found, default=end)
-        else:
-            stop = i + n
+        stop = unknown_end(b, eid, i, end) if n < 0 else i + n
         if stop > end:
             raise ValueError(f"element {eid:x} at byte {start} ends beyond its parent")
         yield eid, i, stop, start
@@ -138,6 +150,8 @@ def elements(b: bytes, i: int, end: int, level_of: frozenset = frozenset()):
 def frame_ranges(b: bytes, i: int, end: int, lacing: int) -> list[tuple[int, int]]:
     if not lacing:
         return [(i, end - i)]
+    if i >= end:
+        raise ValueError("a laced block without frame count")
     n, i, sizes = b[i] + 1, i + 1, []
     if lacing == 2:
         if (end - i) % n:
@@ -147,6 +161,8 @@ def frame_ranges(b: bytes, i: int, end: int, lacing: int) -> list[tuple[int, int
         for _ in range(n - 1):
             size = 0
             while True:
+                if i >= end:
+                    raise ValueError("lacing sizes exceed the block")
                 size, last, i = size + b[i], b[i], i + 1
                 if last < 255:
                     break
@@ -155,13 +171,14 @@ def frame_ranges(b: bytes, i: int, end: int, lacing: int) -> list[tuple[int, int
         size, i = read_vint(b, i)
         sizes.append(size)
         for _ in range(n - 2):
-            w = 9 - b[i].bit_length()
+            at = i
             d, i = read_vint(b, i)
+            w = i - at
             d = (1 << 7 * w) - 1 if d < 0 else d
             sizes.append(sizes[-1] + d - ((1 << 7 * w - 1) - 1))
     if lacing != 2:
         sizes.append(end - i - sum(sizes))
-    if min(sizes) < 0:
+    if min(sizes) < 0 or i > end:
         raise ValueError("lacing sizes exceed the block")
     out = []
     for s in sizes:
@@ -179,6 +196,10 @@ def demux(b: bytes) -> Media:
 
     def take_block(i: int, j: int, cluster: int, nth: int, time: int, simple: bool) -> None:
         track, i = read_vint(b, i)
+        if cluster < 0:
+            raise ValueError(f"block outside a cluster at byte {i}")
+        if i + 3 > j:
+            raise ValueError(f"block cut short at byte {i}")
         offset, flags = struct.unpack(">hB", b[i : i + 3])
         ranges = frame_ranges(b, i + 3, j, flags >> 1 & 3)
         per = rates.get(track)
@@ -197,9 +218,10 @@ def demux(b: bytes) -> Media:
             elif eid == TRACK:
                 walk(s, e, t := {**inside, "track": {}})
                 t = t["track"]
-                media.tracks[t.get("number", 0)] = t
-                if t.get("codec") == "A_PCM/INT/LIT" and t.get("rate"):
-                    rates[t["number"]] = int(t["rate"]) * t.get("channels", 1) * max(1, t.get("depth", 8) // 8)
+                number_ = t.get("number", 0)
+                media.tracks[number_] = t
+                if t.get("codec") == "A_PCM/INT/LIT" and t.get("rate") and 0 < t["rate"] < 1e9:
+                    rates[number_] = int(t["rate"]) * t.get("channels", 1) * max(1, t.get("depth", 8) // 8)
             elif eid == CUE_POINT:
                 walk(s, e, c := {**inside, "cue": {}})
                 media.cues.append((c["cue"].get("time", 0) * media.scale // 1_000_000, c["cue"].get("track", 0), c["cue"].get("at", 0) + inside.get("segment", 0)))
@@ -210,13 +232,15 @@ def demux(b: bytes) -> Media:
             elif eid == CLUSTER_TIME:
                 inside["time"] = integer(s, e)
             elif eid in (SIMPLE_BLOCK, BLOCK):
-                take_block(s, e, inside["cluster"], inside["block"], inside["time"], eid == SIMPLE_BLOCK)
+                take_block(s, e, inside.get("cluster", -1), inside.get("block", 0), inside.get("time", 0), eid == SIMPLE_BLOCK)
                 inside["block"] += 1
             elif "track" in inside and eid in (TRACK_NUMBER, TRACK_TYPE, CHANNELS, DEPTH):
                 inside["track"][{TRACK_NUMBER: "number", TRACK_TYPE: "type", CHANNELS: "channels", DEPTH: "depth"}[eid]] = integer(s, e)
             elif "track" in inside and eid == CODEC:
-                inside["track"]["codec"] = b[s:e].decode()
+                inside["track"]["codec"] = b[s:e].decode("ascii", "replace")
             elif "track" in inside and eid == RATE:
+                if e - s not in (4, 8):
+                    raise ValueError(f"float of {e - s} bytes at byte {s}")
                 inside["track"]["rate"] = struct.unpack(">d" if e - s == 8 else ">f", b[s:e])[0]
             elif "cue" in inside and eid in (CUE_TIME, CUE_TRACK, CUE_AT):
                 inside["cue"][{CUE_TIME: "time", CUE_TRACK: "track", CUE_AT: "at"}[eid]] = integer(s, e)
@@ -309,9 +333,14 @@ def media_features(stored: DataFrame) -> DataFrame:
         def step(x):
             out = {n: [] for n in ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
             for k, n, b in zip(x["doc_id"], x["n_bytes"], x["media"], strict=True):
-                m = demux(b)
-                p = read_back(b, m)
-                row = (k, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(b), hashlib.sha256(b).hexdigest(), feature(p, m))
+                row = (k, n, *[None] * 6)
+                try:
+                    if b is not None:
+                        m = demux(b)
+                        p = read_back(b, m)
+                        row = (k, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(b), hashlib.sha256(b).hexdigest(), feature(p, m))
+                except ValueError:
+                    pass
                 for c, v in zip(out, row, strict=True):
                     out[c].append(v)
             return out

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import anisotropic, cdc, dac, matroska, mixing, pow2_packing, prefix_counts, quality, secrets, shingle_join, sql
-from .common import new_path, tune
+from .common import new_path, stored, tune
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -20,7 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matroska.media_features(matroska.media_store(table(spark, sf_dir, "documents")))
+    media = stored(matroska.media_store(table(spark, sf_dir, "documents")), "media", compression="zstd")
+    return matroska.media_features(media)
 
 
 def op2_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +31,7 @@ def op2_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = mixing.mix(table(spark, sf_dir, "documents"))
-    return d.select("doc_id", "source", "tokens", "epoch", "start", "block", "place", F.round("weight", 9).alias("weight"))
+    return d.select("doc_id", "source", "tokens", "epoch", "start", "block", "place", F.round("weight", 9).alias("weight"), F.round("exponent", 9).alias("exponent"), "entropy_met", "repeats_met")
 
 
 def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
