@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import mixing, pow2_packing, quality, secrets, shingle_join
-from lodestone.llm.common import stored, tune
+from lodestone.llm.common import drop_stored, scratch, stored, tune
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage and the stage before it wrote is removed once its own output is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as keep:
+            done = stored(stage(spark, docs, sf_dir), name)
+            keep.append(done)
+        drop_stored(docs)
+        docs = done
     return docs

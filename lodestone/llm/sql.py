@@ -2,37 +2,43 @@
 
 WORD = r"[^\x20\x09-\x0D]+"
 
+MET = """ln(sum(pow(p, a))) - a * sum(pow(p, a) * ln(p)) / sum(pow(p, a)) <= 0.95 * ln(max(s)) + 1e-12 AS level,
+  pow(min(p), a - 1) / sum(pow(p, a)) <= 2.0 + 1e-12 AS light, pow(max(p), a - 1) / sum(pow(p, a)) <= 2.0 + 1e-12 AS heavy"""
+
 MIX = rf"""
 WITH RECURSIVE sized AS (
-  SELECT doc_id, coalesce(source, '') AS source,
+  SELECT doc_id, coalesce(source, '') AS source, md5(coalesce(text, '')) AS digest,
          greatest(1, len(regexp_extract_all(coalesce(text, ''), '{WORD}')))::BIGINT AS tokens
   FROM documents),
 shares AS (SELECT source, sum(tokens)::BIGINT AS total FROM sized GROUP BY source),
 whole AS (SELECT sum(total)::BIGINT AS t, count(*) AS s FROM shares),
 parts AS (SELECT total::DOUBLE / t AS p, s FROM shares, whole),
-ends AS (
-  SELECT a, ln(sum(pow(p, a))) - a * sum(pow(p, a) * ln(p)) / sum(pow(p, a)) <= 0.95 * ln(max(s)) + 1e-12
-            AND pow(min(p), a - 1) / sum(pow(p, a)) <= 2.0 + 1e-12 AS met
-  FROM parts, (VALUES (0::DOUBLE), (1::DOUBLE)) AS v(a) GROUP BY a),
+ends AS (SELECT a, {MET} FROM parts, (VALUES (0::DOUBLE), (16::DOUBLE)) AS v(a) GROUP BY a),
 halved AS (
-  SELECT 0 AS step, 0::DOUBLE AS low, 1::DOUBLE AS high
+  SELECT 0 AS step, 0::DOUBLE AS low, 16::DOUBLE AS high
   UNION ALL
-  SELECT step + 1, CASE WHEN met THEN low ELSE a END, CASE WHEN met THEN a ELSE high END
-  FROM (SELECT step, low, high, a, ln(sum(pow(p, a))) - a * sum(pow(p, a) * ln(p)) / sum(pow(p, a)) <= 0.95 * ln(max(s)) + 1e-12
-               AND pow(min(p), a - 1) / sum(pow(p, a)) <= 2.0 + 1e-12 AS met
-        FROM (SELECT step, low, high, (low + high) / 2 AS a FROM halved WHERE step < 20), parts
-        GROUP BY step, low, high, a)),
-chosen AS (
-  SELECT CASE WHEN (SELECT met FROM ends WHERE a = 0) THEN 0::DOUBLE WHEN NOT (SELECT met FROM ends WHERE a = 1) THEN 1::DOUBLE
+  SELECT step + 1, CASE WHEN level AND light THEN low ELSE a END, CASE WHEN level AND light THEN a ELSE high END
+  FROM (SELECT step, low, high, a, {MET} FROM (SELECT step, low, high, (low + high) / 2 AS a FROM halved WHERE step < 20), parts GROUP BY step, low, high, a)),
+flat AS (
+  SELECT CASE WHEN (SELECT level AND light FROM ends WHERE a = 0) THEN 0::DOUBLE WHEN NOT (SELECT level AND light FROM ends WHERE a = 16) THEN 16::DOUBLE
               ELSE (SELECT high FROM halved WHERE step = 20) END AS a),
-weights AS (SELECT source, total, pow(total::DOUBLE, a) / sum(pow(total::DOUBLE, a)) OVER () AS weight FROM shares, chosen),
-plan AS (SELECT source, total, weight, floor(weight * t)::BIGINT AS quota, greatest(1, (t + 32767) // 32768) AS blocks FROM weights, whole),
+sharp AS (
+  SELECT 0 AS step, 1::DOUBLE AS low, a AS high FROM flat
+  UNION ALL
+  SELECT step + 1, CASE WHEN heavy THEN a ELSE low END, CASE WHEN heavy THEN high ELSE a END
+  FROM (SELECT step, low, high, a, {MET} FROM (SELECT step, low, high, (low + high) / 2 AS a FROM sharp WHERE step < 20), parts GROUP BY step, low, high, a)),
+chosen AS (SELECT CASE WHEN f.a > 1 AND NOT f.heavy THEN (SELECT low FROM sharp WHERE step = 20) ELSE f.a END AS a FROM (SELECT a, {MET} FROM flat, parts GROUP BY a) f),
+state AS (SELECT a, {MET} FROM chosen, parts GROUP BY a),
+weights AS (SELECT source, total, a, level, light AND heavy AS within, pow(total::DOUBLE, a) / sum(pow(total::DOUBLE, a)) OVER () AS weight FROM shares, state),
+plan AS (SELECT source, total, a, level, within, weight, floor(weight * t)::BIGINT AS quota, greatest(1, (t + 32767) // 32768) AS blocks FROM weights, whole),
 epochs AS (SELECT *, unnest(generate_series(0, (quota - 1) // total)) AS epoch FROM plan WHERE quota > 0),
-keyed AS (SELECT doc_id, source, tokens, epoch, total, weight, quota, blocks, md5('17:' || epoch || ':' || coalesce(doc_id::VARCHAR, '')) AS key FROM sized JOIN epochs USING (source)),
-placed AS (SELECT *, (epoch * total + sum(tokens) OVER (PARTITION BY source, epoch ORDER BY key, tokens) - tokens)::BIGINT AS start FROM keyed),
-drawn AS (SELECT *, (start * blocks // quota)::BIGINT AS block FROM placed WHERE start + tokens <= quota)
+keyed AS (SELECT doc_id, source, tokens, epoch, total, weight, quota, blocks, a, level, within, md5('17:' || epoch || ':' || coalesce(doc_id::VARCHAR, '') || ':' || digest) AS key FROM sized JOIN epochs USING (source)),
+placed AS (SELECT *, (epoch * total + sum(tokens) OVER (PARTITION BY source, epoch ORDER BY key ROWS UNBOUNDED PRECEDING) - tokens)::BIGINT AS start,
+                  (epoch * total + sum(tokens) OVER (PARTITION BY source, epoch ORDER BY key))::BIGINT AS stop FROM keyed),
+drawn AS (SELECT *, (start * blocks // quota)::BIGINT AS block FROM placed WHERE stop <= quota)
 SELECT doc_id, source, tokens, epoch::BIGINT AS epoch, start, block,
-       row_number() OVER (PARTITION BY block ORDER BY md5('block:' || key), tokens, source)::BIGINT AS place, round(weight, 9) AS weight
+       row_number() OVER (PARTITION BY block ORDER BY md5('block:' || key), source, start)::BIGINT AS place, round(weight, 9) AS weight,
+       round(a, 9) AS exponent, level AS entropy_met, within AS repeats_met
 FROM drawn
 """
 
