@@ -8,7 +8,9 @@ its bit. A shard holds whole documents: their ids, the documents' first tokens a
 Files are Parquet shards (part, shard, documents, tokens, code) in ascending doc_id order: rows of part p
 come before those of p + 1, shards within a part in turn. Parquet's committer keeps lost executors from
 leaving half files, and any store that Spark writes to will do. Documents of the same doc_id stay beside
-each other, by text; a null doc_id comes first; null text counts as empty (the end id alone).
+each other, by text; a null doc_id comes first; null text counts as empty (the end id alone). Parts are ranges of
+doc_id, and of the text's first characters too where one doc_id has more than REPEATED rows. An empty table gives
+files without rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +30,11 @@ from .tokens import encoder
 BITS = 8
 BLOCK = 512  # bits in a block of the rank directory
 SHARD_TOKENS = 1 << 18
+PART_BYTES = 128 << 20  # of input, in one part
+PARTS_MOST = 100_000  # however large Spark's estimate
+REPEATED = 10_000
+SPREAD = 4  # tasks that may look up positions in one shard
+HEAD = 64  # characters of a text that part the rows of one doc_id
 MAGIC = b"DAC1"
 SHARD = "part int, shard int, documents long, tokens long, code binary"
 
@@ -111,10 +118,16 @@ class Shard:
         return rest
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Spark's own estimate of a plan's bytes; for files, their size. 0 where it knows none."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else 0
+
+
 def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, partitions: int | None = None) -> str:
     """Encodes every whole text, appends end_id, and writes the shards in ascending doc_id order."""
     spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(PARTS_MOST, input_bytes(docs) // PART_BYTES))
     end = struct.pack("<I", end_id)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +157,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
         if keys:
             yield flush()
 
-    ordered = texts(docs, "doc_id").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    most = docs.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 0
+    ranges = ["doc_id"] if most <= REPEATED else ["doc_id", F.substring("text", 1, HEAD)]
+    ordered = texts(docs, "doc_id").repartitionByRange(n, *ranges).sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(encode, SHARD).write.option("compression", "uncompressed").parquet(path)
     return path
 
@@ -177,18 +192,33 @@ def document_index(files: DataFrame) -> DataFrame:
 
 
 def token_at(files: DataFrame, positions: DataFrame) -> DataFrame:
-    """position, token: random access to single tokens by position in the whole corpus; positions beyond it give no row."""
+    """position, token: random access to single tokens by position in the whole corpus; null positions and those outside it give no
+    row, repeated ones a row each. A shard is parsed once for all its positions."""
     index = files.select("part", "shard", "tokens", "code")
     by_part = index.groupBy("part").agg(F.sum("tokens").alias("size"))
     parts = by_part.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))
     shards = index.drop("code").join(parts, "part").select("part", "shard", "tokens", (F.col("before") + F.sum("tokens").over(Window.partitionBy("part").orderBy("shard")) - F.col("tokens")).alias("base"))
     cell = lambda c: F.floor(c / SHARD_TOKENS)
     spread = shards.withColumn("cell", F.explode(F.sequence(cell(F.col("base")), cell(F.col("base") + F.col("tokens") - 1))))
-    hits = positions.select("position", cell(F.col("position")).alias("cell")).join(spread, "cell").where("position >= base AND position < base + tokens")
+    hits = positions.select("position", cell(F.col("position")).alias("cell")).join(spread, "cell").where("position >= base AND position < base + tokens").select("part", "shard", "position", (F.col("position") - F.col("base")).alias("at"))
+    wanted = index.join(hits.select("part", "shard").distinct(), ["part", "shard"], "left_semi")
+    # a shard's code comes before its positions, which stream; many positions in one shard are dealt to SPREAD copies of it
+    lane = F.pmod(F.xxhash64("position"), F.lit(SPREAD)).cast("int")
+    codes = wanted.select("part", "shard", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("lane"), F.lit(None).cast("long").alias("position"), F.lit(None).cast("long").alias("at"), "code")
+    both = codes.unionByName(hits.select("part", "shard", lane.alias("lane"), "position", "at", F.lit(None).cast("binary").alias("code")))
+    dealt = both.repartition("part", "shard", "lane").sortWithinPartitions("part", "shard", "lane", F.col("position").asc_nulls_first())
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = None
         for b in batches:
-            p, at = b.column("position").to_pylist(), b.column("at").to_pylist()
-            yield pa.RecordBatch.from_pydict({"position": pa.array(p, pa.int64()), "token": pa.array([Shard(c.as_py()).token(i) for c, i in zip(b.column("code"), at, strict=True)], pa.int64())})
-
-    return hits.join(index.select("part", "shard", "code"), ["part", "shard"]).select("position", (F.col("position") - F.col("base")).alias("at"), "code").mapInArrow(pick, "position long, token long")
+            code, p, at = (b.column(c) for c in ("code", "position", "at"))
+            places, tokens = [], []
+            for i in range(b.num_rows):
+                if not p[i].is_valid:
+                    here = Shard(code[i].as_py())
+                else:
+                    places.append(p[i].as_py())
+                    tokens.append(here.token(at[i].as_py()))
+            yield pa.RecordBatch.from_pydict({"position": pa.array(places, pa.int64()), "token": pa.array(tokens, pa.int64())})
+
+    return dealt.mapInArrow(pick, "position long, token long")
