@@ -7,7 +7,8 @@ over all pieces, then part bases within a bucket, then a piece's place within it
 counts are summed; pieces are never sorted globally. Parts are those of the written piece table, so a task
 that is run again gives the same ids.
 
-Null text counts as empty (the end id alone); repeated rows are packed each by itself.
+Null text counts as empty (the end id alone); repeated rows are packed each by itself; an empty table gives no rows;
+other columns are not read.
 """
 
 from __future__ import annotations

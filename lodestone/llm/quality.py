@@ -9,7 +9,7 @@ temperature is the number of statistics over EVIDENCE: dependent statistics coun
 
 Null text counts as empty and has a score like any text; without labelled rows of both classes every score is
 the share of class 1 (0.5 without labels). Labels that are null or not 0/1 do not count; a document labelled
-twice counts twice. Rows keep their order-free multiset; other columns are not read.
+twice counts twice. Repeated rows are scored each; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, stored, texts
+from .common import fresh, join_small, map_rows, quoted, stored, texts
 
 POOL = 0.3
 RIDGE = 0.05
@@ -169,10 +169,13 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows whose text scores below the threshold; all columns stay. Scores are made again beside
-    the rows (statistics are cheaper than a shuffle of texts)."""
-    table = stored(features(docs), "features")
-    model = learn(table, labels.where(~held_out()).select("doc_id", F.col("quality").alias("label")))
+    """docs without the rows whose text scores below the threshold; all columns stay.
+
+    The model is fitted on labelled documents only: their ids meet the texts first, by broadcast while they are few
+    (bounded), so statistics of the others are made once, beside the rows they decide about."""
+    taught = labels.where(~held_out()).select("doc_id", F.col("quality").alias("label"))
+    known = join_small(docs.select("doc_id", "text"), taught.where("label IN (0, 1)").select("doc_id").distinct(), ["doc_id"])
+    model = learn(stored(features(known), "features"), taught)
 
     def score(texts_):
         import pandas as pd
@@ -186,4 +189,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
     score.__annotations__ = {"texts_": Iterator[pd.Series], "return": Iterator[pd.Series]}
     judge = F.pandas_udf(score, "double")
-    return docs.withColumn("_score", judge(F.col("text"))).where(F.col("_score") >= threshold).select(*docs.columns)
+    (name,) = fresh(docs, "score")
+    return docs.withColumn(name, judge(F.col("text"))).where(F.col(name) >= threshold).select(*map(quoted, docs.columns))
