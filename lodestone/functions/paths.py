@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,6 +41,12 @@ def member_included(path: Column, include: Column, exclude: Column) -> Column:
     return taken & ~F.coalesce(under(path, exclude), F.lit(False))
 
 
+def member_kept(path: str, include: list[str], exclude: list[str]) -> bool:
+    """member_included() of one path outside Spark."""
+    below = lambda x: path == x or path.startswith(x + "/")
+    return not any(map(below, exclude)) and (not include or any(below(x) or x.startswith(path + "/") for x in include))
+
+
 def prep_selected(path: Column | str) -> Column:
     """A known language and no left-out file or directory name."""
     parts = F.split(F.lower(col(path)), "/")
@@ -48,7 +56,7 @@ def prep_selected(path: Column | str) -> Column:
 
 
 def directory_pruned(name: Column) -> Column:
-    return F.startswith(name, F.lit(".")) | name.isin(S.SCAN_DIRECTORIES)
+    return F.startswith(name, F.lit(".")) | name.isin(*S.SCAN_DIRECTORIES)
 
 
 def scan_reason(name: Column, size: Column, most: int = S.SCAN_FILE_BYTES) -> Column:
@@ -58,7 +66,7 @@ def scan_reason(name: Column, size: Column, most: int = S.SCAN_FILE_BYTES) -> Co
     made = F.startswith(name, F.lit("."))
     for s in S.GENERATED_SUFFIXES:
         made = made | F.endswith(low, F.lit(s))
-    return F.when(~ext.isin(S.SCAN_EXTENSIONS), "extension").when(made, "pattern").when(F.coalesce(size > most, F.lit(False)), "too_large").otherwise("candidate")
+    return F.when(~ext.isin(*S.SCAN_EXTENSIONS), "extension").when(made, "pattern").when(F.coalesce(size > most, F.lit(False)), "too_large").otherwise("candidate")
 
 
 def walk_key(path: Column, is_dir: Column) -> Column:
@@ -88,21 +96,43 @@ def revision_of(text: Column) -> Column:
     return F.when(first.rlike(r"\A[0-9A-Fa-f]{40,64}\z"), F.lower(first))
 
 
+def revision(text: str) -> str:
+    """revision_of() of one text outside Spark; the first word of the first line may be followed by more. ValueError for none."""
+    first = (text.split("\n")[0].split() or [""])[0]
+    if not re.fullmatch("[0-9A-Fa-f]{40,64}", first):
+        raise ValueError(f"no revision: {first!r}")
+    return first.lower()
+
+
 HOST = "github.com"
 
 
-def repository(address: Column) -> Column:
-    """struct<owner, name> of owner/name, host:owner/name, user@host:owner/name or a URL of the host; null for others."""
+def contents_url(api: Column, owner: Column, name: Column, path: Column) -> Column:
+    """The address of a path in a host's contents interface, every segment percent-encoded; the empty path is the root."""
+    segment = lambda x: F.replace(F.url_encode(x), F.lit("+"), F.lit("%20"))
+    below = F.when(path == "", F.lit("")).otherwise(F.concat(F.lit("/"), F.array_join(F.transform(F.split(path, "/"), segment), "/")))
+    return F.concat(F.rtrim(api, F.lit("/")), F.lit("/repos/"), segment(owner), F.lit("/"), segment(name), F.lit("/contents"), below)
+
+
+def repository(address: Column, bare: bool = True) -> Column:
+    """struct<owner, name> of host:owner/name, user@host:owner/name, a URL of the host or (bare) owner/name; null for others."""
     v = F.regexp_replace(F.btrim(address, F.lit(S.SCAN_STRIP)), "/+\\z", "")
     host = r"(?i:" + HOST.replace(".", r"\.") + ")"
-    scp, web, bare = rf"\A(?:[^/:]*@)?{host}:([^/]*)/([^/]*)\z", rf"\A(?i:[a-z][a-z0-9+.-]*)://(?:[^/@]*@)?{host}(?::[0-9]+)?/+([^/?#]+)/+([^/?#]+)/*(?:[?#].*)?\z", r"\A([^/]*)/([^/]*)\z"
-    pattern = F.when(v.rlike(scp), F.lit(1)).when(v.rlike(web), F.lit(2)).when(v.rlike(bare) & ~F.contains(v, F.lit("://")), F.lit(3))
-    part = lambda i: F.when(pattern == 1, F.regexp_extract(v, scp, i)).when(pattern == 2, F.regexp_extract(v, web, i)).when(pattern == 3, F.regexp_extract(v, bare, i))
+    scp, web, short = rf"\A(?:[^/:]*@)?{host}:([^/]*)/([^/]*)\z", rf"\A(?i:[a-z][a-z0-9+.-]*)://(?:[^/@]*@)?{host}(?::[0-9]+)?/+([^/?#]+)/+([^/?#]+)/*(?:[?#].*)?\z", r"\A([^/]*)/([^/]*)\z"
+    pattern = F.when(v.rlike(scp), F.lit(1)).when(v.rlike(web), F.lit(2)).when(F.lit(bare) & v.rlike(short) & ~F.contains(v, F.lit("://")), F.lit(3))
+    part = lambda i: F.when(pattern == 1, F.regexp_extract(v, scp, i)).when(pattern == 2, F.regexp_extract(v, web, i)).when(pattern == 3, F.regexp_extract(v, short, i))
     owner, name = part(1), F.regexp_replace(part(2), r"(?i)\.git\z", "")
     bad = F.array(F.lit(""), F.lit("."), F.lit(".."))
     return F.when(pattern.isNotNull() & ~F.array_contains(bad, owner) & ~F.array_contains(bad, name), F.struct(owner.alias("owner"), name.alias("name")))
 
 
+def address_problem(address: Column) -> Column:
+    """What keeps an address from naming a repository: empty, host, segments; null for a good one."""
+    v = F.regexp_replace(F.btrim(address, F.lit(S.SCAN_STRIP)), "/+\\z", "")
+    other = (F.contains(v, F.lit("://")) | v.rlike(r"\A[^/]*:[^/]")) & ~v.rlike(r"\A(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/@:]*@)?(?i:" + HOST.replace(".", r"\.") + r")(?:[:/]|\z)")
+    return F.when(repository(address).isNotNull(), F.lit(None)).when(F.coalesce(v == "", F.lit(True)), "empty").when(other, "host").otherwise("segments")
+
+
 def relative_path(path: Column) -> Column:
     """Without empty and '.' parts; null for absolute paths and those with '..'."""
     parts = F.split(path, "/")

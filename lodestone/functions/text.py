@@ -119,12 +119,18 @@ def chunked(df: DataFrame, max_chars: int = S.MAX_CHARS, column: str = "text") -
     return small.unionByName(large)
 
 
-def token_windows(ids: Column | str, length: int = S.WINDOW_TOKENS, overlap: int = S.WINDOW_OVERLAP) -> Column:
-    """Overlapping slices of a token array; the first that reaches the end is the last. Null for no tokens."""
+def window_count(n: Column, length: int = S.WINDOW_TOKENS, overlap: int = S.WINDOW_OVERLAP) -> Column:
+    """Windows of n tokens: none of none, else one and as many more as steps are needed to reach the end."""
     if length < 1 or not 0 <= overlap < length:
         raise ValueError("windows need 0 <= overlap < length")
+    more = F.greatest(F.lit(0), F.ceil((n - length) / (length - overlap))).cast("int")
+    return F.when(n > 0, more + 1).otherwise(0)
+
+
+def token_windows(ids: Column | str, length: int = S.WINDOW_TOKENS, overlap: int = S.WINDOW_OVERLAP) -> Column:
+    """Overlapping slices of a token array; the first that reaches the end is the last. Null for no tokens."""
     n = F.size(col(ids))
-    last = F.greatest(F.lit(0), F.ceil((n - length) / (length - overlap))).cast("int")
+    last = window_count(n, length, overlap) - 1
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(col(ids), i * (length - overlap) + 1, F.lit(length))))
 
 

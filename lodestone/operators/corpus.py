@@ -81,6 +81,16 @@ def breakdown(df: DataFrame) -> DataFrame:
     return g.select(F.when(F.col("g") == 1, "TOTAL").otherwise(F.col("language")).alias("language"), "human", "ai", (F.col("human") + F.col("ai")).alias("total"))
 
 
+def merged(*breakdowns: DataFrame) -> DataFrame:
+    """One breakdown of several datasets' breakdowns, their TOTAL rows made anew."""
+    rows = breakdowns[0]
+    for b in breakdowns[1:]:
+        rows = rows.unionByName(b)
+    g = rows.where("language != 'TOTAL'").rollup("language").agg(F.sum("human").alias("human"), F.sum("ai").alias("ai"), F.grouping("language").alias("g"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return g.select(F.when(F.col("g") == 1, "TOTAL").otherwise(F.col("language")).alias("language"), zero("human").alias("human"), zero("ai").alias("ai"), (zero("human") + zero("ai")).alias("total"))
+
+
 def split_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("split", F.when(F.col("label") == 1, "ai").otherwise("human").alias("label_name")).agg(F.count("*").alias("n"))
 
@@ -111,3 +121,16 @@ def truncated_pairs(df: DataFrame, most: int, position: str = "position", per: i
     pairs = h.join(a, ["language", "i"]).orderBy(F.greatest("h", "a"), F.least("h", "a")).limit(most // 2)
     chosen = pairs.select(F.explode(F.array("h", "a")).alias(position))
     return df.join(chosen, position)
+
+
+def leaks(benchmark: DataFrame, documents: DataFrame) -> DataFrame:
+    """item_id, first_doc, n_docs from distinct (item_id, h) and (doc_id, h).
+
+    Hashes with the same items are one class, documents with the same classes one pattern with a count, and only patterns
+    meet items: a line that most documents and items have makes one pattern, not a row for each pair."""
+    held = benchmark.groupBy("h").agg(F.sort_array(F.collect_set("item_id")).alias("items")).withColumn("c", F.md5(F.to_json("items")))
+    of_class = held.select("c", F.explode("items").alias("item_id")).distinct()
+    per = documents.join(held.select("h", "c"), "h").groupBy("doc_id").agg(F.sort_array(F.collect_set("c")).alias("pattern"))
+    patterns = per.groupBy("pattern").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    met = patterns.select("pattern", "n", "first_doc", F.explode("pattern").alias("c")).join(of_class, "c").select("pattern", "n", "first_doc", "item_id").distinct()
+    return met.groupBy("item_id").agg(F.min("first_doc").alias("first_doc"), F.sum("n").alias("n_docs"))

@@ -77,13 +77,32 @@ def stepwise(score, candidates: DataFrame, config: Sampling = Sampling(), block:
     done, low, high = None, 0, block
     total = candidates.groupBy("repo").agg(F.count("*").alias("_n")).cache()
     most = total.agg(F.max("_n")).first()[0] or 0
-    open_ = total.select("repo")
+    open_, held = total.select("repo"), [total]
     while low < most:
         fresh = score(candidates.where((F.col("step") > low) & (F.col("step") <= high)).join(open_, "repo")).cache()
         done = fresh if done is None else done.unionByName(fresh)
         t = trajectory(done.join(total, "repo"), config.z).withColumn("_stop", stop_reason(config))
         open_ = t.groupBy("repo").agg(F.count_if(F.col("_stop").isNotNull()).alias("c")).where("c = 0").select("repo").cache()
+        held += [fresh, open_]
         if not open_.limit(1).count():
             break
         low, high = high, high * 2
-    return candidates.limit(0) if done is None else done.join(total, "repo")
+    if done is None:
+        total.unpersist()
+        return candidates.limit(0)
+    # the rows are numbers, one a scored file: taken once, so that no cached block has to stay
+    out = cut_lineage(done.join(total, "repo"))
+    for x in held:
+        x.unpersist()
+    return out
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A frame cut off from its lineage by a reliable checkpoint where the session has a folder for it, else as it is."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 M64 = (1 << 64) - 1
 # The generator's increment and multipliers.
@@ -40,3 +41,9 @@ def sample_steps(sizes: DataFrame, seed: int = 0) -> DataFrame:
                 yield pd.DataFrame({"repo": repo, "candidate_index": [i + 1 for i in p], "step": range(1, len(p) + 1)})
 
     return sizes.select("repo", "n").mapInPandas(run, f"repo {sizes.schema['repo'].dataType.simpleString()}, candidate_index int, step int")
+
+
+def sampled(candidates: DataFrame, seed: int = 0) -> DataFrame:
+    """Candidates (repo, path, candidate_index) with the step at which each comes up: the permutation joined by index."""
+    sizes = candidates.groupBy("repo").agg(F.count("*").alias("n"))
+    return candidates.join(sample_steps(sizes, seed), ["repo", "candidate_index"])

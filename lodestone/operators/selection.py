@@ -18,11 +18,12 @@ def pruned_above(path: Column) -> Column:
 def walked(entries: DataFrame, max_bytes: int = S.SCAN_FILE_BYTES, max_files: int = S.SCAN_MAX_FILES) -> DataFrame:
     """Entries (repo, path, is_dir, size) that the walk meets before the cap, with reason and walk_index from 1.
 
-    reason: 'pruned' or 'directory' of directories, else extension, pattern, too_large or candidate. The walk of
+    reason: 'pruned', 'unreadable' (column errored, if there) or 'directory' of directories, else extension, pattern, too_large or candidate. The walk of
     one repository is one ordered group."""
     seen = entries.where(~pruned_above(F.col("path")))
     name = F.element_at(F.split("path", "/"), -1)
-    reason = F.when(F.col("is_dir"), F.when(directory_pruned(name), "pruned").otherwise("directory")).otherwise(scan_reason(name, F.col("size"), max_bytes))
+    bad = F.col("errored") if "errored" in entries.columns else F.lit(False)
+    reason = F.when(F.col("is_dir"), F.when(directory_pruned(name), "pruned").when(F.coalesce(bad, F.lit(False)), "unreadable").otherwise("directory")).otherwise(scan_reason(name, F.col("size"), max_bytes))
     w = Window.partitionBy("repo").orderBy("_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     r = seen.withColumns({"reason": reason, "_k": walk_key(F.col("path"), F.col("is_dir"))})
     r = r.withColumns({"walk_index": F.row_number().over(Window.partitionBy("repo").orderBy("_k")), "_c": F.count_if(F.col("reason") == "candidate").over(w)})
@@ -41,5 +42,5 @@ def selection_stats(entries: DataFrame, max_bytes: int = S.SCAN_FILE_BYTES, max_
     files = count("extension", "pattern", "too_large", "candidate")
     return walked(entries, max_bytes, max_files).groupBy("repo").agg(
         files.alias("files_seen"), count("candidate").alias("files_selected"), count("extension").alias("files_skipped_extension"), count("pattern").alias("files_skipped_pattern"),
-        count("too_large").alias("files_skipped_too_large"), count("pruned").alias("directories_pruned"), (count("candidate") >= max(1, max_files)).alias("truncated"),
+        count("too_large").alias("files_skipped_too_large"), count("pruned").alias("directories_pruned"), count("unreadable").alias("directories_errored"), (count("candidate") >= max(1, max_files)).alias("truncated"),
     )

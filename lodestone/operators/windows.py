@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.text import token_windows
+from ..functions.text import token_windows, window_count
+
+
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def words(text: Column) -> Column:
@@ -15,19 +18,39 @@ def words(text: Column) -> Column:
 
 
 def windowed(df: DataFrame, ids: str = "ids", length: int = S.WINDOW_TOKENS, overlap: int = S.WINDOW_OVERLAP) -> DataFrame:
-    """One row a window, window_index from 0, ids the window's slice; records without tokens give none."""
+    """One row a window, window_index from 0, ids the window's slice; records without tokens give none.
+
+    The outer explode keeps Spark from testing the array below it, where the tokens would be made anew for each test."""
     others = [c for c in df.columns if c != ids]
-    return df.withColumn("_w", token_windows(ids, length, overlap)).select(*others, F.posexplode("_w").alias("window_index", ids))
+    return df.withColumn("_w", token_windows(ids, length, overlap)).select(*others, F.posexplode_outer("_w").alias("window_index", ids)).where("window_index IS NOT NULL")
+
+
+def window_counts(tokens: DataFrame, record: str, n: Column, length: int = S.WINDOW_TOKENS, overlap: int = S.WINDOW_OVERLAP) -> DataFrame:
+    """record, n_windows from the number of tokens alone; records without tokens give no row."""
+    return tokens.select(record, window_count(n, length, overlap).alias("n_windows")).where("n_windows > 0")
+
+
+def counted_weights(counts: DataFrame, record: str = "record_id") -> DataFrame:
+    """record, n_windows, sample_weight = average windows of a record / its windows. One number crosses the whole table."""
+    mean = counts.agg(F.avg("n_windows").alias("m"))
+    return counts.withColumn("i", F.lit(1)).join(F.broadcast(mean.withColumn("i", F.lit(1))), "i").select(record, "n_windows", (F.col("m") / F.col("n_windows")).alias("sample_weight"))
 
 
 def window_weights(windows: DataFrame, record: str = "record_id") -> DataFrame:
-    """record, n_windows and sample_weight = average windows of a record / its windows. One number crosses the whole table."""
-    per = windows.groupBy(record).agg(F.count("*").alias("n_windows"))
-    mean = per.agg(F.avg("n_windows").alias("m"))
-    return per.withColumn("i", F.lit(1)).join(F.broadcast(mean.withColumn("i", F.lit(1))), "i").select(record, "n_windows", (F.col("m") / F.col("n_windows")).alias("sample_weight"))
+    return counted_weights(windows.groupBy(record).agg(F.count("*").alias("n_windows")), record)
+
+
+def weighted_windows(windows: DataFrame, weights: DataFrame, record: str = "record_id") -> DataFrame:
+    """Every window with its record's weight, and the record's other columns of `weights`."""
+    return windows.join(weights.drop("n_windows"), record)
 
 
 def record_scores(scores: DataFrame, record: str = "record_id", score: str = "score", how: str = "mean") -> DataFrame:
+    """One score a record. A record whose column n_windows, if there, is not the number of its scores is an error."""
     if how not in ("mean", "max"):
         raise ValueError("how is mean or max")
+    if "n_windows" in scores.columns:
+        g = scores.groupBy(record).agg((F.avg if how == "mean" else F.max)(F.col(score).cast("double")).alias(score), F.count("*").alias("_k"), F.min("n_windows").alias("_a"), F.max("n_windows").alias("_b"))
+        wrong = F.raise_error(F.concat(F.lit("scores of record "), F.col(record).cast("string"), F.lit(": not one a window"))).cast("double")
+        return g.select(record, F.when((F.col("_a") == F.col("_k")) & (F.col("_b") == F.col("_k")), F.col(score)).otherwise(wrong).alias(score))
     return scores.groupBy(record).agg((F.avg if how == "mean" else F.max)(F.col(score).cast("double")).alias(score))

@@ -16,9 +16,7 @@ def file_table(spark: SparkSession, sources: list[dict], roots: dict[str, str],
     """Decoded code files of all checkouts: names and sizes decide before anything is read."""
     listed = None
     for s in sources:
-        one = tree.code_files(spark, roots[s["id"]], s["id"])
-        if s.get("exclude_paths"):
-            one = one.where(~P.under(F.col("path"), F.array(*map(F.lit, s["exclude_paths"]))))
+        one = tree.code_files(spark, roots[s["id"]], s["id"], s.get("exclude_paths") or ())
         if s.get("include_paths"):
             one = one.where(P.under(F.col("path"), F.array(*map(F.lit, s["include_paths"]))))
         listed = one if listed is None else listed.unionByName(one)
@@ -27,8 +25,9 @@ def file_table(spark: SparkSession, sources: list[dict], roots: dict[str, str],
     return read.select("source_id", "path", "size", P.language_of("path").alias("language"), T.decoded("content").alias("text")).where("text IS NOT NULL")
 
 
-def prepare(spark: SparkSession, manifests: dict[str, dict], roots: dict[str, str], out: str | None = None, seed: str = "corpus-v1", balance: bool = True, **limits: int) -> tuple[DataFrame, dict]:
-    """The prepared chunks and their summary; with out, also written there."""
+def prepare(spark: SparkSession, manifests: dict[str, dict], roots: dict[str, str], out: str | None = None, seed: str = "corpus-v1", balance: bool = True, paths: dict[str, str] | None = None, **limits: int) -> tuple[DataFrame, dict]:
+    """The prepared chunks and their summary; with out, also written there. Balanced records come by digest, others by
+    source, path components and chunk. paths: the manifests' files, for the summary."""
     sources = manifest.sources(spark, manifests)
     flat = [s for m in manifests.values() for s in m["sources"]]
     chunks = C.records(file_table(spark, flat, roots), sources, **limits).cache()
@@ -38,11 +37,16 @@ def prepare(spark: SparkSession, manifests: dict[str, dict], roots: dict[str, st
         C.check_balance(unique)
         final = C.balanced(unique, seed)
     else:
-        final = unique.withColumn("output_key", F.struct("source_id", "path", "chunk_index").cast("string"))
+        final = unique.withColumn("output_key", F.lit(None).cast("string"))
     tally = lambda df: {(r["split"], r["label_name"]): r["n"] for r in C.split_counts(df).collect()}
-    nest = lambda t: {s: {n: t[s, n] for n in ("human", "ai") if (s, n) in t} for s in S.SPLITS if any(k[0] == s for k in t)}
-    summary = {"sources": {r["source_id"]: r["n"] for r in C.source_counts(chunks, sources).orderBy("source_id").collect()}, "duplicates_removed": stats["duplicate_count"], "conflicts_removed": stats["conflict_count"], "before_balance": nest(tally(unique)), "after_balance": nest(tally(final))}
+    counts = tally(final)
+    values = (
+        paths or {split: None for split in manifests}, seed, S.NORMALIZATION, {r["source_id"]: r["n"] for r in C.source_counts(chunks, sources).orderBy("source_id").collect()}, unique.count(),
+        stats["duplicate_count"], stats["conflict_count"], balance, {s: {n: counts[s, n] for n in ("human", "ai") if (s, n) in counts} for s in S.SPLITS if s in manifests},
+    )
+    summary = dict(zip(S.SUMMARY, values, strict=True))
     if out:
-        jsonl.write(final, out, "output_key")
+        jsonl.write(final, out, ["output_key"] if balance else ["source_id", F.split("path", "/"), "chunk_index"])
         jsonl.write_summary(summary, f"{out}/summary.json")
+    chunks.unpersist()
     return final, summary

@@ -1,68 +1,107 @@
-"""Repository estimate end to end: list, select, shuffle, score by blocks, stop early."""
+"""Repository estimate end to end: list, select, shuffle, read and score in tasks by blocks, stop early."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import scores, text as T
 from ..operators import estimate, sampling, selection
 from ..sources.tree import Accessor, AccessError, entries
+from ..streaming.progress import advance, begin, report
+from . import score as scorers
 
+STEP = ("repo", "step", "status", "chunks", "ai_chunks", "probability_sum", "is_ai")
+FIRST_BLOCK = 64  # files of the first block; blocks double
 
-def line_chunks(text) -> DataFrame:
+
+def line_chunks(text) -> Column:
     """Chunks of the stand-in scorer: the lines that are not blank."""
     return F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(S.SCAN_STRIP))) > 0)
 
 
-def scored_steps(files: DataFrame, score: Callable = lambda line: scores.line_score(line, S.SCAN_STRIP), threshold: float = S.CHUNK_THRESHOLD, max_chars: int = S.SCAN_READ_CHARS) -> DataFrame:
+def scored_steps(files: DataFrame, score: Callable = lambda line: scores.line_score(line, S.SCAN_STRIP), threshold: float = S.CHUNK_THRESHOLD, max_chars: int = S.SCAN_READ_CHARS, file_threshold: float = 0.5) -> DataFrame:
     """Step rows of files (repo, step, text or null): chunks are scored lines; a file's label comes from their mean."""
     t = F.substring("text", 1, max_chars)
     f = files.select("repo", "step", t.alias("text"))
     f = f.withColumn("_p", F.transform(line_chunks(F.col("text")), score))
     blank = F.coalesce(F.size("_p") < 1, F.lit(True)) | F.contains(F.col("text"), F.lit("\0"))
-    status = F.when(F.col("text").isNull(), "errored").when(T.looks_generated("text"), "generated").when(blank, "errored").otherwise("scanned")
     total = F.aggregate("_p", F.lit(0.0), lambda s, x: s + x.cast("double"))
     n = F.size("_p").cast("long")
-    out = f.withColumn("status", status).select("repo", "step", "status", n.alias("chunks"), F.size(F.filter("_p", lambda x: x >= F.lit(threshold).cast("float"))).cast("long").alias("ai_chunks"), total.alias("probability_sum"))
+    return step_rows(f.select("repo", "step", "text", blank.alias("blank"), n.alias("chunks"), F.size(F.filter("_p", lambda x: x >= F.lit(threshold).cast("float"))).cast("long").alias("ai_chunks"), total.alias("probability_sum")), F.col("probability_sum") / F.greatest("chunks", F.lit(1)) >= file_threshold)
+
+
+def step_rows(f: DataFrame, is_ai: Column) -> DataFrame:
+    """STEP columns of rows with text, blank and the chunk sums: what cannot be scanned has a status and no sums."""
+    status = F.when(F.col("text").isNull(), "errored").when(T.looks_generated("text"), "generated").when(F.col("blank"), "errored").otherwise("scanned")
     ok = F.col("status") == "scanned"
-    return out.select("repo", "step", "status", *[F.when(ok, F.col(c)).otherwise(F.lit(0)).alias(c) for c in ("chunks", "ai_chunks", "probability_sum")], F.when(ok, F.col("probability_sum") / F.greatest("chunks", F.lit(1)) >= 0.5).otherwise(False).alias("is_ai"))
+    return f.withColumn("status", status).select("repo", "step", "status", *[F.when(ok, F.col(c)).otherwise(F.lit(0)).alias(c) for c in ("chunks", "ai_chunks", "probability_sum")], F.when(ok, is_ai).otherwise(False).alias("is_ai"))
+
+
+def model_steps(tokens: Callable, make: scorers.Scorer, threshold: float = S.CHUNK_THRESHOLD, max_chars: int = S.SCAN_READ_CHARS, file_threshold: float = 0.5, how: str = "mean", length: int = S.WINDOW_TOKENS, overlap: int = S.WINDOW_OVERLAP, batch: int = 32) -> Callable[[DataFrame], DataFrame]:
+    """A files-to-steps function of a model: chunks are its token windows, a file's label is its own decision."""
+
+    def steps(files: DataFrame) -> DataFrame:
+        f = files.select("repo", "step", F.substring("text", 1, max_chars).alias("text")).withColumn("file_id", F.concat_ws("\0", "repo", F.col("step").cast("string")))
+        c = scorers.classify(f.select("file_id", "text"), tokens, make, file_threshold, how, length, overlap, batch)
+        c = c.select("file_id", "prediction", F.size("window_probabilities").cast("long").alias("chunks"), F.size(F.filter("window_probabilities", lambda x: x >= F.lit(threshold).cast("float"))).cast("long").alias("ai_chunks"), F.aggregate("window_probabilities", F.lit(0.0), lambda s, x: s + x.cast("double")).alias("probability_sum"))
+        return step_rows(f.join(c, "file_id").withColumn("blank", F.col("prediction").isNull()), F.col("prediction") == "ai")
+
+    return steps
 
 
-def analyze(spark: SparkSession, accessor: Accessor, config: estimate.Sampling = estimate.Sampling(), seed: int = 0, score: Callable = scored_steps, max_bytes: int = S.SCAN_FILE_BYTES, max_files: int = S.SCAN_MAX_FILES, on_progress: Callable[[dict], bool] | None = None) -> dict:
-    """Statistics of one repository. Files are read in the seeded order, a block at a time, until the estimate stops.
+def read(candidates: DataFrame, accessor: Accessor, max_chars: int = S.SCAN_READ_CHARS) -> DataFrame:
+    """repo, step, text of rows (repo, step, path), read in tasks by a copy of the accessor; null where it fails."""
 
-    on_progress gets the statistics after each block; a false return cancels there."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 32):  # a file may have 131,072 characters
+                part, texts = b.slice(i, 32), []
+                for path in part.column("path").to_pylist():
+                    try:
+                        texts.append(accessor.read_file(path, None, max_chars))
+                    except AccessError:
+                        texts.append(None)
+                yield pa.RecordBatch.from_arrays([part.column("repo"), part.column("step"), pa.array(texts, pa.string())], ["repo", "step", "text"])
+
+    return candidates.select("repo", "step", "path").mapInArrow(run, "repo string, step int, text string")
+
+
+def analyze(spark: SparkSession, accessor: Accessor, config: estimate.Sampling = estimate.Sampling(), seed: int = 0, score: Callable[[DataFrame], DataFrame] = scored_steps, max_bytes: int = S.SCAN_FILE_BYTES, max_files: int = S.SCAN_MAX_FILES, on_progress: Callable[[dict], bool | None] | None = None, block: int = FIRST_BLOCK) -> dict:
+    """Statistics of one repository. Files are read and scored in tasks, in the seeded order, a block at a time; only the
+    blocks' step rows (numbers) reach the driver, which goes through them file by file and stops where the estimate does.
+
+    on_progress gets the statistics after the selection and after each file; a false return cancels there."""
     listed = entries(spark, accessor, prune=lambda n: n.startswith(".") or n in S.SCAN_DIRECTORIES).cache()
-    stats = (selection.selection_stats(listed, max_bytes, max_files).drop("repo").first() or _none()).asDict()
-    paths = [r["path"] for r in selection.candidates(listed, max_bytes=max_bytes, max_files=max_files).orderBy("candidate_index").collect()]  # at most max_files
-    order = sampling.permutation(len(paths), seed)
-    done: list[tuple] = []
-    block, result, at = 64, None, 0
-    while at < len(paths):
-        for step in range(at, min(at + block, len(paths))):
-            try:
-                text = accessor.read_file(paths[order[step]], None, S.SCAN_READ_CHARS)
-            except AccessError:
-                text = None
-            done.append(("repo", step + 1, text, len(paths)))
-        at, block = len(done), block * 2
-        files = spark.createDataFrame(done, "repo string, step int, text string, _n int")
-        steps = score(files).join(files.select("step", "_n"), "step")
-        result = estimate.repo_stats(steps, config).first().asDict()
-        if result["stop_reason"] == "all_files_scanned" and at < len(paths):
-            result["stop_reason"] = None
-        if on_progress and on_progress(stats | result) is False and result["stop_reason"] is None:
-            return stats | result | {"stop_reason": "cancelled"}
-        if result["stop_reason"]:
-            break
-    return stats | (result or {"files_scanned": 0, "chunks_scanned": 0, "fraction": None, "half_width": None, "stop_reason": "all_files_scanned"})
-
-
-def _none():
-    from pyspark.sql import Row
-
-    return Row(files_seen=0, files_selected=0, files_skipped_extension=0, files_skipped_pattern=0, files_skipped_too_large=0, directories_pruned=0, truncated=False)
+    try:
+        found = selection.selection_stats(listed, max_bytes, max_files).drop("repo").first()
+        stats = found.asDict() if found else NOTHING
+        s = begin(stats["files_selected"])
+        told = lambda: on_progress is None or on_progress(stats | report(s)) is not False
+        if not told():
+            return stats | report(s) | {"stop_reason": "cancelled"}
+        if not s["total"]:
+            return stats | report(s) | {"stop_reason": "all_files_scanned"}
+        ordered = sampling.sampled(selection.candidates(listed, max_bytes=max_bytes, max_files=max_files), seed).cache()
+        tasks = spark.sparkContext.defaultParallelism
+        low, high = 0, block
+        while s["stop"] is None:
+            here = ordered.where((F.col("step") > low) & (F.col("step") <= high)).repartition(tasks)
+            for row in sorted(score(read(here, accessor)).select(*STEP).collect(), key=lambda r: r["step"]):  # at most max_files rows of numbers
+                advance(s, row.asDict(), config)
+                if not told() and s["stop"] is None:
+                    s["stop"] = "cancelled"
+                if s["stop"]:
+                    break
+            low, high = high, high * 2
+        ordered.unpersist()
+        return stats | report(s)
+    finally:
+        listed.unpersist()
+
+
+NOTHING = {"files_seen": 0, "files_selected": 0, "files_skipped_extension": 0, "files_skipped_pattern": 0, "files_skipped_too_large": 0, "directories_pruned": 0, "directories_errored": 0, "truncated": False}

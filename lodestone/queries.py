@@ -146,16 +146,24 @@ def language_breakdown(spark, sf):
     return C.breakdown(documents(spark, sf).select(F.col("lang").alias("language"), (F.col("doc_id") % 2).alias("label")))
 
 
+@query("""SELECT CASE WHEN grouping(lang) = 1 THEN 'TOTAL' ELSE lang END AS language, count_if(doc_id % 2 = 0)::BIGINT AS human, count_if(doc_id % 2 = 1)::BIGINT AS ai, count(*) AS total FROM documents GROUP BY ROLLUP (lang)""")
+def merged_breakdown(spark, sf):
+    """The breakdowns of train and of the other splits, as two datasets, merged."""
+    d = documents(spark, sf).select(F.col("lang").alias("language"), (F.col("doc_id") % 2).alias("label"), F.col("doc_id") % 10 < 8)
+    d = d.toDF("language", "label", "train")
+    return C.merged(*(C.breakdown(d.where(c).drop("train")) for c in ("train", "NOT train")))
+
+
 @query(f"""SELECT split, CASE WHEN label = 1 THEN 'ai' ELSE 'human' END AS label_name, count(*) AS n FROM ({RECORDS_SQL}) GROUP BY 1, 2""")
 def split_summary(spark, sf):
     return C.split_counts(doc_records(spark, sf).select("split", "label"))
 
 
-@query("""SELECT s.source_id, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT source AS source_id FROM documents UNION ALL SELECT 'unused') s LEFT JOIN (SELECT source, count(*) AS n FROM documents WHERE doc_id % 3 = 0 GROUP BY 1) c ON c.source = s.source_id""")
+@query("""SELECT s.source_id, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT source AS source_id FROM documents UNION ALL SELECT 'unused') s LEFT JOIN (SELECT source, count(*) AS n FROM documents GROUP BY 1) c ON c.source = s.source_id""")
 def chunks_per_source(spark, sf):
     d = documents(spark, sf)
     s = d.select(F.col("source").alias("id")).distinct().unionByName(spark.range(1).select(F.lit("unused").alias("id")))
-    return C.source_counts(d.where("doc_id % 3 = 0").select(F.col("source").alias("source_id")), s)
+    return C.source_counts(d.select(F.col("source").alias("source_id")), s)
 
 
 @query("""WITH r AS (SELECT doc_id, lang, doc_id % 3 = 1 AS ai, row_number() OVER (PARTITION BY lang, doc_id % 3 = 1 ORDER BY doc_id) AS i FROM documents),
@@ -166,12 +174,12 @@ def truncate_balanced(spark, sf):
     return C.truncated_pairs(d, 301).select("doc_id", "lang")
 
 
-@query("""SELECT b.item_id, min(d.doc_id) AS first_doc, count(DISTINCT d.doc_id) AS n_docs FROM (SELECT item_id, sha256(unnest(string_split(text, chr(10)))) AS h FROM benchmark) b JOIN (SELECT doc_id, sha256(unnest(string_split(text, chr(10)))) AS h FROM documents) d USING (h) GROUP BY b.item_id""")
+@query("""SELECT b.item_id, min(d.doc_id) AS first_doc, count(DISTINCT d.doc_id) AS n_docs FROM (SELECT DISTINCT item_id, sha256(unnest(string_split(text, chr(10)))) AS h FROM benchmark) b JOIN (SELECT DISTINCT doc_id, sha256(unnest(string_split(text, chr(10)))) AS h FROM documents) d USING (h) GROUP BY b.item_id""")
 def exact_leaks(spark, sf):
     """Benchmark items that share a whole line with a document, by content hash."""
-    line = lambda t, k: t.select(k, F.explode(F.split("text", "\n")).alias("line")).select(k, F.sha2("line", 256).alias("h"))
+    line = lambda t, k: t.select(k, F.explode(F.split("text", "\n")).alias("line")).select(k, F.sha2("line", 256).alias("h")).distinct()
     b, d = line(spark.read.parquet(f"{sf}/benchmark.parquet"), "item_id"), line(documents(spark, sf), "doc_id")
-    return b.join(d, "h").groupBy("item_id").agg(F.min("doc_id").alias("first_doc"), F.countDistinct("doc_id").alias("n_docs"))
+    return C.leaks(b, d)
 
 
 # --- windows, scores, metrics -------------------------------------------------------------------------
@@ -192,7 +200,17 @@ def token_windows(spark, sf):
 
 @query(f"""WITH {WINDOWS_SQL}, c AS (SELECT doc_id, count(*) AS n_windows FROM w GROUP BY 1) SELECT doc_id, n_windows, round((SELECT avg(n_windows) FROM c) / n_windows, 9) AS sample_weight FROM c""")
 def window_weights(spark, sf):
-    return W.window_weights(doc_windows(spark, sf), "doc_id").select("doc_id", "n_windows", r9(F.col("sample_weight")).alias("sample_weight"))
+    counts = W.window_counts(documents(spark, sf), "doc_id", F.regexp_count("text", F.lit(W.WORD)), 128, 16)
+    return W.counted_weights(counts, "doc_id").select("doc_id", "n_windows", r9(F.col("sample_weight")).alias("sample_weight"))
+
+
+@query(f"""WITH {WINDOWS_SQL}, c AS (SELECT doc_id, count(*) AS n_windows FROM w GROUP BY 1) SELECT w.doc_id, i AS window_index, len(list_slice(ws, i * 112 + 1, i * 112 + 128)) AS n_tokens, round((SELECT avg(n_windows) FROM c) / n_windows, 9) AS sample_weight FROM w JOIN c ON c.doc_id = w.doc_id""")
+def weighted_windows(spark, sf):
+    """Windows with their records' weights joined back."""
+    d = doc_windows(spark, sf)
+    counts = W.window_counts(documents(spark, sf), "doc_id", F.regexp_count("text", F.lit(W.WORD)), 128, 16)
+    w = W.weighted_windows(d, W.counted_weights(counts, "doc_id"), "doc_id")
+    return w.select("doc_id", F.col("window_index").cast("long").alias("window_index"), F.size("ids").cast("long").alias("n_tokens"), r9(F.col("sample_weight")).alias("sample_weight"))
 
 
 def score_sql(f: str) -> str:
@@ -278,33 +296,35 @@ def tree_files(spark, sf):
 
 
 def tree_entries(spark, sf):
-    """Files and the directories above them."""
+    """Files, the directories above them, and some directories that could not be listed."""
     f = tree_files(spark, sf)
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
     up = f.where(F.size(parts) > 1).select("repo", F.explode(above).alias("path")).distinct()
-    return f.select("repo", "path", F.lit(False).alias("is_dir"), "size").unionByName(up.select("repo", "path", F.lit(True).alias("is_dir"), F.lit(None).cast("long").alias("size")))
+    folder = lambda rows, bad: rows.select("repo", "path", F.lit(True).alias("is_dir"), F.lit(None).cast("long").alias("size"), F.lit(bad).alias("errored"))
+    locked = documents(spark, sf).select(F.col("source").alias("repo"), F.concat(F.lit("locked"), (F.col("doc_id") % 3).cast("string")).alias("path")).distinct()
+    return f.select("repo", "path", F.lit(False).alias("is_dir"), "size", F.lit(False).alias("errored")).unionByName(folder(up, False)).unionByName(folder(locked, True))
 
 
 GEN_SQL = " OR ".join(f"ends_with(lower(name), '{s}')" for s in S.GENERATED_SUFFIXES)
 SCAN_DIRS_SQL = "(" + ", ".join(f"'{d}'" for d in S.SCAN_DIRECTORIES) + ")"
 EXT_SQL = "(" + ", ".join(f"'{d}'" for d in S.SCAN_EXTENSIONS) + ")"
 HEX_SQL = "list_transform(parts[:-2], lambda c: translate(hex(c), '0123456789ABCDEF', 'FEDCBA9876543210') || 'G')"
-WALK_SQL = f"""{TREE_SQL}, e AS (SELECT repo, path, false AS is_dir, size FROM tree UNION ALL SELECT DISTINCT repo, array_to_string(list_slice(string_split(path, '/'), 1, i), '/'), true, NULL FROM (SELECT repo, path, unnest(range(1, len(string_split(path, '/')))) AS i FROM tree)),
+WALK_SQL = f"""{TREE_SQL}, e AS (SELECT repo, path, false AS is_dir, size FROM tree UNION ALL SELECT DISTINCT repo, array_to_string(list_slice(string_split(path, '/'), 1, i), '/'), true, NULL FROM (SELECT repo, path, unnest(range(1, len(string_split(path, '/')))) AS i FROM tree) UNION ALL SELECT DISTINCT source, 'locked' || doc_id % 3, true, NULL FROM documents),
  s AS (SELECT *, string_split(path, '/') AS parts, string_split(path, '/')[-1] AS name FROM e),
  k AS (SELECT * FROM s WHERE len(list_filter(parts[:-2], lambda d: starts_with(d, '.') OR d IN {SCAN_DIRS_SQL})) = 0),
- q AS (SELECT *, CASE WHEN is_dir THEN CASE WHEN starts_with(name, '.') OR name IN {SCAN_DIRS_SQL} THEN 'pruned' ELSE 'directory' END WHEN regexp_extract(lower(name), '^.+[.]([^.]*)$', 1) NOT IN {EXT_SQL} THEN 'extension' WHEN starts_with(name, '.') OR {GEN_SQL} THEN 'pattern' WHEN size > 2097152 THEN 'too_large' ELSE 'candidate' END AS reason FROM k),
- w AS (SELECT *, count_if(reason = 'candidate') OVER (PARTITION BY repo ORDER BY {HEX_SQL}, name ROWS UNBOUNDED PRECEDING) AS c FROM q), z AS (SELECT * FROM w WHERE c < 12 OR (c = 12 AND reason = 'candidate'))"""
+ q AS (SELECT *, CASE WHEN is_dir THEN CASE WHEN starts_with(name, '.') OR name IN {SCAN_DIRS_SQL} THEN 'pruned' WHEN starts_with(path, 'locked') THEN 'unreadable' ELSE 'directory' END WHEN regexp_extract(lower(name), '^.+[.]([^.]*)$', 1) NOT IN {EXT_SQL} THEN 'extension' WHEN starts_with(name, '.') OR {GEN_SQL} THEN 'pattern' WHEN size > 2097152 THEN 'too_large' ELSE 'candidate' END AS reason FROM k),
+ w AS (SELECT *, count_if(reason = 'candidate') OVER (PARTITION BY repo ORDER BY {HEX_SQL}, name ROWS UNBOUNDED PRECEDING) AS c FROM q), z AS (SELECT * FROM w WHERE c < 10000 OR (c = 10000 AND reason = 'candidate'))"""
 
 
 @query(f"""WITH {WALK_SQL} SELECT repo, path, row_number() OVER (PARTITION BY repo ORDER BY {HEX_SQL}, name) AS candidate_index FROM z WHERE reason = 'candidate'""")
 def select_candidates(spark, sf):
-    return selection.candidates(tree_entries(spark, sf), max_files=12).select("repo", "path", F.col("candidate_index").cast("long").alias("candidate_index"))
+    return selection.candidates(tree_entries(spark, sf)).select("repo", "path", F.col("candidate_index").cast("long").alias("candidate_index"))
 
 
-@query(f"""WITH {WALK_SQL} SELECT repo, count_if(NOT is_dir)::BIGINT AS files_seen, count_if(reason = 'candidate')::BIGINT AS files_selected, count_if(reason = 'extension')::BIGINT AS files_skipped_extension, count_if(reason = 'pattern')::BIGINT AS files_skipped_pattern, count_if(reason = 'too_large')::BIGINT AS files_skipped_too_large, count_if(reason = 'pruned')::BIGINT AS directories_pruned, count_if(reason = 'candidate') >= 12 AS truncated FROM z GROUP BY repo""")
+@query(f"""WITH {WALK_SQL} SELECT repo, count_if(NOT is_dir)::BIGINT AS files_seen, count_if(reason = 'candidate')::BIGINT AS files_selected, count_if(reason = 'extension')::BIGINT AS files_skipped_extension, count_if(reason = 'pattern')::BIGINT AS files_skipped_pattern, count_if(reason = 'too_large')::BIGINT AS files_skipped_too_large, count_if(reason = 'pruned')::BIGINT AS directories_pruned, count_if(reason = 'unreadable')::BIGINT AS directories_errored, count_if(reason = 'candidate') >= 10000 AS truncated FROM z GROUP BY repo""")
 def selection_stats(spark, sf):
-    return selection.selection_stats(tree_entries(spark, sf), max_files=12)
+    return selection.selection_stats(tree_entries(spark, sf))
 
 
 LANG_SQL = "CASE lower(name) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in S.NAME_LANGUAGE.items()) + " ELSE CASE regexp_extract(lower(name), '^[.]*[^.].*([.][^.]+)$', 1) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in S.SUFFIX_LANGUAGE.items()) + " END END"
@@ -341,6 +361,23 @@ def parse_repository(spark, sf):
     return addresses(spark, sf).select("page_id", r["owner"].alias("owner"), r["name"].alias("name"))
 
 
+@query(f"""SELECT page_id, owner, name FROM (SELECT page_id, regexp_extract(v, p, 1) AS owner, regexp_replace(regexp_extract(v, p, 2), '(?i)[.]git$', '') AS name FROM (SELECT page_id, regexp_replace(trim({ADDRESS_SQL}), '/+$', '') AS v, '^(?:(?i:https?)://(?i:github[.]com)/+|(?:[^/:]*@)?(?i:github[.]com):)([^/?#]+)/+([^/?#]+)/*(?:[?#].*)?$' AS p FROM pages)) WHERE owner NOT IN ('', '.', '..') AND name NOT IN ('', '.', '..')""")
+def hosted_repository(spark, sf):
+    """The strict form: addresses of the host alone, no bare owner/name."""
+    r = P.repository(F.col("address"), bare=False)
+    return addresses(spark, sf).where(r.isNotNull()).select("page_id", r["owner"].alias("owner"), r["name"].alias("name"))
+
+
+@query(f"""SELECT page_id, CASE page_id % 8 WHEN 4 THEN 'host' WHEN 5 THEN 'segments' WHEN 7 THEN 'segments' END AS problem FROM pages""")
+def address_problems(spark, sf):
+    return addresses(spark, sf).select("page_id", P.address_problem(F.col("address")).alias("problem"))
+
+
+@query(f"""WITH {TREE_SQL} SELECT repo, path, 'https://api.github.com/repos/own%20er/' || url_encode(repo) || '/contents/' || array_to_string(list_transform(string_split(path, '/'), lambda x: url_encode(x)), '/') AS url FROM tree""")
+def contents_urls(spark, sf):
+    return tree_files(spark, sf).select("repo", "path", P.contents_url(F.lit("https://api.github.com/"), F.lit("own er"), F.col("repo"), F.col("path")).alias("url"))
+
+
 @query(f"""SELECT page_id, nullif(trim(regexp_replace(lower(regexp_replace(regexp_extract(regexp_replace(trim({ADDRESS_SQL}), '/+$', ''), '([^/:]*)$', 1), '(?i)[.]git$', '')), '[^a-z0-9]+', '-', 'g'), '-'), '') AS slug FROM pages""")
 def source_slug(spark, sf):
     return addresses(spark, sf).select("page_id", P.source_slug(F.col("address")).alias("slug"))
@@ -408,11 +445,23 @@ def repo_stats(spark, sf):
     return t.select("repo", F.col("step").cast("long").alias("step"), *COUNTS, *[r9(F.col(c)).alias(c) for c in ROUNDED], "stop_reason")
 
 
-@query(f"""WITH RECURSIVE n AS (SELECT source AS repo, least(count(*), 200) AS n FROM documents GROUP BY 1),
- s(repo, n, i, k, l) AS (SELECT repo, n, n - 1, 1, range(1, n + 1) FROM n UNION ALL
+def shuffle_sql(sizes: str) -> str:
+    """shuffled(repo, candidate_index, step) from a query of (repo, n): the swaps one by one in a recursive CTE."""
+    return f"""counted AS ({sizes}),
+ swaps(repo, n, i, k, l) AS (SELECT repo, n, n - 1, 1, range(1, n + 1) FROM counted UNION ALL
   SELECT repo, n, i - 1, k + 1, list_transform(l, lambda v, q: CASE WHEN q = i + 1 THEN l[j + 1] WHEN q = j + 1 THEN l[i + 1] ELSE v END) FROM (SELECT *, CAST((z2 * (i + 1)::UHUGEINT) // 18446744073709551616::UHUGEINT AS BIGINT) AS j FROM (SELECT *, xor(z1, z1 // 2147483648::UHUGEINT) AS z2 FROM (SELECT *, (xor(y1, y1 // 134217728::UHUGEINT) * 10723151780598845931::UHUGEINT) % 18446744073709551616::UHUGEINT AS z1 FROM (
-   SELECT *, (xor(x, x // 1073741824::UHUGEINT) * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT AS y1 FROM (SELECT *, (7::UHUGEINT + k::UHUGEINT * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT AS x FROM s WHERE i > 0))))))
-SELECT repo, CAST(l[step] AS INTEGER) AS candidate_index, CAST(step AS INTEGER) AS step FROM (SELECT repo, l, unnest(range(1, n + 1)) AS step FROM s WHERE i <= 0)""")
+   SELECT *, (xor(x, x // 1073741824::UHUGEINT) * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT AS y1 FROM (SELECT *, (7::UHUGEINT + k::UHUGEINT * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT AS x FROM swaps WHERE i > 0)))))),
+ shuffled AS (SELECT repo, CAST(l[step] AS INTEGER) AS candidate_index, CAST(step AS INTEGER) AS step FROM (SELECT repo, l, unnest(range(1, n + 1)) AS step FROM swaps WHERE i <= 0))"""
+
+
+@query(f"""WITH RECURSIVE {shuffle_sql("SELECT source AS repo, least(count(*), 10000) AS n FROM documents GROUP BY 1")} SELECT * FROM shuffled""")
 def sample_order(spark, sf):
-    sizes = documents(spark, sf).groupBy(F.col("source").alias("repo")).agg(F.least(F.count("*"), F.lit(200)).alias("n"))
+    sizes = documents(spark, sf).groupBy(F.col("source").alias("repo")).agg(F.least(F.count("*"), F.lit(S.SCAN_MAX_FILES)).alias("n"))
     return sampling.sample_steps(sizes, 7)
+
+
+@query(f"""WITH RECURSIVE {WALK_SQL}, c AS (SELECT repo, path, row_number() OVER (PARTITION BY repo ORDER BY {HEX_SQL}, name) AS candidate_index FROM z WHERE reason = 'candidate'),
+ {shuffle_sql("SELECT repo, count(*) AS n FROM c GROUP BY 1")} SELECT repo, path, step FROM c JOIN shuffled USING (repo, candidate_index)""")
+def sampled_candidates(spark, sf):
+    """Candidates of the walk with the step at which the shuffle takes them."""
+    return sampling.sampled(selection.candidates(tree_entries(spark, sf)), 7).select("repo", "path", "step")

@@ -30,57 +30,78 @@ SCAN_STRIP = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2
 STRIP = SCAN_STRIP + "".join(map(chr, range(0x1C, 0x20)))
 
 # Language by suffix in corpus preparation.
-LANGUAGES = {
-    "assembly": "asm s",
-    "c": "c h",
-    "clojure": "clj cljs",
-    "cpp": "cc cpp cxx hh hpp",
-    "csharp": "cs",
-    "dart": "dart",
-    "elixir": "ex exs",
-    "erlang": "erl hrl",
-    "fsharp": "fs fsx",
-    "go": "go",
-    "java": "java",
-    "javascript": "js jsx",
-    "kotlin": "kt kts",
-    "lua": "lua",
-    "objective-c": "m",
-    "objective-cpp": "mm",
-    "perl": "pl",
-    "php": "php",
-    "powershell": "ps1",
-    "python": "py",
-    "r": "r",
-    "ruby": "rb",
-    "rust": "rs",
-    "scala": "scala",
-    "shell": "bash fish sh zsh",
-    "solidity": "sol",
-    "swift": "swift",
-    "typescript": "ts tsx",
-    "visual-basic": "vb vbs",
-    "zig": "zig",
+SUFFIX_LANGUAGE = {
+    ".asm": "assembly",
+    ".s": "assembly",
+    ".c": "c",
+    ".h": "c",
+    ".clj": "clojure",
+    ".cljs": "clojure",
+    ".cc": "cpp",
+    ".cpp": "cpp",
+    ".cxx": "cpp",
+    ".hh": "cpp",
+    ".hpp": "cpp",
+    ".cs": "csharp",
+    ".dart": "dart",
+    ".ex": "elixir",
+    ".exs": "elixir",
+    ".erl": "erlang",
+    ".hrl": "erlang",
+    ".fs": "fsharp",
+    ".fsx": "fsharp",
+    ".go": "go",
+    ".java": "java",
+    ".js": "javascript",
+    ".jsx": "javascript",
+    ".kt": "kotlin",
+    ".kts": "kotlin",
+    ".lua": "lua",
+    ".m": "objective-c",
+    ".mm": "objective-cpp",
+    ".pl": "perl",
+    ".php": "php",
+    ".ps1": "powershell",
+    ".py": "python",
+    ".r": "r",
+    ".rb": "ruby",
+    ".rs": "rust",
+    ".scala": "scala",
+    ".bash": "shell",
+    ".fish": "shell",
+    ".sh": "shell",
+    ".zsh": "shell",
+    ".sol": "solidity",
+    ".swift": "swift",
+    ".ts": "typescript",
+    ".tsx": "typescript",
+    ".vb": "visual-basic",
+    ".vbs": "visual-basic",
+    ".zig": "zig",
 }
-SUFFIX_LANGUAGE = {f".{s}": language for language, suffixes in LANGUAGES.items() for s in suffixes.split()}
 NAME_LANGUAGE = {"dockerfile": "dockerfile", "makefile": "makefile", "rakefile": "ruby"}
 
 # Names left out of corpus preparation.
 PREP_FILES = ("cargo.lock", "package-lock.json", "uv.lock")
 PREP_DIRECTORIES = (
-    ".cache .git .github .idea .venv .vscode __pycache__ build coverage dist docs fixtures generated node_modules out target test tests third_party vendor venv"
-).split()
+    ".cache", ".git", ".github", ".idea", ".venv", ".vscode", "__pycache__", "build", "coverage", "dist", "docs", "fixtures", "generated",
+    "node_modules", "out", "target", "test", "tests", "third_party", "vendor", "venv",
+)
 
 # What a repository scan takes and leaves out.
 SCAN_EXTENSIONS = (
-    "bash c cc cjs clj cljc cljs cpp cs cxx d dart elm erl ex exs fish go groovy h hh hpp hrl hs hxx java jl js jsx kt kts lua m mjs ml mli mm nim "
-    "php pl pm ps1 purs py r rb rkt rs scala sh sql svelte swift tcl ts tsx vue zig zsh"
-).split()
-SCAN_DIRECTORIES = "__pycache__ bower_components build deps dist external generated node_modules obj out pods target third-party third_party thirdparty vendor vendored venv".split()
+    "bash", "c", "cc", "cjs", "clj", "cljc", "cljs", "cpp", "cs", "cxx", "d", "dart", "elm", "erl", "ex", "exs", "fish", "go", "groovy", "h", "hh",
+    "hpp", "hrl", "hs", "hxx", "java", "jl", "js", "jsx", "kt", "kts", "lua", "m", "mjs", "ml", "mli", "mm", "nim", "php", "pl", "pm", "ps1", "purs",
+    "py", "r", "rb", "rkt", "rs", "scala", "sh", "sql", "svelte", "swift", "tcl", "ts", "tsx", "vue", "zig", "zsh",
+)
+SCAN_DIRECTORIES = (
+    "__pycache__", "bower_components", "build", "deps", "dist", "external", "generated", "node_modules", "obj", "out", "pods", "target",
+    "third-party", "third_party", "thirdparty", "vendor", "vendored", "venv",
+)
 GENERATED_SUFFIXES = (
-    ".bundle.js .designer.cs .freezed.dart .g.cs .g.dart .gen.go .gen.ts .generated.cs .min.css .min.js .pb.cc .pb.go .pb.h .pb.swift "
-    "_generated.go _pb.js _pb.ts _pb2.py _pb2_grpc.py"
-).split()
+    ".bundle.js", ".designer.cs", ".freezed.dart", ".g.cs", ".g.dart", ".gen.go", ".gen.ts", ".generated.cs", ".min.css", ".min.js", ".pb.cc",
+    ".pb.go", ".pb.h", ".pb.swift", "_generated.go", "_pb.js", "_pb.ts", "_pb2.py", "_pb2_grpc.py",
+)
 GENERATED_MARKERS = (
     "@generated",
     "auto-generated file",
@@ -92,3 +113,7 @@ GENERATED_MARKERS = (
     "this file is generated",
     "this file was generated",
 )
+
+# Keys of the preparation summary, in order.
+SUMMARY = ("manifests", "seed", "normalization", "source_counts_before_deduplication", "records_after_deduplication", "same_label_duplicates_removed", "cross_label_conflicts_removed", "balanced", "split_counts")
+NORMALIZATION = "NFC, UTF-8, LF line endings, trailing whitespace removed"

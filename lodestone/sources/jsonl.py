@@ -3,31 +3,65 @@
 from __future__ import annotations
 
 import json
+import shutil
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
 
 
-def read(spark: SparkSession, path: str, schema: str = S.CHUNKS) -> DataFrame:
-    """Fails on malformed lines; blank lines are skipped. Records must have text, a label of 0 or 1 and a language."""
+def sound(full: bool = True):
+    """Whether a record may be used: a label of 0 or 1 and a language, and for training (full) a text too."""
+    good = F.col("label").isin(0, 1) & (F.length("language") > 0)
+    return F.coalesce(good & F.col("text").isNotNull() if full else good, F.lit(False))
+
+
+def read(spark: SparkSession, path: str, schema: str = S.CHUNKS, full: bool = True) -> DataFrame:
+    """Fails on malformed lines and on records that are not sound(); blank lines are skipped. problems() says where."""
     df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    good = F.col("text").isNotNull() & F.col("label").isin(0, 1) & (F.length("language") > 0)
-    return df.where(F.when(F.coalesce(good, F.lit(False)), True).otherwise(F.raise_error(F.concat(F.lit("bad record: "), F.to_json(F.struct("*"))).cast("string")).cast("boolean")))
+    return df.where(F.when(sound(full), True).otherwise(F.raise_error(F.concat(F.lit("bad record: "), F.to_json(F.struct("*"))).cast("string")).cast("boolean")))
 
 
-def quarantine(df: DataFrame) -> DataFrame:
+def quarantine(df: DataFrame, full: bool = True) -> DataFrame:
     """The records that read() would fail on."""
-    return df.where(~F.coalesce(F.col("text").isNotNull() & F.col("label").isin(0, 1) & (F.length("language") > 0), F.lit(False)))
+    return df.where(~sound(full))
+
+
+def problems(spark: SparkSession, path: str, full: bool = True) -> DataFrame:
+    """path, line (from 1) and problem of every line that read() would fail on.
 
+    Lines are numbered without a sort: lines of a file's earlier blocks, then the place within the block."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"), "value")
+    blocks = lines.groupBy("path", "at").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = blocks.select("path", "at", "first", (F.sum("n").over(Window.partitionBy("path").orderBy("at")) - F.col("n")).alias("before"))
+    record = F.from_json("value", "text string, label string, language string, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    made = lines.where(F.trim("value") != "").join(before, ["path", "at"]).select("path", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), record.alias("r"))
+    r = lambda c: F.col("r").getField(c)
+    what = F.when(r("_bad").isNotNull(), "not JSON").when(~F.coalesce(F.length(r("language")) > 0, F.lit(False)), "language").when(~F.coalesce(r("label").isin("0", "1"), F.lit(False)), "label")
+    if full:
+        what = what.when(r("text").isNull(), "text")
+    return made.select("path", "line", what.alias("problem")).where("problem IS NOT NULL")
 
-def write(df: DataFrame, folder: str, order: str | None = None) -> None:
-    """One folder a split with compact lines in the given order; null fields are written. Parts stay parallel and in order."""
+
+def write(df: DataFrame, folder: str, order: list | None = None) -> None:
+    """One folder a split with compact lines in the given order; null fields are written. Parts stay parallel and in order:
+    joined in turn (joined()) they are the one file a split."""
     for split in S.SPLITS:
         part = df.where(F.col("split") == split)
-        (part.orderBy(order) if order else part).select(*S.CHUNK_COLUMNS).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/{split}.jsonl")
+        (part.orderBy(*order) if order else part).select(*S.CHUNK_COLUMNS).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/{split}.jsonl")
+
+
+def joined(folder: str | Path, split: str) -> Path:
+    """The parts of a written split as one file {split}.jsonl beside its folder, which goes; for folders on this machine."""
+    parts, out = Path(folder, f"{split}.jsonl"), Path(folder, f"{split}.jsonl.tmp")
+    with out.open("wb") as f:
+        for p in sorted(parts.glob("part-*")):
+            with p.open("rb") as g:
+                shutil.copyfileobj(g, f)
+    shutil.rmtree(parts)
+    return out.rename(parts)
 
 
 def write_summary(summary: dict, path: str | Path) -> None:

@@ -13,13 +13,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from .. import schema as S
+
 
 class AccessError(Exception):
-    """kind: invalid_path, not_found, permission_denied, io or utf8."""
+    """kind: invalid_path, invalid_repository, invalid_ref, not_found, permission_denied, io, utf8, http, metadata, or
+    upstream, which has the host's status."""
 
-    def __init__(self, kind: str, message: str):
+    def __init__(self, kind: str, message: str, status: int | None = None):
         super().__init__(message)
-        self.kind = kind
+        self.kind, self.status = kind, status
 
 
 class Accessor(Protocol):
@@ -105,10 +108,11 @@ class DirectoryAccessor:
 
 
 def entries(spark: SparkSession, accessor: Accessor, repo: str = "repo", prune=None) -> DataFrame:
-    """repo, path, is_dir, size of a tree. prune(name) keeps the listing out of directories, which still have a row.
+    """repo, path, is_dir, size, errored of a tree. prune(name) keeps the listing out of directories, which still have a
+    row; errored marks directories that could not be listed.
 
     Real directories are visited once, so link cycles end. A root that cannot be listed is an error."""
-    rows, pending, seen = [], ["."], set()
+    rows, bad, pending, seen = [], set(), ["."], set()
     while pending:
         at = pending.pop()
         real = str(accessor.resolve(at)) if isinstance(accessor, DirectoryAccessor) else at
@@ -120,24 +124,28 @@ def entries(spark: SparkSession, accessor: Accessor, repo: str = "repo", prune=N
         except AccessError:
             if at == ".":
                 raise
+            bad.add(at)
             continue
         for e in found:
             path = e["name"] if at == "." else f"{at}/{e['name']}"
-            rows.append((repo, path, e["entry_type"] == "dir", e["size"]))
+            rows.append((path, e["entry_type"] == "dir", e["size"]))
             if e["entry_type"] == "dir" and not (prune and prune(e["name"])):
                 pending.append(path)
-    return spark.createDataFrame(rows, "repo string, path string, is_dir boolean, size bigint")
+    return spark.createDataFrame([(repo, p, d, n, p in bad) for p, d, n in rows], "repo string, path string, is_dir boolean, size bigint, errored boolean")
 
 
-def code_files(spark: SparkSession, root: str | Path, source_id: str) -> DataFrame:
-    """source_id, path, size of all regular files of a checkout, links left out; filters are columns (paths.prep_selected)."""
+def code_files(spark: SparkSession, root: str | Path, source_id: str, exclude: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """source_id, path, size of all regular files of a checkout, links left out. Left-out directories and excluded paths are
+    never entered; the other filters are columns (paths.prep_selected)."""
     root, rows = str(root), []
+    out = lambda p: any(p == x or p.startswith(x + "/") for x in exclude)
+    below = lambda base, n: os.path.relpath(os.path.join(base, n), root).replace(os.sep, "/")
     for base, dirs, names in os.walk(root):
-        dirs[:] = [d for d in dirs if not os.path.islink(os.path.join(base, d))]
+        dirs[:] = [d for d in dirs if d.casefold() not in S.PREP_DIRECTORIES and d.casefold() not in S.PREP_FILES and not os.path.islink(os.path.join(base, d)) and not out(below(base, d))]
         for n in names:
             p = os.path.join(base, n)
-            if not os.path.islink(p) and os.path.isfile(p):
-                rows.append((source_id, os.path.relpath(p, root).replace(os.sep, "/"), os.path.getsize(p)))
+            if not os.path.islink(p) and os.path.isfile(p) and not out(below(base, n)):
+                rows.append((source_id, below(base, n), os.path.getsize(p)))
     return spark.createDataFrame(rows, "source_id string, path string, size bigint")
 
 

@@ -13,9 +13,15 @@ from ..operators.estimate import Sampling
 
 STEP = "repo string, population int, step int, status string, chunks bigint, ai_chunks bigint, probability_sum double, is_ai boolean"
 OUT = "repo string, step int, files_scanned bigint, files_generated bigint, files_errored bigint, chunks_scanned bigint, chunks_ai bigint, fraction double, half_width double, mean_probability double, stop_reason string"
+NAMES = [x.split()[0] for x in OUT.split(", ")]
 STATE = "data string"
 
 
+def begin(population: int) -> dict:
+    """The running sums before the first step. total stays, population shrinks by what cannot be scanned."""
+    return dict.fromkeys(("step", "n", "m", "a", "mm", "ma", "aa", "ai", "generated", "errored"), 0) | {"p": 0.0, "population": population, "total": population, "stop": None, "fraction": None, "width": None, "wait": {}}
+
+
 def advance(s: dict, row: dict, c: Sampling) -> None:
     """One step in running sums (whole numbers, so the order of arrival within a step is all that counts)."""
     s["step"] += 1
@@ -24,7 +30,7 @@ def advance(s: dict, row: dict, c: Sampling) -> None:
         s[row["status"]] += 1
     else:
         m, a = int(row["chunks"]), int(row["ai_chunks"])
-        for k, v in (("n", 1), ("m", m), ("a", a), ("mm", m * m), ("ma", m * a), ("aa", a * a)):
+        for k, v in (("n", 1), ("m", m), ("a", a), ("mm", m * m), ("ma", m * a), ("aa", a * a), ("ai", int(bool(row["is_ai"])))):
             s[k] += v
         s["p"] += float(row["probability_sum"])
     s["fraction"], s["width"] = estimate(s, c.z)
@@ -36,6 +42,16 @@ def advance(s: dict, row: dict, c: Sampling) -> None:
         s["stop"] = "all_files_scanned"
 
 
+def report(s: dict) -> dict:
+    """The counters and the estimate of a running state, by their public names."""
+    f, w = s["fraction"], s["width"]
+    return {
+        "step": s["step"], "population": s["population"], "files_scanned": s["n"], "files_generated": s["generated"], "files_errored": s["errored"], "files_ai": s["ai"], "files_human": s["n"] - s["ai"],
+        "chunks_scanned": s["m"], "chunks_ai": s["a"], "chunks_human": s["m"] - s["a"], "fraction": f, "half_width": w, "low": None if f is None else max(0.0, f - w), "high": None if f is None else min(1.0, f + w),
+        "mean_probability": s["p"] / s["m"] if s["m"] else None, "stop_reason": s["stop"],
+    }
+
+
 def estimate(s: dict, z: float) -> tuple[float | None, float | None]:
     n, big, m, a = s["n"], s["population"], s["m"], s["a"]
     if not m or (n < big and n < 2):
@@ -49,36 +65,51 @@ def estimate(s: dict, z: float) -> tuple[float | None, float | None]:
 def progress(steps: DataFrame, config: Sampling = Sampling()) -> DataFrame:
     """A streaming frame of the newest progress of each repository, in update mode.
 
-    Steps that arrive early wait in the state until those before them are there; after a stop the rest is ignored."""
+    Steps that arrive early wait in the state until those before them are there; after a stop those that wait or
+    still come are dropped, so a finished repository's state is a handful of numbers."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         s = json.loads(state.get[0]) if state.exists else None
         for f in frames:
             for row in f.to_dict("records"):
                 if s is None:
-                    s = dict.fromkeys(("step", "n", "m", "a", "mm", "ma", "aa", "generated", "errored"), 0) | {"p": 0.0, "population": int(row["population"]), "total": int(row["population"]), "stop": None, "fraction": None, "width": None, "wait": {}}
-                s["wait"][str(row["step"])] = {k: row[k] if isinstance(row[k], str) else float(row[k] or 0) for k in ("status", "chunks", "ai_chunks", "probability_sum")}
+                    s = begin(int(row["population"]))
+                if s["stop"] is None and row["step"] > s["step"]:
+                    s["wait"][str(row["step"])] = {k: row[k] if isinstance(row[k], str) else float(row[k] or 0) for k in ("status", "chunks", "ai_chunks", "probability_sum", "is_ai")}
         while s["stop"] is None and str(s["step"] + 1) in s["wait"]:
             advance(s, s["wait"].pop(str(s["step"] + 1)), config)
+        if s["stop"]:
+            s["wait"] = {}
         state.update((json.dumps(s),))
-        yield pd.DataFrame([{"repo": key[0], "step": s["step"], "files_scanned": s["n"], "files_generated": s["generated"], "files_errored": s["errored"], "chunks_scanned": s["m"], "chunks_ai": s["a"], "fraction": s["fraction"], "half_width": s["width"], "mean_probability": s["p"] / s["m"] if s["m"] else None, "stop_reason": s["stop"]}])
+        yield pd.DataFrame([{"repo": key[0]} | {k: v for k, v in report(s).items() if k in NAMES}])
 
     return steps.groupBy("repo").applyInPandasWithState(run, OUT, STATE, "update", "NoTimeout")
 
 
 def events(steps: DataFrame, emit: Callable[[str, dict], bool | None], config: Sampling = Sampling(), checkpoint: str | None = None):
-    """Starts the stream and hands progress events to emit(kind, data): 'progress' as they come, one 'complete' a
-    repository. A false return stops that stream (cancelled) after the micro-batch."""
+    """Starts the stream and hands events to emit(kind, data): 'progress' as they come, then one 'complete' a repository,
+    or one 'error' with repo null if the stream breaks. A false return stops the stream (cancelled) after the
+    micro-batch. Micro-batches are bounded by the reader (maxFilesPerTrigger): that is the backpressure."""
     holder: dict = {}
 
     def sink(batch: DataFrame, _: int) -> None:
         for r in batch.toLocalIterator():
-            go_on = emit("complete" if r["stop_reason"] else "progress", r.asDict())
-            if go_on is False:
+            if r["repo"] in holder.setdefault("done", set()):
+                continue
+            if r["stop_reason"]:
+                holder["done"].add(r["repo"])
+            if emit("complete" if r["stop_reason"] else "progress", r.asDict()) is False:
                 holder["cancelled"] = True
         if holder.get("cancelled") and "query" in holder:
             holder["query"].stop()
 
-    writer = progress(steps, config).writeStream.outputMode("update").foreachBatch(sink)
+    def guarded(batch: DataFrame, n: int) -> None:
+        try:
+            sink(batch, n)
+        except Exception as e:
+            emit("error", {"repo": None, "message": str(e)})
+            raise
+
+    writer = progress(steps, config).writeStream.outputMode("update").foreachBatch(guarded)
     holder["query"] = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
     return holder["query"]

@@ -213,16 +213,79 @@ def test_stored_tables_have_their_sizes():
 
 
 # --- selection and estimate ---------------------------------------------------------------------------
-FILES = {"src/main.rs": "fn main() {}", "src/lib.rs": "pub fn x() {}", "README.md": "# r", ".hidden/secret.rs": "x", ".config.js": "x", "node_modules/pkg/index.js": "x", "vendor/lib.go": "x", "proto/service_pb2.py": "x", "web/app.min.js": "x", "data/huge.py": "x = 1\n" * 100}
-
-
-def test_selection(spark):
-    e = tree.entries(spark, tree.MapAccessor(FILES))
-    assert [r["path"] for r in selection.candidates(e, max_bytes=64).orderBy("candidate_index").collect()] == ["src/lib.rs", "src/main.rs"]
-    assert selection.selection_stats(e, 64).drop("repo").first().asDict() == {"files_seen": 7, "files_selected": 2, "files_skipped_extension": 1, "files_skipped_pattern": 3, "files_skipped_too_large": 1, "directories_pruned": 3, "truncated": False}
-    capped = tree.entries(spark, tree.MapAccessor({"a.rs": "1", "b.rs": "2", "c.rs": "3"}))
-    assert [r["path"] for r in selection.candidates(capped, max_files=2).collect()] == ["a.rs", "b.rs"] and selection.selection_stats(capped, max_files=2).first()["truncated"]
-    assert selection.candidates(capped, max_files=0).count() == 1
+def made_tree(seed, n=150):
+    """Random paths over names that every rule of the walk decides about."""
+    rng = random.Random(seed)
+    folders = ["core", "net", ".ci", "obj", "Obj", "third_party", "docs", "ünits"]
+    names = ["one.rs", "Two.PY", "x.min.js", "table_pb2.py", ".rc.ts", "notes.txt", "big.sql", "k.kt", ".go", "run.d.ts", "noext"]
+    out = {}
+    for i in range(n):
+        path = "/".join([*(rng.choice(folders) for _ in range(rng.randint(0, 3))), f"{i % 7}-{rng.choice(names)}" if rng.random() < 0.6 else rng.choice(names)])
+        out[path] = "v" * rng.choice((3, 40, 90))
+    return out
+
+
+def plain_walk(files, most_bytes, most_files):
+    """A depth-first walk that takes the last listed folder first, and the counters of what it meets before the cap."""
+    acc, found, c, pending = tree.MapAccessor(files), [], dict.fromkeys(("files_seen", "files_selected", "files_skipped_extension", "files_skipped_pattern", "files_skipped_too_large", "directories_pruned"), 0), ["."]
+    while pending:
+        at = pending.pop()
+        for x in acc.list_dir(at):
+            n, p = x["name"], x["name"] if at == "." else f"{at}/{x['name']}"
+            if x["entry_type"] == "dir":
+                if n.startswith(".") or n in S.SCAN_DIRECTORIES:
+                    c["directories_pruned"] += 1
+                else:
+                    pending.append(p)
+                continue
+            c["files_seen"] += 1
+            stem, dot, ext = n.rpartition(".")
+            if not (stem and dot) or ext.lower() not in S.SCAN_EXTENSIONS:
+                c["files_skipped_extension"] += 1
+            elif n.startswith(".") or n.lower().endswith(tuple(S.GENERATED_SUFFIXES)):
+                c["files_skipped_pattern"] += 1
+            elif x["size"] > most_bytes:
+                c["files_skipped_too_large"] += 1
+            else:
+                c["files_selected"] += 1
+                found.append(p)
+                if len(found) == most_files:
+                    return found, c | {"directories_errored": 0, "truncated": True}
+    return found, c | {"directories_errored": 0, "truncated": False}
+
+
+@pytest.mark.parametrize(("seed", "most"), [(1, 10_000), (2, 9), (3, 1)])
+def test_selection_against_a_plain_walk(spark, seed, most):
+    files = made_tree(seed)
+    e = tree.entries(spark, tree.MapAccessor(files))
+    paths, counters = plain_walk(files, 50, most)
+    assert [r["path"] for r in selection.candidates(e, max_bytes=50, max_files=most).orderBy("candidate_index").collect()] == paths
+    assert selection.selection_stats(e, 50, most).drop("repo").first().asDict() == counters
+    assert selection.candidates(e, max_files=0).count() == 1
+    steps = {r["path"]: r["step"] for r in sampling.sampled(selection.candidates(e, max_bytes=50, max_files=most), 5).collect()}
+    assert [steps[paths[i]] for i in sampling.permutation(len(paths), 5)] == list(range(1, len(paths) + 1))
+
+
+class Locked(tree.MapAccessor):
+    """Folders called 'shut' cannot be listed, files called 'lost.py' not be read."""
+
+    def list_dir(self, path):
+        if path.endswith("shut"):
+            raise tree.AccessError("permission_denied", path)
+        return super().list_dir(path)
+
+    def read_file(self, path, offset=None, limit=None):
+        if path.endswith("lost.py"):
+            raise tree.AccessError("io", path)
+        return super().read_file(path, offset, limit)
+
+
+def test_folders_that_cannot_be_listed_count(spark):
+    acc = Locked({"a.py": "human\n", "shut/b.py": "ai\n", "deep/shut/c.py": "ai\n", "lost.py": "ai\n"})
+    e = tree.entries(spark, acc)
+    assert selection.selection_stats(e).first()["directories_errored"] == 2
+    r = scan.analyze(spark, acc)
+    assert (r["directories_errored"], r["files_selected"], r["files_errored"], r["files_scanned"], r["population"]) == (2, 2, 1, 1, 1)
 
 
 def test_walk_order(spark):
@@ -251,39 +314,95 @@ def clusters(spark, population, sizes):
     return E.trajectory(spark.createDataFrame(rows, "repo string, step int, status string, chunks long, ai_chunks long, probability_sum double, is_ai boolean, _n int")).orderBy(F.desc("step")).first()
 
 
+def plain_estimate(population, sizes):
+    """The ratio of cluster totals and its half width, from the definition: residuals of a ratio estimate, corrected for
+    the finite population."""
+    n, m, a = len(sizes), sum(x for x, _ in sizes), sum(y for _, y in sizes)
+    if not m or (n < population and n < 2):
+        return None, None
+    if n >= population:
+        return a / m, 0.0
+    residual = sum((y - a / m * x) ** 2 for x, y in sizes) / (n - 1)
+    return a / m, S.Z_99 * math.sqrt(max(0.0, (1 - n / population) * n * residual)) / m
+
+
 def test_estimator(spark):
-    r = clusters(spark, 2, [(10, 5), (30, 30)])
-    assert (r["fraction"], r["half_width"], r["low"], r["high"]) == (0.875, 0.0, 0.875, 0.875)
-    assert clusters(spark, 5, [(10, 5)])["half_width"] is None
-    r = clusters(spark, 1000, [(10, 10), (10, 0)])
-    assert r["fraction"] == 0.5 and r["half_width"] == pytest.approx(S.Z_99 * math.sqrt(0.2495), abs=1e-9) and (r["low"], r["high"]) == (0.0, 1.0)
-    r = clusters(spark, 100, [(8, 2)] * 5)
-    assert (r["fraction"], r["half_width"]) == (0.25, 0.0)
-    assert clusters(spark, 10, [(0, 0)] * 2)["fraction"] is None
+    rng = random.Random(17)
+    cases = [(7, [(6, 1), (12, 9), (3, 3)]), (3, [(6, 1), (12, 9), (3, 3)]), (9, [(4, 4)]), (50, [(5, 1)] * 8), (8, [(0, 0)] * 3), (1, [(3, 2)])]
+    cases += [(rng.randint(k, 3 * k), [(m, rng.randint(0, m)) for m in (rng.randint(1, 30) for _ in range(k))]) for k in (2, 5, 20)]
+    for population, sizes in cases:
+        r, (share, width) = clusters(spark, population, sizes), plain_estimate(population, sizes)
+        assert r["fraction"] == pytest.approx(share) and r["half_width"] == pytest.approx(width, abs=1e-9)
+        assert (r["low"], r["high"]) == ((None, None) if share is None else (pytest.approx(max(0, share - width)), pytest.approx(min(1, share + width))))
 
 
 def lines(*words):
     return "".join(w + "\n" for w in words)
 
 
-def test_scan_loop(spark):
-    run = lambda files, **k: scan.analyze(spark, tree.MapAccessor(files), E.Sampling(**k))
-    census = {"a.rs": lines("ai", "ai", "ai"), "b.rs": lines("human", "human"), "c.rs": lines("human", "ai", "human", "human")}
-    r = run(census, min_files=10**9)
-    assert (r["stop_reason"], r["files_scanned"], r["files_ai"], r["files_human"], r["chunks_scanned"], r["chunks_ai"], r["chunks_human"]) == ("all_files_scanned", 3, 1, 2, 9, 4, 5)
-    assert r["fraction"] == pytest.approx(4 / 9) and r["half_width"] == 0 and r["mean_probability"] == pytest.approx((4 * 0.9 + 5 * 0.1) / 9, abs=1e-6)
-    r = run({f"f{i}.rs": lines("human", "human", "human") for i in range(30)})
-    assert (r["stop_reason"], r["files_scanned"], r["fraction"]) == ("precision_reached", 10, 0)
-    r = run({"a.rs": lines("ai", "ai"), "b.rs": lines("human"), "c.rs": lines("human")}, max_chunks=1, min_files=10**9)
-    assert (r["stop_reason"], r["files_scanned"]) == ("chunk_budget_exhausted", 1)
-    r = run({"gen.rs": "// @generated\n" + lines("ai"), "real.rs": lines("human")}, min_files=10**9)
-    assert (r["files_generated"], r["files_scanned"], r["half_width"]) == (1, 1, 0)
-    r = run({"README.md": "x"})
-    assert (r["stop_reason"], r["files_scanned"], r["fraction"]) == ("all_files_scanned", 0, None)
-    r = scan.analyze(spark, tree.MapAccessor({f"f{i}.rs": lines("ai", "human") * (1 + i % 3) for i in range(80)}), E.Sampling(min_files=79, target=0.0), on_progress=lambda s: False)
-    assert r["stop_reason"] == "cancelled" and r["files_scanned"] == 64
+def plain_scan(files, config, seed=0):
+    """File by file in the shuffled order: lines are chunks, those with 'ai' count 0.9, others 0.1."""
+    paths, _ = plain_walk(files, S.SCAN_FILE_BYTES, S.SCAN_MAX_FILES)
+    population, sizes, labels, total, generated, errored, history = len(paths), [], [], 0.0, 0, 0, []
+    for i in sampling.permutation(len(paths), seed):
+        chunks = [x for x in files[paths[i]].split("\n") if x.strip()]
+        if "@generated" in files[paths[i]]:
+            generated, population = generated + 1, population - 1
+        elif not chunks:
+            errored, population = errored + 1, population - 1
+        else:
+            ai = sum(x.strip() == "ai" for x in chunks)
+            sizes.append((len(chunks), ai))
+            p = 0.9 * ai + 0.1 * (len(chunks) - ai)
+            labels.append(p / len(chunks) >= 0.5)
+            total += p
+        share, width = plain_estimate(population, sizes)
+        history.append((len(sizes), share, width))
+        if width is not None and len(sizes) >= config.min_files and width <= config.target:
+            stop = "precision_reached"
+        elif sum(m for m, _ in sizes) >= config.max_chunks:
+            stop = "chunk_budget_exhausted"
+        else:
+            continue
+        break
+    else:
+        stop = "all_files_scanned"
+    m, a = sum(x for x, _ in sizes), sum(y for _, y in sizes)
+    return history, {"stop_reason": stop, "files_scanned": len(sizes), "files_generated": generated, "files_errored": errored, "files_ai": sum(labels), "files_human": len(labels) - sum(labels), "chunks_scanned": m, "chunks_ai": a, "chunks_human": m - a, "fraction": share, "half_width": width, "mean_probability": total / m if m else None}
+
+
+def test_scan_against_a_plain_loop(spark):
+    rng = random.Random(23)
+    word = lambda: rng.choice(("plain", "ai", "  "))
+    files = {f"m{i % 5}/f{i}.rs": ("// @generated\n" if i % 13 == 0 else "") + lines(*(word() for _ in range(rng.randint(1, 6)))) for i in range(70)}
+    for config, seed in ((E.Sampling(), 0), (E.Sampling(target=0.2, min_files=5), 3), (E.Sampling(max_chunks=40, min_files=10**9), 1), (E.Sampling(min_files=10**9), 2)):
+        seen = []
+        r = scan.analyze(spark, tree.MapAccessor(files), config, seed, on_progress=seen.append, block=8)
+        history, want = plain_scan(files, config, seed)
+        assert {k: pytest.approx(r[k], abs=1e-6) if isinstance(v, float) else r[k] for k, v in want.items()} == want
+        # once after the selection, once after each file
+        assert [(s["files_scanned"], s["fraction"]) for s in seen] == [(0, None), *((n, pytest.approx(f)) for n, f, _ in history)]
+        assert seen[-1]["stop_reason"] == want["stop_reason"]
+
+
+def test_scan_cancels_after_any_file(spark):
+    files = {f"f{i}.rs": lines("ai", "human") * (1 + i % 3) for i in range(40)}
+    for stop_at in (0, 1, 7):
+        seen = []
+        r = scan.analyze(spark, tree.MapAccessor(files), E.Sampling(min_files=99), on_progress=lambda s, k=stop_at, seen=seen: (seen.append(1), len(seen) <= k)[1], block=16)
+        assert (r["stop_reason"], r["files_scanned"], len(seen)) == ("cancelled", stop_at, stop_at + 1)
+    empty = scan.analyze(spark, tree.MapAccessor({"notes.txt": "x"}))
+    assert (empty["stop_reason"], empty["files_scanned"], empty["fraction"]) == ("all_files_scanned", 0, None)
     with pytest.raises(tree.AccessError):
-        run({})
+        scan.analyze(spark, tree.MapAccessor({}))
+
+
+def test_scan_with_a_model(spark):
+    """A model over token windows drives the scan: windows are chunks, the file's label is the model's own decision."""
+    make = lambda: lambda ws: [(0.0, 1.0 if len(w) == 4 else -1.0) for w in ws]
+    files = {"a.py": "a b c d e f g h i j", "b.py": "a b", "c.py": " \n"}
+    r = scan.analyze(spark, tree.MapAccessor(files), E.Sampling(min_files=9), score=scan.model_steps(W.words, make, length=4, overlap=1, file_threshold=0.6))
+    assert (r["files_scanned"], r["files_errored"], r["chunks_scanned"], r["chunks_ai"], r["files_ai"]) == (2, 1, 4, 3, 1)
 
 
 def test_stepwise_equals_all_at_once(spark):
@@ -339,17 +458,24 @@ def test_manifests(spark, tmp_path):
 
 
 def test_directory_accessor(tmp_path):
-    root = tmp_path / "r"
-    (root / "z-dir").mkdir(parents=True)
-    (root / "a.txt").write_text("aé日z")
-    (tmp_path / "secret").write_text("s")
-    (root / "out").symlink_to(tmp_path / "secret")
-    (root / "gone").symlink_to(tmp_path / "nothing")
-    a = tree.DirectoryAccessor(root)
-    assert [(e["entry_type"], e["name"], e["size"]) for e in a.list_dir(".")] == [("file", "a.txt", 7), ("dir", "z-dir", None)]
-    assert a.read_file("a.txt", 1, 2) == "é日"
-    with pytest.raises(tree.AccessError):
-        a.read_file("../secret")
+    home = tmp_path / "home"
+    (home / "kit" / "inner").mkdir(parents=True)
+    (home / "kit" / "über.txt").write_text("zwölf Wörter")
+    (tmp_path / "outside.txt").write_text("not yours")
+    (home / "kit" / "leak").symlink_to(tmp_path / "outside.txt")
+    (home / "kit" / "dangling").symlink_to(home / "nowhere")
+    (home / "alias").symlink_to(home / "kit" / "inner")
+    (home / "raw.bin").write_bytes(b"\xff\xfe")
+    a = tree.DirectoryAccessor(home)
+    assert [(e["name"], e["entry_type"], e["size"]) for e in a.list_dir("kit")] == [("inner", "dir", None), ("über.txt", "file", 14)]
+    assert [e["name"] for e in a.list_dir("./")] == ["alias", "kit", "raw.bin"]
+    text = "zwölf Wörter"
+    for offset, limit in ((None, None), (0, 3), (4, 5), (11, 9), (40, 2), (None, 0)):
+        assert a.read_file("kit/über.txt", offset, limit) == text[offset or 0 :][:limit]
+    for path, kind in (("kit/../../outside.txt", "invalid_path"), ("/etc/hosts", "invalid_path"), ("kit/leak", "invalid_path"), ("kit/none", "not_found"), ("raw.bin", "utf8"), ("kit", "io")):
+        with pytest.raises(tree.AccessError) as e:
+            a.read_file(path)
+        assert e.value.kind == kind
 
 
 def test_prepare(spark, tmp_path):
@@ -363,7 +489,9 @@ def test_prepare(spark, tmp_path):
         (root / "bad.py").write_bytes(b"\xff\xfe" * 40)
     (human / "pkg" / "extra.py").write_text("more = 2\n" * 20)
     final, summary = prepare.prepare(spark, {"train": {"sources": [source("h"), source("a", 1)]}}, {"h": str(human), "a": str(ai)}, str(tmp_path / "out"))
-    assert summary == {"sources": {"a": 5, "h": 6}, "duplicates_removed": 0, "conflicts_removed": 1, "before_balance": {"train": {"human": 5, "ai": 4}}, "after_balance": {"train": {"human": 4, "ai": 4}}}
+    assert list(summary) == list(S.SUMMARY)
+    assert summary["source_counts_before_deduplication"] == {"a": 5, "h": 6} and summary["split_counts"] == {"train": {"human": 4, "ai": 4}}
+    assert (summary["records_after_deduplication"], summary["same_label_duplicates_removed"], summary["cross_label_conflicts_removed"], summary["balanced"]) == (9, 0, 1, True)
     back = jsonl.read(spark, f"{tmp_path}/out/train.jsonl")
     assert back.count() == 8 and json.loads((tmp_path / "out" / "summary.json").read_text()) == summary
     line = next(open(next((tmp_path / "out" / "train.jsonl").glob("part-*")), encoding="utf-8"))
@@ -372,6 +500,61 @@ def test_prepare(spark, tmp_path):
     assert final.count() == 8
 
 
+def test_order_without_balance(spark, tmp_path):
+    """Records come by source, path components and chunk number: chunk 10 after chunk 2, a/x before a-b/x."""
+    root = tmp_path / "h"
+    for folder in ("a", "a-b"):
+        (root / folder).mkdir(parents=True)
+        (root / folder / "x.py").write_text("".join(f"value_{folder[-1]}_{i} = {i} + 100000000000000000000000000\n" for i in range(120)))
+    prepare.prepare(spark, {"train": {"sources": [source("h")]}}, {"h": str(root)}, str(tmp_path / "out"), balance=False, max_chars=200)
+    one = jsonl.joined(tmp_path / "out", "train")
+    rows = [json.loads(x) for x in one.read_text(encoding="utf-8").splitlines()]
+    assert one.is_file() and [(r["path"], r["chunk_index"]) for r in rows] == [(p, i) for p in ("a/x.py", "a-b/x.py") for i in range(len(rows) // 2)] and len(rows) > 40
+
+
+def test_bad_lines_are_located(spark, tmp_path):
+    good = json.dumps({"text": "t", "label": 0, "language": "c"})
+    bad = ["{", json.dumps({"text": "t", "label": 2, "language": "c"}), json.dumps({"text": "t", "label": 1, "language": ""}), json.dumps({"label": 1, "language": "c"})]
+    p = tmp_path / "r.jsonl"
+    p.write_text("\n".join([good, "", good, bad[0], good, bad[1], bad[2], "", bad[3], good]) + "\n")
+    got = sorted((r["line"], r["problem"]) for r in jsonl.problems(spark, str(p)).collect())
+    assert got == [(4, "not JSON"), (6, "label"), (7, "language"), (9, "text")]
+    assert sorted(r["line"] for r in jsonl.problems(spark, str(p), full=False).collect()) == [4, 6, 7]
+
+
+def test_code_files_are_not_looked_for_in_left_out_folders(spark, tmp_path, monkeypatch):
+    for folder in ("src", ".git", "Node_Modules/deep", "src/skip"):
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / "a.py").write_text("x")
+    entered = []
+    walk = tree.os.walk
+    monkeypatch.setattr(tree.os, "walk", lambda r: ((entered.append(t[0]), t)[1] for t in walk(r)))
+    assert [r["path"] for r in tree.code_files(spark, tmp_path, "s", ["src/skip"]).collect()] == ["src/a.py"] and len(entered) == 2
+
+
+def test_merged_breakdowns(spark):
+    a = spark.createDataFrame([("c", 0), ("c", 1), ("go", 1)], "language string, label int")
+    b = spark.createDataFrame([("go", 0), ("zig", 0)], "language string, label int")
+    got = {tuple(r) for r in C.merged(C.breakdown(a), C.breakdown(b), C.breakdown(a.limit(0))).collect()}
+    assert got == {("c", 1, 1, 2), ("go", 1, 1, 2), ("zig", 1, 0, 1), ("TOTAL", 3, 2, 5)}
+
+
+def test_scores_must_fit_their_windows(spark):
+    rows = spark.createDataFrame([("a", 0.5, 2), ("a", 0.7, 2), ("b", 0.1, 1)], "record_id string, score double, n_windows long")
+    assert {r["record_id"]: r["score"] for r in W.record_scores(rows).collect()} == {"a": pytest.approx(0.6), "b": 0.1}
+    with pytest.raises(Exception, match="not one a window"):
+        W.record_scores(rows.where("score != 0.7")).collect()
+
+
+def test_leaks_against_sets(spark):
+    rng = random.Random(9)
+    items = {i: {rng.randint(0, 12) for _ in range(4)} | {99} for i in range(8)}
+    docs = {d: {rng.randint(0, 40) for _ in range(3)} | ({99} if d % 2 else set()) for d in range(200)}
+    frame = lambda x, k: spark.createDataFrame([(n, str(h)) for n, hs in x.items() for h in hs], f"{k} long, h string")
+    got = {tuple(r) for r in C.leaks(frame(items, "item_id"), frame(docs, "doc_id")).collect()}
+    assert got == {(i, min(d for d in docs if docs[d] & hs), sum(bool(docs[d] & hs) for d in docs)) for i, hs in items.items()}
+
+
 def test_classify(spark):
     texts = spark.createDataFrame([(1, "a b c d e"), (2, " \n"), (3, "x\0")], "file_id int, text string")
     make = lambda: lambda ws: [(0.0, float(len(w))) for w in ws]
@@ -380,26 +563,3 @@ def test_classify(spark):
     assert got[1]["window_probabilities"] == pytest.approx(one, abs=1e-6) and got[1]["ai_probability"] == pytest.approx(sum(one) / 2, abs=1e-6) and got[1]["prediction"] == "ai"
     assert got[2]["status"] == got[3]["status"] == "empty_input" and got[2]["n_windows"] == 0
     assert score.padded_length([3, 9]) == 16
-
-
-def test_service():
-    classify = lambda code: {"prediction": "ai", "ai_probability": 0.75} if code.strip() else None
-
-    def estimate(repo, ref):
-        raise tree.AccessError("invalid_repository", repo)
-
-    ask = lambda m, p, b=b"": service.respond(m, p, b, classify, estimate)
-    assert ask("GET", "/health")[0] == 200 and ask("POST", "/code", b'{"code": "x"}') == (200, {"prediction": "ai", "ai_probability": 0.75})
-    assert [ask("POST", "/code", b)[0] for b in (b'{"code": " "}', b'{"text": "x"}', b'{"code": "x", "y": 1}', b"[")] == [400, 422, 422, 400]
-    assert ask("POST", "/github", b'{"repository": "not-a-repo"}')[1]["error"]["code"] == "invalid_repository"
-    assert ask("GET", "/nothing")[0] == 404 and ask("GET", "/code")[0] == 405
-
-
-def test_tools():
-    a = tree.MapAccessor({"lib.rs": "abcdef"})
-    assert service.call_tool(a, "read_file", {"path": "lib.rs", "offset": 1, "limit": 3}) == '"bcd"'
-    assert service.call_tool(a, "list_directory", {"path": "."}) == '[{"name":"lib.rs","entry_type":"file","size":6}]'
-    assert service.call_tool(a, "delete_repository", {}) == '{"error":"unknown tool: delete_repository"}'
-    assert json.loads(service.call_tool(a, "read_file", {"path": "lib.rs", "offset": -1}))["error"].startswith("invalid tool arguments")
-    replies = iter([{"content": "", "tool_calls": [{"name": "read_file", "arguments": {"path": "lib.rs"}}]}, {"content": '{"is_ai": true, "is_human": false, "key_files": [], "comments": "c"}'}])
-    assert service.judge(a, lambda m: next(replies), "judge")["is_ai"]
