@@ -32,7 +32,7 @@ def scored_steps(files: DataFrame, score: Callable = lambda line: scores.line_sc
     blank = F.coalesce(F.size("_p") < 1, F.lit(True)) | F.contains(F.col("text"), F.lit("\0"))
     total = F.aggregate("_p", F.lit(0.0), lambda s, x: s + x.cast("double"))
     n = F.size("_p").cast("long")
-    return step_rows(f.select("repo", "step", "text", blank.alias("blank"), n.alias("chunks"), F.size(F.filter("_p", lambda x: x >= F.lit(threshold).cast("float"))).cast("long").alias("ai_chunks"), total.alias("probability_sum")), F.col("probability_sum") / F.greatest("chunks", F.lit(1)) >= file_threshold)
+    return step_rows(f.select("repo", "step", "text", blank.alias("blank"), n.alias("chunks"), F.size(F.filter("_p", lambda x: x >= F.lit(threshold).cast("float"))).cast("long").alias("ai_chunks"), total.alias("probability_sum")), (F.col("probability_sum") / F.greatest("chunks", F.lit(1))).cast("float") >= F.lit(file_threshold).cast("float"))
 
 
 def step_rows(f: DataFrame, is_ai: Column) -> DataFrame:

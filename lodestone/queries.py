@@ -411,7 +411,7 @@ STEPS_SQL = f"""d AS (SELECT source AS repo, doc_id, CASE WHEN doc_id % 11 = 0 T
  a AS (SELECT repo, step, count(*) AS chunks, count_if(p >= 0.5) AS ai_chunks, sum(CAST(p AS DOUBLE)) AS psum FROM l GROUP BY 1, 2),
  t AS (SELECT d.repo, d.step, d.candidates, CASE WHEN (length(d.text) > 4096 AND NOT contains(substr(d.text, 1, 4096), chr(10))) OR {MARK_SQL.replace("(t, 1", "(d.text, 1")} THEN 'generated' WHEN a.chunks IS NULL THEN 'errored' ELSE 'scanned' END AS status, a.chunks, a.ai_chunks, a.psum FROM d LEFT JOIN a ON a.repo = d.repo AND a.step = d.step),
  s AS (SELECT repo, step, (candidates - count_if(status <> 'scanned') OVER w)::BIGINT AS population, (count_if(status = 'scanned') OVER w)::BIGINT AS n, count_if(status = 'generated') OVER w AS files_generated, count_if(status = 'errored') OVER w AS files_errored,
-   count_if(status = 'scanned' AND psum / chunks >= 0.5) OVER w AS files_ai, coalesce(sum(CASE WHEN status = 'scanned' THEN chunks END) OVER w, 0)::HUGEINT AS m, coalesce(sum(CASE WHEN status = 'scanned' THEN ai_chunks END) OVER w, 0)::HUGEINT AS a, sum(CASE WHEN status = 'scanned' THEN psum END) OVER w AS ps,
+   count_if(status = 'scanned' AND CAST(psum / chunks AS FLOAT) >= 0.5) OVER w AS files_ai, coalesce(sum(CASE WHEN status = 'scanned' THEN chunks END) OVER w, 0)::HUGEINT AS m, coalesce(sum(CASE WHEN status = 'scanned' THEN ai_chunks END) OVER w, 0)::HUGEINT AS a, sum(CASE WHEN status = 'scanned' THEN psum END) OVER w AS ps,
    coalesce(sum(CASE WHEN status = 'scanned' THEN chunks * chunks END) OVER w, 0)::HUGEINT AS mm, coalesce(sum(CASE WHEN status = 'scanned' THEN chunks * ai_chunks END) OVER w, 0)::HUGEINT AS ma, coalesce(sum(CASE WHEN status = 'scanned' THEN ai_chunks * ai_chunks END) OVER w, 0)::HUGEINT AS aa
    FROM t WINDOW w AS (PARTITION BY repo ORDER BY step ROWS UNBOUNDED PRECEDING)),
  h AS (SELECT *, CASE WHEN m = 0 THEN NULL WHEN n >= population THEN 0.0 WHEN n < 2 THEN NULL ELSE {S.Z_99} * sqrt(greatest(0.0, (1 - n / population) * n * CAST(m * m * aa - 2 * a * m * ma + a * a * mm AS DOUBLE) / (n - 1))) / (CAST(m AS DOUBLE) * CAST(m AS DOUBLE)) END AS hw FROM s),
