@@ -13,8 +13,10 @@ without clusters need most cells, as for them no partition tells near from far.
 
 The model is fitted on the driver from at most SAMPLE rows (those of smallest hash) and has bounded size;
 every row is indexed. Cells hold about BLOCK rows; a crowded cell becomes several blocks that a query visits all.
-In a task a block's rows come before its queries, which stream: no group is gathered beyond BLOCK index rows
-(about: slices are dealt by hash). Of rows with one and the same vector only the depth + 1 smallest ids can be
+Neighbouring blocks make a shard of about SHARD_BYTES (fewer where there would be fewer shards than cores). A query
+goes once to each shard with blocks that it visits, and brings back its `depth` nearest of all of them. In a task a
+shard's rows come before its queries, which stream: nothing is gathered beyond a shard (about: slices are dealt by
+hash). Of rows with one and the same vector only the depth + 1 smallest ids can be
 among anyone's nearest, so the others leave before the blocks; that drops no answer.
 
 Inner products exist between vectors of the same dimension only: each dimension is a table of its own, one with up
@@ -45,7 +47,8 @@ RERANK = 192  # candidates of a block that are scored exactly
 REACH = 0.97  # share of the sample's true neighbours that the visited cells must have held
 ASKED = 512  # sample rows that serve as queries for that
 CELLS_MOST = 1024
-TASKS = 50_000  # tasks of a scan at most; below that a block each, as the work is in the blocks and not in the bytes
+SHARD_BYTES = 16 << 20  # bytes of vectors in a shard, the blocks that one task holds at a time
+TASKS = 50_000  # tasks of a scan at most; below that a shard each
 DIMENSIONS = 64  # dimensions with more than BLOCK vectors that one table may have
 
 
@@ -211,7 +214,7 @@ def search(table: DataFrame, queries: str = "vec_id % 20 = 0", depth: int = DEPT
 
 
 def approximate(index: DataFrame, asked: DataFrame, count: int, depth: int, rerank: int, sample: int) -> DataFrame:
-    """query_id, vec_id, score: of each query and block that it visits the nearest `depth` ids, for vectors of one dimension."""
+    """query_id, vec_id, score: of each query and shard that it visits the nearest `depth` ids, for vectors of one dimension."""
     spark = index.sparkSession
     model, visits = fit(index, count, sample)
     shared = spark.sparkContext.broadcast(model)  # bounded: CELLS_MOST centres and the codebooks
@@ -226,67 +229,114 @@ def approximate(index: DataFrame, asked: DataFrame, count: int, depth: int, rera
                 yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in code], pa.binary())], ["vec_id", "v", "cell", "code"])
 
     coded = stored(index.mapInArrow(assign, "vec_id long, v array<double>, cell int, code binary"), "codes")
-    slices = coded.groupBy("cell").agg(F.count("*").alias("n")).select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("slices"))
-    blocks = slices.agg(F.sum("slices").alias("n")).first()["n"]
-    placed = join_small(coded, slices, ["cell"]).withColumn("slice", F.pmod(F.xxhash64("vec_id", "v"), F.col("slices")).cast("int"))
+    slices = np.zeros(len(model.centres), np.int64)  # blocks of each cell; bounded as the cells are
+    for r in coded.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("n")).collect():
+        slices[r["cell"]] = r["n"]
+    blocks, base = int(slices.sum()), block_order(model.centres, slices)
+    per = max(1, min(SHARD_BYTES // (8 * model.d * BLOCK), -(-blocks // spark.sparkContext.defaultParallelism)))
+    layout = spark.createDataFrame([(int(c), int(slices[c]), int(base[c])) for c in np.flatnonzero(slices)], "cell int, slices long, base long")
+    place = F.col("base") + F.pmod(F.xxhash64("vec_id", "v"), F.col("slices"))
+    placed = join_small(coded, layout, ["cell"]).select(
+        F.floor(place / per).alias("shard"), F.lit(0).alias("kind"), place.alias("block"), "vec_id", "v", "code", F.lit(None).cast("array<long>").alias("blocks")
+    )
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each query and shard that it visits, with the blocks it visits there."""
         m = shared.value
         for b in batches:
-            if b.num_rows:
-                best = np.argsort(-m.promise(matrix(b.column("v"))), axis=1, kind="stable")[:, :visits]
-                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(best.astype(np.int32).tolist(), pa.list_(pa.int32()))], ["vec_id", "v", "cells"])
-
-    asked = asked.mapInArrow(route, "vec_id long, v array<double>, cells array<int>").select("vec_id", "v", F.explode("cells").alias("cell"))
-    asked = join_small(asked, slices, ["cell"]).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    both = placed.select("cell", "slice", F.lit(0).alias("kind"), "vec_id", "v", "code").unionByName(asked.select("cell", "slice", F.lit(1).alias("kind"), "vec_id", "v", F.lit(b"").alias("code")))
-    dealt = both.repartition(min(blocks, TASKS), "cell", "slice").sortWithinPartitions("cell", "slice", "kind", "vec_id")
+            x = matrix(b.column("v")) if b.num_rows else np.zeros((0, m.d))
+            for i in range(0, len(x), 64):
+                best = np.argsort(-m.promise(x[i : i + 64]), axis=1, kind="stable")[:, :visits]
+                row, shard, listed = [], [], []
+                for k, cells in enumerate(best):
+                    seen = np.sort(np.concatenate([np.arange(base[c], base[c] + slices[c]) for c in cells]))
+                    parts = np.split(seen, np.flatnonzero(np.diff(seen // per)) + 1) if len(seen) else []
+                    row += [i + k] * len(parts)
+                    shard += [int(p[0] // per) for p in parts]
+                    listed += parts
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("vec_id").take(pa.array(row, pa.int64())), b.column("v").take(pa.array(row, pa.int64())), pa.array(shard, pa.int64()), pa.array(listed, pa.list_(pa.int64()))], ["vec_id", "v", "shard", "blocks"]
+                )
+
+    asked = asked.mapInArrow(route, "vec_id long, v array<double>, shard long, blocks array<long>")
+    both = placed.unionByName(asked.select("shard", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("block"), "vec_id", "v", F.lit(b"").alias("code"), "blocks"))
+    dealt = both.repartition(min(-(-blocks // per), TASKS), "shard").sortWithinPartitions("shard", "kind", "block", "vec_id")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        blocks, offset = len(m.cuts), np.arange(len(m.cuts)) * CODES
-        here, ids, vecs, codes, flat = None, [], [], [], None
+        here, gathered, index = None, [], None
         for b in batches:
             if not b.num_rows:
                 continue
-            place = b.column("cell").to_numpy().astype(np.int64) << 32 | b.column("slice").to_numpy()
-            kind = b.column("kind").to_numpy()
-            edge = np.flatnonzero((np.diff(place) != 0) | (np.diff(kind) != 0)) + 1
+            shard, kind = b.column("shard").to_numpy(), b.column("kind").to_numpy()
+            edge = np.flatnonzero((np.diff(shard) != 0) | (np.diff(kind) != 0)) + 1
             for s, e in zip([0, *edge], [*edge, b.num_rows], strict=True):
                 part = b.slice(s, e - s)
-                if place[s] != here:
-                    here, ids, vecs, codes, flat = place[s], [], [], [], None
+                if shard[s] != here:
+                    here, gathered, index = shard[s], [], None
                 x, k = matrix(part.column("v")), part.column("vec_id").to_numpy()
                 if kind[s] == 0:
-                    ids.append(k)
-                    vecs.append(x)
-                    codes.append(np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(len(k), -1))
+                    codes = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(len(k), -1)
+                    gathered.append((part.column("block").to_numpy(), k, x, codes))
                     continue
-                if not ids:
-                    continue
-                if flat is None:
-                    all_ids, all_vecs = np.concatenate(ids), np.concatenate(vecs)
-                    flat = np.ascontiguousarray((unpack_codes(np.concatenate(codes), blocks).astype(np.intp) + offset).T)
-                    several = len(np.unique(all_ids)) < len(all_ids)
-                # the cell's centre adds the same to every row of the block
-                lut = m.tables(x)
-                rows_out: list[tuple] = []
-                for i in range(len(k)):
-                    if len(all_ids) > rerank:
-                        # codes of a code block lie together, so each look-up is one gather and the sums run over rows
-                        guess = lut[i][flat[0]]
-                        for f in flat[1:]:
-                            guess += lut[i][f]
-                        near = np.argpartition(-guess, rerank - 1)[:rerank]
-                    else:
-                        near = np.arange(len(all_ids))
-                    near = near[all_ids[near] != k[i]]
-                    score = (all_vecs[near] * x[i]).sum(1)
-                    order = np.lexsort((all_ids[near], -score))
-                    if several:  # an id counts once, by its best vector
-                        order = order[np.sort(np.unique(all_ids[near][order], return_index=True)[1])]
-                    top = order[:depth]
-                    rows_out.append((np.full(len(top), k[i]), all_ids[near][top], score[top]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows_out, strict=True)], ["query_id", "vec_id", "score"])
+                if index is None:
+                    index, gathered = blocks_of(gathered, len(m.cuts)), []
+                # the cell's centre adds the same to every row of a block
+                lut, out = m.tables(x), []
+                for i, listed in enumerate(part.column("blocks").to_pylist()):
+                    found = [nearest(*index[n], k[i], x[i], lut[i], depth, rerank) for n in listed if n in index]
+                    top = best_of(*(np.concatenate(c) for c in zip(*found, strict=True)), depth) if found else (k[:0], x[:0, 0])
+                    out.append((np.full(len(top[0]), k[i]), *top))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
 
     return dealt.mapInArrow(scan, "query_id long, vec_id long, score double")
+
+
+def block_order(centres: np.ndarray, slices: np.ndarray) -> np.ndarray:
+    """The number of each cell's first block. Cells are halved again and again at the median of their widest principal
+    direction and numbered in that order, so that near cells get neighbouring blocks and share shards."""
+    order, todo = [], [np.arange(len(centres))]
+    while todo:
+        cells = todo.pop()
+        if len(cells) == 1:
+            order.append(cells[0])
+            continue
+        x = centres[cells] - centres[cells].mean(0)
+        cells = cells[np.argsort(x @ np.linalg.svd(x, full_matrices=False)[2][0], kind="stable")]
+        todo += [cells[len(cells) // 2 :], cells[: len(cells) // 2]]
+    base = np.empty(len(centres), np.int64)
+    base[order] = np.cumsum(slices[order]) - slices[order]
+    return base
+
+
+def blocks_of(parts: list[tuple], width: int) -> dict[int, tuple]:
+    """By block: ids, vectors, and the place in the look-up table of each code, code blocks first."""
+    if not parts:
+        return {}
+    block, ids, vecs, codes = (np.concatenate(c) for c in zip(*parts, strict=True))
+    offset, edge = np.arange(width) * CODES, np.flatnonzero(np.diff(block)) + 1
+    return {
+        int(block[s]): (ids[s:e], vecs[s:e], np.ascontiguousarray((unpack_codes(codes[s:e], width).astype(np.intp) + offset).T))
+        for s, e in zip([0, *edge], [*edge, len(block)], strict=True)
+    }
+
+
+def nearest(ids: np.ndarray, vecs: np.ndarray, flat: np.ndarray, own: int, q: np.ndarray, lut: np.ndarray, depth: int, rerank: int) -> tuple[np.ndarray, np.ndarray]:
+    """ids and exact scores of a block's nearest, its own id aside: the `rerank` best by codes are scored."""
+    if len(ids) > rerank:
+        # codes of a code block lie together, so each look-up is one gather and the sums run over rows
+        guess = lut[flat[0]]
+        for f in flat[1:]:
+            guess += lut[f]
+        near = np.argpartition(-guess, rerank - 1)[:rerank]
+    else:
+        near = np.arange(len(ids))
+    near = near[ids[near] != own]
+    return best_of(ids[near], (vecs[near] * q).sum(1), depth)
+
+
+def best_of(ids: np.ndarray, score: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The `depth` largest, ties to smaller ids; an id counts once, by its best vector."""
+    order = np.lexsort((ids, -score))
+    order = order[np.sort(np.unique(ids[order], return_index=True)[1])][:depth]
+    return ids[order], score[order]
