@@ -48,7 +48,7 @@ REACH = 0.97  # share of the sample's true neighbours that the visited cells mus
 ASKED = 512  # sample rows that serve as queries for that
 CELLS_MOST = 1024
 SHARD_BYTES = 16 << 20  # bytes of vectors in a shard, the blocks that one task holds at a time
-TASKS = 50_000  # tasks of a scan at most; below that a shard each
+TASKS = 50_000  # tasks of a scan at most; below that three for each shard, as hashing then seldom puts two into one
 DIMENSIONS = 64  # dimensions with more than BLOCK vectors that one table may have
 
 
@@ -260,7 +260,7 @@ def approximate(index: DataFrame, asked: DataFrame, count: int, depth: int, rera
 
     asked = asked.mapInArrow(route, "vec_id long, v array<double>, shard long, blocks array<long>")
     both = placed.unionByName(asked.select("shard", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("block"), "vec_id", "v", F.lit(b"").alias("code"), "blocks"))
-    dealt = both.repartition(min(-(-blocks // per), TASKS), "shard").sortWithinPartitions("shard", "kind", "block", "vec_id")
+    dealt = both.repartition(min(3 * -(-blocks // per), TASKS), "shard").sortWithinPartitions("shard", "kind", "block", "vec_id")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
