@@ -76,15 +76,21 @@ def quality_filter(spark, sf):
     return d.select("doc_id", (T.stripped_length("t") >= S.MIN_CHARS).alias("long_enough"), T.looks_generated("t").alias("generated"), F.length(T.sliced("t", 0, S.SCAN_READ_CHARS)).cast("long").alias("read_chars"))
 
 
-def chunk_sql(most: int) -> str:
-    p = f"({most} - strpos(reverse(substr(rest, 1, {most})), chr(10)) + 1)"
-    line = f"(CASE WHEN strpos(substr(rest, {most} + 1), chr(10)) = 0 THEN length(rest) ELSE {most} + strpos(substr(rest, {most} + 1), chr(10)) END)"
-    has = f"strpos(substr(rest, 1, {most}), chr(10)) > 0"
+def chunk_cte(most: int, table: str, breaks: tuple[int, ...] = ()) -> str:
+    """c(doc_id, i, chunk, ...): the chunks of a table's texts, which may also end at other breaks than line ends."""
+    text = f"translate(rest, {'||'.join(f'chr({b})' for b in breaks)}, repeat(chr(10), {len(breaks)}))" if breaks else "rest"
+    p = f"({most} - strpos(reverse(substr({text}, 1, {most})), chr(10)) + 1)"
+    line = f"(CASE WHEN strpos(substr({text}, {most} + 1), chr(10)) = 0 THEN length(rest) ELSE {most} + strpos(substr({text}, {most} + 1), chr(10)) END)"
+    has = f"strpos(substr({text}, 1, {most}), chr(10)) > 0"
     size = f"CASE WHEN room > 0 THEN least({most}, room) WHEN length(rest) <= {most} THEN length(rest) WHEN {has} THEN {p} ELSE {most} END"
     left = f"CASE WHEN room > 0 THEN room - least({most}, room) WHEN length(rest) <= {most} OR {has} THEN 0 ELSE {line} - {most} END"
     return f"""WITH RECURSIVE c(doc_id, i, chunk, rest, room) AS (
-  SELECT doc_id, CAST(-1 AS BIGINT), CAST(NULL AS VARCHAR), text, CAST(0 AS BIGINT) FROM documents
-  UNION ALL SELECT doc_id, i + 1, substr(rest, 1, n), substr(rest, n + 1), CAST(m AS BIGINT) FROM (SELECT *, {size} AS n, {left} AS m FROM c WHERE length(rest) > 0 OR i < 0))
+  SELECT doc_id, CAST(-1 AS BIGINT), CAST(NULL AS VARCHAR), text, CAST(0 AS BIGINT) FROM {table}
+  UNION ALL SELECT doc_id, i + 1, substr(rest, 1, n), substr(rest, n + 1), CAST(m AS BIGINT) FROM (SELECT *, {size} AS n, {left} AS m FROM c WHERE length(rest) > 0 OR i < 0))"""
+
+
+def chunk_sql(most: int) -> str:
+    return f"""{chunk_cte(most, "documents")}
 SELECT doc_id, i AS chunk_index, sha256(chunk) AS text_sha256, sha256('docs' || chr(0) || doc_id || '.txt' || chr(0) || i || chr(0) || sha256(chunk)) AS id, length(chunk) AS n FROM c WHERE i >= 0 AND length(trim(chunk, {BLANKS_SQL})) >= 40"""
 
 
@@ -104,6 +110,38 @@ def chunk_documents_short(spark, sf):
     return chunk_rows(spark, sf, 700)
 
 
+BROKEN_SQL = "(SELECT doc_id, replace(text, '. ', '.' || chr(CASE doc_id % 5 WHEN 0 THEN 12 WHEN 1 THEN 133 WHEN 2 THEN 8232 WHEN 3 THEN 11 ELSE 10 END)) AS text FROM documents)"
+
+
+@query(f"""{chunk_cte(700, BROKEN_SQL, (11, 12, 133, 8232))} SELECT doc_id, i AS chunk_index, sha256(chunk) AS digest FROM c WHERE i >= 0""")
+def chunk_other_breaks(spark, sf):
+    """Chunks of texts with form feeds and other breaks, at which they are cut as well."""
+    k = F.col("doc_id") % 5
+    mark = F.when(k == 0, "\f").when(k == 1, "\x85").when(k == 2, "\u2028").when(k == 3, "\v").otherwise("\n")
+    d = documents(spark, sf).select("doc_id", F.replace("text", F.lit(". "), F.concat(F.lit("."), mark)).alias("text"))
+    return T.chunked(d, 700).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.sha2("text", 256).alias("digest"))
+
+
+@query(f"""{chunk_cte(700, f"(SELECT * FROM ({NORM_SQL}) WHERE length(trim(text, {BLANKS_SQL}||chr(8232))) >= 40)", (8232,))}, s AS (SELECT source AS id, min(doc_id) % 2 AS label, min(doc_id) % 3 AS m FROM documents GROUP BY 1)
+SELECT doc_id || '.txt' AS path, i AS chunk_index, source AS source_id, label, 'https://example.org/' || source AS repository_url, CASE m WHEN 0 THEN 'validation' ELSE 'train' END AS split, lang AS language,
+  sha256(source || chr(0) || doc_id || '.txt' || chr(0) || i || chr(0) || sha256(chunk)) AS id FROM c JOIN (SELECT doc_id, source, lang FROM documents) USING (doc_id) JOIN s ON s.id = source WHERE i >= 0 AND length(trim(chunk, {BLANKS_SQL}||chr(8232))) >= 40""")
+def chunk_records(spark, sf):
+    """Chunk records: normalised, cut, joined with their sources' attributes."""
+    files = messy(documents(spark, sf)).select(F.col("source").alias("source_id"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("lang").alias("language"), F.lit(None).cast("long").alias("size"), "text")
+    first = documents(spark, sf).groupBy("source").agg(F.min("doc_id").alias("k"))
+    label, split = F.col("k") % 2, F.when(F.col("k") % 3 == 0, "validation").otherwise("train")
+    sources = first.select(F.col("source").alias("id"), label.alias("label"), F.when(label == 1, "ai").otherwise("human").alias("label_name"), F.lit("git").alias("kind"), F.concat(F.lit("https://example.org/"), "source").alias("url"), F.lit("").alias("revision"), split.alias("split"), F.col("k").alias("source_ord"))
+    return C.records(files, sources, max_chars=700).select("path", F.col("chunk_index").cast("long").alias("chunk_index"), "source_id", "label", "repository_url", "split", "language", "id")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 OR doc_id % 7 = 0 THEN NULL ELSE sha256(text) END AS digest FROM documents")
+def decoded_content(spark, sf):
+    """Texts of file contents; every fifth is not UTF-8 and every seventh holds a NUL."""
+    k, raw = F.col("doc_id"), F.encode("text", "UTF-8")
+    content = F.when(k % 5 == 0, F.concat(F.unhex(F.lit("C3")), F.lit(b"("), raw)).when(k % 7 == 0, F.concat(raw, F.lit(b"\0"))).otherwise(raw)
+    return documents(spark, sf).select("doc_id", F.sha2(T.decoded(content), 256).alias("digest"))
+
+
 # --- corpus -------------------------------------------------------------------------------------------
 RECORDS_SQL = """SELECT doc_id, text, sha256(text) AS text_sha256, CAST(doc_id % 2 AS INTEGER) AS label, lang AS language, source AS source_id, 'd' || (doc_id % 7) || '/' || doc_id || '.txt' AS path, 0 AS chunk_index,
   CASE doc_id % 10 WHEN 8 THEN 'validation' WHEN 9 THEN 'test' ELSE 'train' END AS split, CAST(doc_id AS VARCHAR) AS id FROM documents"""
@@ -383,6 +421,13 @@ def source_slug(spark, sf):
     return addresses(spark, sf).select("page_id", P.source_slug(F.col("address")).alias("slug"))
 
 
+@query("""SELECT page_id, CASE WHEN regexp_full_match(f, '[0-9A-Fa-f]{40,64}') THEN lower(f) END AS revision FROM (SELECT page_id, trim(string_split(CASE page_id % 4 WHEN 0 THEN sha256(url) || chr(10) || 'HEAD' WHEN 1 THEN ' ' || upper(substr(sha256(url), 1, 40)) WHEN 2 THEN substr(sha256(url), 1, 39) ELSE url END, chr(10))[1]) AS f FROM pages)""")
+def full_revision(spark, sf):
+    m, digest = F.col("page_id") % 4, F.sha2("url", 256)
+    t = F.when(m == 0, F.concat(digest, F.lit("\nHEAD"))).when(m == 1, F.concat(F.lit(" "), F.upper(F.substring(digest, 1, 40)))).when(m == 2, F.substring(digest, 1, 39)).otherwise(F.col("url"))
+    return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", P.revision_of(t).alias("revision"))
+
+
 @query("""SELECT page_id, CASE WHEN NOT starts_with(p, '/') AND len(list_filter(string_split(p, '/'), lambda x: x = '..')) = 0 THEN array_to_string(list_filter(string_split(p, '/'), lambda x: x NOT IN ('', '.')), '/') END AS path FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN './src//lib.rs' WHEN 1 THEN '/abs' WHEN 2 THEN 'a/../' || page_id ELSE url END AS p FROM pages)""")
 def normalize_path(spark, sf):
     m = F.col("page_id") % 4
@@ -454,6 +499,13 @@ def shuffle_sql(sizes: str) -> str:
  shuffled AS (SELECT repo, CAST(l[step] AS INTEGER) AS candidate_index, CAST(step AS INTEGER) AS step FROM (SELECT repo, l, unnest(range(1, n + 1)) AS step FROM swaps WHERE i <= 0))"""
 
 
+@query("SELECT doc_id, lang FROM documents WHERE lower(lang) = 'en'")
+def language_records(spark, sf):
+    """Records of one language, asked for in another case."""
+    d = documents(spark, sf).select("doc_id", F.col("lang").alias("language"))
+    return C.only_language(d, "EN").select("doc_id", F.col("language").alias("lang"))
+
+
 @query(f"""WITH RECURSIVE {shuffle_sql("SELECT source AS repo, least(count(*), 10000) AS n FROM documents GROUP BY 1")} SELECT * FROM shuffled""")
 def sample_order(spark, sf):
     sizes = documents(spark, sf).groupBy(F.col("source").alias("repo")).agg(F.least(F.count("*"), F.lit(S.SCAN_MAX_FILES)).alias("n"))
