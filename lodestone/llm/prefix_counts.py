@@ -52,7 +52,8 @@ class Merges:
             if w not in self.parts:
                 self.parts[w] = (u, v)
                 self.born[w] = n
-        self.longest = max(map(len, self.ids))
+        # every ending of an entry: the entry's id, or -1 where it is none itself
+        self.ends = {e[i:]: -1 for e in self.ids for i in range(1, len(e))} | self.ids
         self.known: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
         from regex import compile as wide
@@ -87,12 +88,14 @@ class Merges:
 
     def solve(self, piece: bytes) -> list[int]:
         """count[j], the number of tokens of piece[:j], for every j from 0."""
-        n, ids, stable = len(piece), self.ids, self.stable
+        n, ends, stable, parts = len(piece), self.ends, self.stable, self.parts
         count, last = [0] * (n + 1), [-1] * (n + 1)
         for j in range(1, n + 1):
-            for i in range(max(0, j - self.longest), j):
-                t = ids.get(piece[i:j])
-                if t is not None and (i == 0 or stable(last[i], t)) and (t not in self.parts or self.whole(t)):
+            for i in range(j - 1, -1, -1):
+                t = ends.get(piece[i:j])
+                if t is None:  # no entry ends with these bytes, nor with more of them
+                    break
+                if t >= 0 and (i == 0 or stable(last[i], t)) and (t not in parts or self.whole(t)):
                     count[j], last[j] = count[i] + 1, t
                     break
         return count
