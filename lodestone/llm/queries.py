@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anisotropic, cdc, dac, matroska, mixing, pow2_packing, prefix_counts, quality, secrets, shingle_join, sql
+from . import anisotropic, cdc, collocations, dac, exact_dedup, filter_audit, matroska, mixing, pow2_packing, prefix_counts, quality, secrets, shingle_join, sql
 from .common import new_path, stored, tune
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -67,9 +67,22 @@ def op10_combination_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.components(table(spark, sf_dir, "documents"))
 
 
+def op11_perfect_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_matroska, op2_prefix_counts, op3_temperature_mix, op4_chunk_dedup, op5_quality, op6_anisotropic, op7_dac_files, op8_pow2_packing, op9_randomness, op10_combination_join)}
+    first = (op1_matroska, op2_prefix_counts, op3_temperature_mix, op4_chunk_dedup, op5_quality, op6_anisotropic, op7_dac_files)
+    return {f.__name__: f for f in (*first, op8_pow2_packing, op9_randomness, op10_combination_join, op11_perfect_hash, op12_collocations, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_temperature_mix": sql.MIX, "op10_combination_join": sql.COMPONENTS}
+    return {"op3_temperature_mix": sql.MIX, "op10_combination_join": sql.COMPONENTS, "op11_perfect_hash": sql.EXACT, "op12_collocations": sql.COLLOCATIONS, "op13_filter_audit": sql.AUDIT}

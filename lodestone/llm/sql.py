@@ -63,3 +63,49 @@ roots AS (SELECT doc_id, min(other) AS root FROM reach GROUP BY doc_id)
 SELECT words.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(words.doc_id, coalesce(root, words.doc_id)) AS component_id
 FROM words LEFT JOIN sizes USING (r) LEFT JOIN roots ON roots.doc_id = words.doc_id
 """
+
+EXACT = """
+WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(text) AS text_sha256 FROM t JOIN g USING (text)"""
+
+#: n-gram counts of all lengths, then cuts, cover and rank.
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+worded AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS ws FROM pieces),
+spots AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM worded),
+total AS (SELECT lang, count(*) AS n FROM spots GROUP BY lang),
+grams AS (SELECT lang, list_slice(ws, i, i + size - 1) AS p, count(*) AS f FROM spots, (VALUES (1), (2), (3), (4)) AS v(size) WHERE i + size - 1 <= len(ws) GROUP BY ALL),
+often AS (SELECT * FROM grams WHERE f >= 30),
+cuts AS (SELECT lang, p, f, unnest(range(1, len(p))) AS k FROM often WHERE len(p) > 1),
+scores AS (SELECT c.lang, c.p, c.f AS a, k, l.f AS l, r.f AS r, CAST(2000000 * c.f::HUGEINT // (l.f + r.f) AS BIGINT) AS score
+  FROM cuts c JOIN often l ON l.lang = c.lang AND l.p = list_slice(c.p, 1, k) JOIN often r ON r.lang = c.lang AND r.p = list_slice(c.p, k + 1, len(c.p))),
+best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+inner_parts AS (SELECT lang, f, p, unnest(range(1, len(p) - size + 2)) AS i, size FROM often, (VALUES (2), (3)) AS v(size) WHERE len(p) > size),
+cover AS (SELECT lang, list_slice(p, i, i + size - 1) AS p, max(f) AS f FROM inner_parts GROUP BY ALL),
+free AS (SELECT b.* FROM best b LEFT JOIN cover c ON c.lang = b.lang AND c.p = b.p WHERE c.f IS NULL OR 100 * c.f < 80 * b.a),
+named AS (SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, score FROM free)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase COLLATE C) AS rank, phrase, a, l, r, n, score FROM named JOIN total USING (lang)
+QUALIFY rank <= 2000"""
+
+AUDIT = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+m AS (
+  SELECT t.doc_id, part, CAST(len(ws) < 200 AS INT) AS a, CAST(100 * len(list_distinct(ws)) < 50 * len(ws) AS INT) AS b,
+    CAST(100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text) AS INT) AS c, CAST(regexp_matches(text, '[#$%&*|]') AS INT) AS d,
+    CAST(t.doc_id > min(t.doc_id) OVER (PARTITION BY text) AS INT) AS e, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic FROM t LEFT JOIN labels USING (doc_id)),
+masks AS (SELECT part, a + 2 * b + 4 * c + 8 * d + 16 * e AS mask, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM m GROUP BY ALL),
+letters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS v(f, b)),
+steps AS (
+  SELECT v.f || w.f || x.f || y.f || z.f AS filter_order, s AS step, CASE s WHEN 1 THEN v.b WHEN 2 THEN w.b WHEN 3 THEN x.b WHEN 4 THEN y.b ELSE z.b END AS own,
+    CASE s WHEN 1 THEN 0 WHEN 2 THEN v.b WHEN 3 THEN v.b + w.b WHEN 4 THEN v.b + w.b + x.b ELSE v.b + w.b + x.b + y.b END AS prior
+  FROM letters v, letters w, letters x, letters y, letters z, range(1, 6) AS r(s) WHERE v.b + w.b + x.b + y.b + z.b = 31 AND v.b | w.b | x.b | y.b | z.b = 31),
+cells AS (
+  SELECT part, filter_order, step, own, sum(CASE WHEN mask & (prior | own) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & prior = 0 AND mask & own <> 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & prior <> 0 AND mask & own <> 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & prior = 0 AND mask & own <> 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & prior = 0 AND mask & own <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM masks, steps GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+  toxic_lost::BIGINT AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM cells"""
