@@ -74,8 +74,9 @@ def hashes(lang: bytes, words: list[bytes]) -> np.ndarray:
     return np.fromiter((zlib.crc32(w, seed) for w in words), np.uint64, len(words))
 
 
-def spread(h: np.ndarray) -> np.ndarray:
-    return ((h + np.uint64(1)) * UP) >> np.uint64(64 - BITS.bit_length() + 1)
+def spread(h: np.ndarray, bits: int) -> np.ndarray:
+    """Positions below bits, a power of two."""
+    return ((h + np.uint64(1)) * UP) >> np.uint64(65 - bits.bit_length())
 
 
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -89,7 +90,7 @@ class Bitmap:
         self.bits = bits
 
     def has(self, h: np.ndarray) -> np.ndarray:
-        at = spread(h)
+        at = spread(h, 64 * len(self.bits))
         return (self.bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
@@ -210,18 +211,18 @@ def fields(path: bytes) -> list[bytes]:
     return [plain(x) for x in path.split(b"\0")]
 
 
-def bitmap(nodes: DataFrame) -> Bitmap:
-    """The bitmap of merged words or pairs. At most BITS / 64 rows of two numbers reach the driver."""
+def bitmap(nodes: DataFrame, size: int = BITS) -> Bitmap:
+    """The bitmap of merged words or pairs. At most size / 64 rows of two numbers reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [fields(p) for p in b.column("path").to_pylist()]
             h = np.array([[zlib.crc32(w, zlib.crc32(f[0])) for w in f[1:]] for f in found], np.uint64).reshape(len(found), -1)
-            at = spread(pair_hash(h[:, 0], h[:, 1]) if h.shape[1] == 2 else h[:, 0]) if len(found) else np.zeros(0, np.uint64)
+            at = spread(pair_hash(h[:, 0], h[:, 1]) if h.shape[1] == 2 else h[:, 0], size) if len(found) else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["slot", "bits"])
 
     t = nodes.select("path").mapInArrow(run, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
-    bits = np.zeros(BITS // 64, np.uint64)
+    bits = np.zeros(size // 64, np.uint64)
     bits[t["slot"].to_numpy()] = t["bits"].to_numpy().view(np.uint64)
     return Bitmap(bits)
 
@@ -276,13 +277,13 @@ def scored(nodes: DataFrame) -> DataFrame:
     return best.join(inside, "path", "left").where(free).select(F.col("lang").cast("string").alias("lang"), F.col("phrase").cast("string").alias("phrase"), "a", "m.l", "m.r", "m.score")
 
 
-def collocations(docs: DataFrame, least: int = 30, top: int = 2000, block: int = BLOCK) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 30, top: int = 2000, block: int = BLOCK, bits: int = BITS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first `top` phrases of two to four words."""
     words = stored(merged(tries(docs, "words", block)), "merged-words")
     frequent = words.where(F.col("n") >= least)
-    known = bitmap(frequent)
+    known = bitmap(frequent, bits)
     pairs = stored(merged(tries(docs, "two", block, known)).where(F.col("n") >= least), "merged-pairs")
-    deep = merged(tries(docs, "deep", block, known, bitmap(pairs))).where(F.col("n") >= least)
+    deep = merged(tries(docs, "deep", block, known, bitmap(pairs, bits))).where(F.col("n") >= least)
     ranked = scored(stored(frequent.unionByName(pairs).unionByName(deep), "nodes"))
     w = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
     first = ranked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)

@@ -151,7 +151,7 @@ class Slots:
     def rows(self) -> pa.RecordBatch:
         raw = self.keys[self.out].tobytes()
         digests = [raw[i : i + 32] for i in range(0, len(raw), 32)]
-        return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(self.doc[self.out], mask=~self.named[self.out]), pa.array(self.n[self.out]), pa.array([True] * len(digests))], ["digest", "doc_id", "n", "known"])
+        return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(self.doc[self.out], mask=~self.named[self.out]), pa.array(self.n[self.out]), pa.array([True] * len(digests), pa.bool_())], ["digest", "doc_id", "n", "known"])
 
 
 def merge(index: DataFrame, new: DataFrame) -> DataFrame:
