@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -95,14 +96,3 @@ def stepwise(score, candidates: DataFrame, config: Sampling = Sampling(), block:
     for x in held:
         x.unpersist()
     return out
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A frame cut off from its lineage by a reliable checkpoint where the session has a folder for it, else as it is."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()

@@ -9,20 +9,15 @@ from .. import schema as S
 from ..functions import paths as P
 from ..functions import text as T
 from ..operators import corpus as C
-from ..sources import jsonl, manifest, tree
+from ..sources import code_tree, jsonl, manifest
 
 
 def file_table(spark: SparkSession, sources: list[dict], roots: dict[str, str], max_bytes: int = S.MAX_FILE_BYTES) -> DataFrame:
-    """Decoded code files of all checkouts: names and sizes decide before anything is read."""
-    listed = None
-    for s in sources:
-        one = tree.code_files(spark, roots[s["id"]], s["id"], s.get("exclude_paths") or ())
-        if s.get("include_paths"):
-            one = one.where(P.under(F.col("path"), F.array(*map(F.lit, s["include_paths"]))))
-        listed = one if listed is None else listed.unionByName(one)
-    chosen = listed.where(P.prep_selected("path") & (F.col("size") <= max_bytes)).repartition(spark.sparkContext.defaultParallelism)
-    read = tree.contents(chosen, roots)
-    return read.select("source_id", "path", "size", P.language_of("path").alias("language"), T.decoded("content").alias("text")).where("text IS NOT NULL")
+    """Decoded code files of all checkouts, one scan: names and sizes decide before anything is read."""
+    paths = lambda k: {s["id"]: list(s[k]) for s in sources if s.get(k)}
+    small = F.col("language").isNotNull() & (F.col("size") <= max_bytes)
+    read = code_tree.code_tree(spark, {s["id"]: roots[s["id"]] for s in sources}, paths("include_paths"), paths("exclude_paths"), small)
+    return read.where(P.prep_selected("path")).select("source_id", "path", "size", "language", T.decoded("content").alias("text")).where("text IS NOT NULL")
 
 
 def prepare(spark: SparkSession, manifests: dict[str, dict], roots: dict[str, str], out: str | None = None, seed: str = "corpus-v1", balance: bool = True, paths: dict[str, str] | None = None, **limits: int) -> tuple[DataFrame, dict]:

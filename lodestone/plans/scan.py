@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import scores, text as T
 from ..operators import estimate, sampling, selection
-from ..sources.tree import Accessor, AccessError, entries
+from ..sources.frontier import entries
+from ..sources.tree import Accessor, AccessError
 from ..streaming.progress import advance, begin, report
 from . import score as scorers
 

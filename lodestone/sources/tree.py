@@ -1,20 +1,12 @@
-"""File trees as tables. Listing happens on the driver or by accessor; contents are read in tasks.
-
-Spark's binary reader leaves out names that start with '_' or '.', so trees are listed with os.scandir."""
+"""Accessors of repositories, and a plain walk over one. Tables of trees: code_tree (checkouts) and frontier (accessors)."""
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 from typing import Protocol
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import BinaryType, StructField, StructType
-
-from .. import schema as S
-
 
 class AccessError(Exception):
     """kind: invalid_path, invalid_repository, invalid_ref, not_found, permission_denied, io, utf8, http, metadata, or
@@ -107,59 +99,32 @@ class DirectoryAccessor:
             raise AccessError("io", str(e)) from e
 
 
-def entries(spark: SparkSession, accessor: Accessor, repo: str = "repo", prune=None) -> DataFrame:
-    """repo, path, is_dir, size, errored of a tree. prune(name) keeps the listing out of directories, which still have a
-    row; errored marks directories that could not be listed.
+def real_path(accessor: Accessor, path: str) -> str:
+    """What a folder is, whatever links lead to it."""
+    return str(accessor.resolve(path)) if isinstance(accessor, DirectoryAccessor) else path
 
-    Real directories are visited once, so link cycles end. A root that cannot be listed is an error."""
-    rows, bad, pending, seen = [], set(), ["."], set()
-    while pending:
-        at = pending.pop()
-        real = str(accessor.resolve(at)) if isinstance(accessor, DirectoryAccessor) else at
-        if real in seen:
-            continue
-        seen.add(real)
-        try:
-            found = accessor.list_dir(at)
-        except AccessError:
-            if at == ".":
-                raise
-            bad.add(at)
-            continue
-        for e in found:
-            path = e["name"] if at == "." else f"{at}/{e['name']}"
-            rows.append((path, e["entry_type"] == "dir", e["size"]))
-            if e["entry_type"] == "dir" and not (prune and prune(e["name"])):
-                pending.append(path)
-    return spark.createDataFrame([(repo, p, d, n, p in bad) for p, d, n in rows], "repo string, path string, is_dir boolean, size bigint, errored boolean")
-
-
-def code_files(spark: SparkSession, root: str | Path, source_id: str, exclude: tuple[str, ...] | list[str] = ()) -> DataFrame:
-    """source_id, path, size of all regular files of a checkout, links left out. Left-out directories and excluded paths are
-    never entered; the other filters are columns (paths.prep_selected)."""
-    root, rows = str(root), []
-    out = lambda p: any(p == x or p.startswith(x + "/") for x in exclude)
-    below = lambda base, n: os.path.relpath(os.path.join(base, n), root).replace(os.sep, "/")
-    for base, dirs, names in os.walk(root):
-        dirs[:] = [d for d in dirs if d.casefold() not in S.PREP_DIRECTORIES and d.casefold() not in S.PREP_FILES and not os.path.islink(os.path.join(base, d)) and not out(below(base, d))]
-        for n in names:
-            p = os.path.join(base, n)
-            if not os.path.islink(p) and os.path.isfile(p) and not out(below(base, n)):
-                rows.append((source_id, below(base, n), os.path.getsize(p)))
-    return spark.createDataFrame(rows, "source_id string, path string, size bigint")
-
-
-def contents(files: DataFrame, roots: dict[str, str]) -> DataFrame:
-    """Adds content (bytes, null if unreadable) to rows (source_id, path, ...), read in tasks from folders that they share."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data = []
-            for s, p in zip(b.column("source_id").to_pylist(), b.column("path").to_pylist(), strict=True):
-                try:
-                    data.append(Path(roots[s], p).read_bytes())
-                except OSError:
-                    data.append(None)
-            yield b.append_column("content", pa.array(data, pa.binary()))
-
-    return files.mapInArrow(run, StructType([*files.schema, StructField("content", BinaryType())]))
+
+def walk(accessor: Accessor, prune: Callable[[str], bool] | None = None) -> Iterator[tuple[str, bool, int | None, bool]]:
+    """path, is_dir, size, errored of a tree, one level after the other; frontier.listed() in plain Python, for trees that
+    one process may list."""
+    level, seen = [(".", real_path(accessor, "."))], set()
+    rows: dict[str, tuple[bool, int | None, bool]] = {}
+    while level:
+        below: dict[str, str] = {}
+        seen.update(real for _, real in level)
+        for at, _ in level:
+            try:
+                found = accessor.list_dir(at)
+            except AccessError:
+                if at == ".":
+                    raise
+                rows[at] = (True, None, True)
+                continue
+            for e in found:
+                path, is_dir = e["name"] if at == "." else f"{at}/{e['name']}", e["entry_type"] == "dir"
+                rows[path] = (is_dir, e["size"], False)
+                real = real_path(accessor, path) if is_dir and not (prune and prune(e["name"])) else None
+                if real is not None:
+                    below[real] = min(path, below.get(real, path))
+        level = sorted((path, real) for real, path in below.items() if real not in seen)
+    yield from ((path, *v) for path, v in rows.items())

@@ -17,7 +17,7 @@ from lodestone.operators import metrics as M
 from lodestone.operators import sampling, selection
 from lodestone.operators import windows as W
 from lodestone.plans import prepare, scan, score, service
-from lodestone.sources import jsonl, manifest, tree
+from lodestone.sources import frontier, jsonl, manifest, tree
 
 
 def column(spark, values, f, kind="string"):
@@ -257,7 +257,7 @@ def plain_walk(files, most_bytes, most_files):
 @pytest.mark.parametrize(("seed", "most"), [(1, 10_000), (2, 9), (3, 1)])
 def test_selection_against_a_plain_walk(spark, seed, most):
     files = made_tree(seed)
-    e = tree.entries(spark, tree.MapAccessor(files))
+    e = frontier.entries(spark, tree.MapAccessor(files))
     paths, counters = plain_walk(files, 50, most)
     assert [r["path"] for r in selection.candidates(e, max_bytes=50, max_files=most).orderBy("candidate_index").collect()] == paths
     assert selection.selection_stats(e, 50, most).drop("repo").first().asDict() == counters
@@ -282,7 +282,7 @@ class Locked(tree.MapAccessor):
 
 def test_folders_that_cannot_be_listed_count(spark):
     acc = Locked({"a.py": "human\n", "shut/b.py": "ai\n", "deep/shut/c.py": "ai\n", "lost.py": "ai\n"})
-    e = tree.entries(spark, acc)
+    e = frontier.entries(spark, acc)
     assert selection.selection_stats(e).first()["directories_errored"] == 2
     r = scan.analyze(spark, acc)
     assert (r["directories_errored"], r["files_selected"], r["files_errored"], r["files_scanned"], r["population"]) == (2, 2, 1, 1, 1)
@@ -299,7 +299,7 @@ def test_walk_order(spark):
             for x in acc.list_dir(at):
                 p = x["name"] if at == "." else f"{at}/{x['name']}"
                 pending.append(p) if x["entry_type"] == "dir" else want.append(p)
-        got = selection.candidates(tree.entries(spark, acc).repartition(7)).orderBy("candidate_index").collect()
+        got = selection.candidates(frontier.entries(spark, acc).repartition(7)).orderBy("candidate_index").collect()
         assert [r["path"] for r in got] == want
 
 
@@ -522,16 +522,6 @@ def test_bad_lines_are_located(spark, tmp_path):
     assert sorted(r["line"] for r in jsonl.problems(spark, str(p), full=False).collect()) == [4, 6, 7]
 
 
-def test_code_files_are_not_looked_for_in_left_out_folders(spark, tmp_path, monkeypatch):
-    for folder in ("src", ".git", "Node_Modules/deep", "src/skip"):
-        (tmp_path / folder).mkdir(parents=True)
-        (tmp_path / folder / "a.py").write_text("x")
-    entered = []
-    walk = tree.os.walk
-    monkeypatch.setattr(tree.os, "walk", lambda r: ((entered.append(t[0]), t)[1] for t in walk(r)))
-    assert [r["path"] for r in tree.code_files(spark, tmp_path, "s", ["src/skip"]).collect()] == ["src/a.py"] and len(entered) == 2
-
-
 def test_merged_breakdowns(spark):
     a = spark.createDataFrame([("c", 0), ("c", 1), ("go", 1)], "language string, label int")
     b = spark.createDataFrame([("go", 0), ("zig", 0)], "language string, label int")
