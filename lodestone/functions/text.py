@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,17 +22,14 @@ def decoded(content: Column | str) -> Column:
 
 
 def composed(df: DataFrame, column: str) -> DataFrame:
-    """NFC of a column. Code points below U+0300 never change, so only other rows go through Python."""
-    wide = F.coalesce(F.col(column).rlike("[^\\x{0}-\\x{2FF}]"), F.lit(False))
-    names = df.columns
+    """NFC of a column. Code points below U+0300 never change: only texts with others are sent to Python, as nulls go for the rest."""
 
-    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            i = b.schema.get_field_index(column)
-            done = pa.array([unicodedata.normalize("NFC", t) for t in b.column(i).to_pylist()], b.schema.field(i).type)
-            yield pa.RecordBatch.from_arrays([done if k == i else b.column(k) for k in range(b.num_columns)], schema=b.schema)
+    @F.pandas_udf("string")
+    def compose(s):
+        return s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
-    return df.where(~wide).unionByName(df.where(wide).mapInArrow(compose, df.schema)).select(*names)
+    wide = F.when(F.col(column).rlike("[^\\x{0}-\\x{2FF}]"), F.col(column))
+    return df.withColumn(column, F.coalesce(compose(wide), F.col(column)))
 
 
 def without_mark(text: Column | str) -> Column:
@@ -114,9 +109,8 @@ def chunked(df: DataFrame, max_chars: int = S.MAX_CHARS, column: str = "text") -
 
     short = F.length(column) <= max_chars
     others = [c for c in df.columns if c != column]
-    small = df.where(short).select(*others, F.lit(0).alias("chunk_index"), F.col(column))
-    large = df.where(~short).select(*others, F.posexplode(cut(column)).alias("chunk_index", column))
-    return small.unionByName(large)
+    pieces = F.coalesce(cut(F.when(~short, F.col(column))), F.when(short, F.array(column)))
+    return df.withColumn("_pieces", pieces).select(*others, F.posexplode_outer("_pieces").alias("chunk_index", column)).where("chunk_index IS NOT NULL")
 
 
 def window_count(n: Column, length: int = S.WINDOW_TOKENS, overlap: int = S.WINDOW_OVERLAP) -> Column:

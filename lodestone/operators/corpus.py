@@ -11,8 +11,10 @@ from .prefix import hex_bucket, running
 
 
 def records(files: DataFrame, sources: DataFrame, max_bytes: int = S.MAX_FILE_BYTES, max_chars: int = S.MAX_CHARS, min_chars: int = S.MIN_CHARS) -> DataFrame:
-    """Chunk records of files (source_id, path, language, size, text) with their sources' attributes (a small N:1 join)."""
-    fit = T.normalized(files.where((F.col("size") <= max_bytes) | F.col("size").isNull())).where(T.stripped_length("text") >= min_chars)
+    """Chunk records of files (source_id, path, language, size, text) with their sources' attributes (a small N:1 join).
+
+    A text below min_chars has only chunks below it, so one test, of the chunks, does."""
+    fit = T.normalized(files.where((F.col("size") <= max_bytes) | F.col("size").isNull()))
     chunks = T.chunked(fit, max_chars).where(T.stripped_length("text") >= min_chars)
     s = sources.select(F.col("id").alias("source_id"), "label", "label_name", F.col("kind").alias("source_kind"), F.col("url").alias("repository_url"), "revision", "split", "source_ord")
     hashed = chunks.join(s, "source_id").withColumn("text_sha256", F.sha2("text", 256))

@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..session import cut_lineage
+from .prefix import running
+
+BLOCK = 2048  # steps whose sums run in one task
 
 
 @dataclass(frozen=True)
@@ -25,23 +28,20 @@ class Sampling:
 
 def trajectory(steps: DataFrame, z: float = S.Z_99) -> DataFrame:
     """Adds the running counters and the estimate after each step. Column _n, if there, is the number of candidates
-    (else all steps are there). The variance's numerator is exact (whole numbers), so equal clusters give 0."""
-    w = Window.partitionBy("repo").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    (else all steps are there). The variance's numerator is exact (whole numbers), so equal clusters give 0. Sums run by
+    blocks of steps, so a repository with most of the steps spreads over tasks."""
     ok = F.col("status") == "scanned"
-    add = lambda c: F.sum(F.when(ok, c).otherwise(0)).over(w)
+    one = lambda c: F.when(F.coalesce(c, F.lit(False)), 1).otherwise(0).cast("long")
+    add = lambda c: F.when(ok, c).otherwise(0)
     m, a = F.col("chunks").cast("decimal(19,0)"), F.col("ai_chunks").cast("decimal(19,0)")
-    total = F.col("_n") if "_n" in steps.columns else F.count("*").over(Window.partitionBy("repo"))
-    r = steps.withColumns({
-        "population": (total - F.count_if(~ok).over(w)).cast("long"),
-        "files_scanned": F.count_if(ok).over(w),
-        "files_generated": F.count_if(F.col("status") == "generated").over(w),
-        "files_errored": F.count_if(F.col("status") == "errored").over(w),
-        "files_ai": F.count_if(ok & F.col("is_ai")).over(w),
-        "chunks_scanned": add(F.col("chunks")).cast("long"),
-        "chunks_ai": add(F.col("ai_chunks")).cast("long"),
-        "_p": F.sum(F.when(ok, F.col("probability_sum")).otherwise(0.0)).over(w),
-        "_mm": add(m * m).cast("decimal(38,0)"), "_ma": add(m * a).cast("decimal(38,0)"), "_aa": add(a * a).cast("decimal(38,0)"),
+    steps = cut_lineage(steps)  # rows of numbers; what scored them runs once
+    s = steps if "_n" in steps.columns else steps.join(steps.groupBy("repo").agg(F.count("*").alias("_n")), "repo")
+    r = running(s, ["repo"], F.floor(F.col("step") / BLOCK), ["step"], {
+        "files_scanned": one(ok), "files_generated": one(F.col("status") == "generated"), "files_errored": one(F.col("status") == "errored"), "files_ai": one(ok & F.col("is_ai")),
+        "chunks_scanned": add(F.col("chunks")).cast("long"), "chunks_ai": add(F.col("ai_chunks")).cast("long"), "_p": F.when(ok, F.col("probability_sum")).otherwise(0.0),
+        "_mm": add(m * m).cast("decimal(28,0)"), "_ma": add(m * a).cast("decimal(28,0)"), "_aa": add(a * a).cast("decimal(28,0)"),
     })
+    r = r.withColumn("population", (F.col("_n") - F.col("files_generated") - F.col("files_errored")).cast("long"))
     n, big_n, ms, as_ = F.col("files_scanned"), F.col("population"), F.col("chunks_scanned"), F.col("chunks_ai")
     dm, da = ms.cast("decimal(12,0)"), as_.cast("decimal(12,0)")
     num = (dm * dm * F.col("_aa").cast("decimal(17,0)") - 2 * da * dm * F.col("_ma").cast("decimal(17,0)") + da * da * F.col("_mm").cast("decimal(17,0)")).cast("double")
@@ -66,8 +66,10 @@ def stop_reason(c: Sampling):
 def repo_stats(steps: DataFrame, config: Sampling = Sampling()) -> DataFrame:
     """One row a repository: the first step that stops, or the last with all_files_scanned."""
     t = trajectory(steps, config.z).withColumn("_stop", stop_reason(config))
-    first = F.row_number().over(Window.partitionBy("repo").orderBy(F.when(F.col("_stop").isNotNull(), F.col("step")).asc_nulls_last(), F.col("step").desc()))
-    return t.withColumn("_first", first).where("_first = 1").withColumn("stop_reason", F.coalesce("_stop", F.lit("all_files_scanned"))).drop("_first", "_stop", "status", "chunks", "ai_chunks", "probability_sum", "is_ai")
+    left = [c for c in t.columns if c not in ("repo", "_stop", "status", "chunks", "ai_chunks", "probability_sum", "is_ai")]
+    stopped, row = F.col("_stop").isNotNull(), F.struct(*left, F.coalesce("_stop", F.lit("all_files_scanned")).alias("stop_reason"))
+    first = F.min_by(row, F.struct(F.when(stopped, 0).otherwise(1).alias("k"), F.when(stopped, F.col("step")).otherwise(-F.col("step")).alias("s")))
+    return t.groupBy("repo").agg(first.alias("r")).select("repo", "r.*")
 
 
 def stepwise(score, candidates: DataFrame, config: Sampling = Sampling(), block: int = 64) -> DataFrame:

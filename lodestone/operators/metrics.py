@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .prefix import running
 
-STEPS = 4096
+BUCKETS = 4096
 
 
 def confusion(df: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -20,9 +22,19 @@ def confusion(df: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def tied(df: DataFrame) -> DataFrame:
-    """Positives and negatives of each score, and both with all higher scores. Scores lie in [0, 1]; sums run by steps of it."""
+    """Positives and negatives of each score, and both with all higher scores. Sums run by quantiles of the distinct scores."""
     g = df.groupBy("score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
-    return running(g, [], -F.floor(F.col("score") * STEPS), [F.col("score").desc()], {"pos_to": F.col("pos"), "neg_to": F.col("neg")})
+    g = quantile_buckets(cut_lineage(g), "score")
+    return running(g, [], -F.col("_bucket"), [F.col("score").desc()], {"pos_to": F.col("pos"), "neg_to": F.col("neg")})
+
+
+def quantile_buckets(df: DataFrame, column: str, buckets: int = BUCKETS) -> DataFrame:
+    """df with _bucket, which rises with a numeric column and is null with it. Edges are quantiles of a sketch, to a quarter of a
+    bucket; the sketch and the edges, all that reaches the driver, do not grow with the rows."""
+    edges = sorted(set(df.approxQuantile(column, [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))))
+    split = Bucketizer(splits=[float("-inf"), *edges, float("inf")], inputCol="_double", outputCol="_bucket", handleInvalid="keep") if edges else None
+    wide = df.withColumn("_double", F.col(column).cast("double"))
+    return (split.transform(wide) if split else wide.withColumn("_bucket", F.lit(0.0))).drop("_double")
 
 
 def auroc(df: DataFrame) -> DataFrame:

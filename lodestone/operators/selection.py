@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.paths import directory_pruned, scan_reason, walk_key
+from .prefix import range_buckets, running
 
 
 def pruned_above(path: Column) -> Column:
@@ -16,25 +17,24 @@ def pruned_above(path: Column) -> Column:
 
 
 def walked(entries: DataFrame, max_bytes: int = S.SCAN_FILE_BYTES, max_files: int = S.SCAN_MAX_FILES) -> DataFrame:
-    """Entries (repo, path, is_dir, size) that the walk meets before the cap, with reason and walk_index from 1.
+    """Entries (repo, path, is_dir, size) that the walk meets before the cap, with reason, walk_index from 1, and candidates
+    so far.
 
-    reason: 'pruned', 'unreadable' (column errored, if there) or 'directory' of directories, else extension, pattern, too_large or candidate. The walk of
-    one repository is one ordered group."""
+    reason: 'pruned', 'unreadable' (column errored, if there) or 'directory' of directories, else extension, pattern, too_large or candidate.
+    The walk is cut into ranges of its order; counts of the ranges tell where the cap is reached, and only ranges up to there are ordered."""
     seen = entries.where(~pruned_above(F.col("path")))
     name = F.element_at(F.split("path", "/"), -1)
     bad = F.col("errored") if "errored" in entries.columns else F.lit(False)
     reason = F.when(F.col("is_dir"), F.when(directory_pruned(name), "pruned").when(F.coalesce(bad, F.lit(False)), "unreadable").otherwise("directory")).otherwise(scan_reason(name, F.col("size"), max_bytes))
-    w = Window.partitionBy("repo").orderBy("_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    r = seen.withColumns({"reason": reason, "_k": walk_key(F.col("path"), F.col("is_dir"))})
-    r = r.withColumns({"walk_index": F.row_number().over(Window.partitionBy("repo").orderBy("_k")), "_c": F.count_if(F.col("reason") == "candidate").over(w)})
+    r = range_buckets(seen.withColumns({"reason": reason, "_k": walk_key(F.col("path"), F.col("is_dir"))}), "repo", "_k")
     most = max(1, max_files)
-    inside = (F.col("_c") < most) | ((F.col("_c") == most) & (F.col("reason") == "candidate"))
-    return r.where(inside).drop("_k", "_c")
+    hit = F.col("reason") == "candidate"
+    r = running(r, ["repo"], F.col("_range"), ["_k"], {"walk_index": F.lit(1), "candidates": F.when(hit, 1).otherwise(0)}, {"candidates": most})
+    return r.where((F.col("candidates") < most) | ((F.col("candidates") == most) & hit)).drop("_k", "_range")
 
 
 def candidates(entries: DataFrame, **limits: int) -> DataFrame:
-    w = Window.partitionBy("repo").orderBy("walk_index")
-    return walked(entries, **limits).where("reason = 'candidate'").select("repo", "path", F.row_number().over(w).alias("candidate_index"))
+    return walked(entries, **limits).where("reason = 'candidate'").select("repo", "path", F.col("candidates").cast("int").alias("candidate_index"))
 
 
 def selection_stats(entries: DataFrame, max_bytes: int = S.SCAN_FILE_BYTES, max_files: int = S.SCAN_MAX_FILES) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..session import cut_lineage
 from ..functions.text import token_windows, window_count
 
 
@@ -26,23 +27,35 @@ def windowed(df: DataFrame, ids: str = "ids", length: int = S.WINDOW_TOKENS, ove
 
 
 def window_counts(tokens: DataFrame, record: str, n: Column, length: int = S.WINDOW_TOKENS, overlap: int = S.WINDOW_OVERLAP) -> DataFrame:
-    """record, n_windows from the number of tokens alone; records without tokens give no row."""
-    return tokens.select(record, window_count(n, length, overlap).alias("n_windows")).where("n_windows > 0")
+    """record, n_windows from the number of tokens alone; records without tokens give no row. n is generated, as Spark would
+    write a plain column's expression into the filter and each place of the formula, and count a text that often."""
+    counted = tokens.select(record, F.explode(F.array(n)).alias("_n"))
+    return counted.where("_n > 0").select(record, window_count(F.col("_n"), length, overlap).alias("n_windows"))
 
 
 def counted_weights(counts: DataFrame, record: str = "record_id") -> DataFrame:
-    """record, n_windows, sample_weight = average windows of a record / its windows. One number crosses the whole table."""
+    """record, n_windows, sample_weight = average windows of a record / its windows. Counts are taken once; one number crosses the
+    whole table."""
+    counts = cut_lineage(counts.select(record, "n_windows"))
     mean = counts.agg(F.avg("n_windows").alias("m"))
-    return counts.withColumn("i", F.lit(1)).join(F.broadcast(mean.withColumn("i", F.lit(1))), "i").select(record, "n_windows", (F.col("m") / F.col("n_windows")).alias("sample_weight"))
+    return with_mean(counts, mean).select(record, "n_windows", (F.col("m") / F.col("n_windows")).alias("sample_weight"))
+
+
+def with_mean(df: DataFrame, mean: DataFrame) -> DataFrame:
+    """df with the one row of mean beside every row."""
+    return df.withColumn("_i", F.lit(1)).join(F.broadcast(mean.withColumn("_i", F.lit(1))), "_i").drop("_i")
 
 
 def window_weights(windows: DataFrame, record: str = "record_id") -> DataFrame:
     return counted_weights(windows.groupBy(record).agg(F.count("*").alias("n_windows")), record)
 
 
-def weighted_windows(windows: DataFrame, weights: DataFrame, record: str = "record_id") -> DataFrame:
-    """Every window with its record's weight, and the record's other columns of `weights`."""
-    return windows.join(weights.drop("n_windows"), record)
+def weighted_windows(tokens: DataFrame, n: Column, ids: str = "ids", length: int = S.WINDOW_TOKENS, overlap: int = S.WINDOW_OVERLAP) -> DataFrame:
+    """windowed() with each record's sample_weight. n is the number of tokens, from which the mean over all records is
+    taken without making them; a record's own windows are counted in its row, so windows are never joined."""
+    mean = window_counts(tokens.withColumn("_r", F.lit(1)), "_r", n, length, overlap).agg(F.avg("n_windows").alias("_mean"))
+    counted = with_mean(tokens.withColumn("_n", window_count(F.size(ids), length, overlap)), mean)
+    return windowed(counted, ids, length, overlap).withColumn("sample_weight", F.col("_mean") / F.col("_n")).drop("_mean", "_n")
 
 
 def record_scores(scores: DataFrame, record: str = "record_id", score: str = "score", how: str = "mean") -> DataFrame:

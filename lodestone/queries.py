@@ -19,6 +19,7 @@ from .operators import estimate as E
 from .operators import metrics as M
 from .operators import sampling, selection
 from .operators import windows as W
+from .operators.prefix import hex_bucket, running
 from .plans import scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -244,10 +245,9 @@ def window_weights(spark, sf):
 
 @query(f"""WITH {WINDOWS_SQL}, c AS (SELECT doc_id, count(*) AS n_windows FROM w GROUP BY 1) SELECT w.doc_id, i AS window_index, len(list_slice(ws, i * 112 + 1, i * 112 + 128)) AS n_tokens, round((SELECT avg(n_windows) FROM c) / n_windows, 9) AS sample_weight FROM w JOIN c ON c.doc_id = w.doc_id""")
 def weighted_windows(spark, sf):
-    """Windows with their records' weights joined back."""
-    d = doc_windows(spark, sf)
-    counts = W.window_counts(documents(spark, sf), "doc_id", F.regexp_count("text", F.lit(W.WORD)), 128, 16)
-    w = W.weighted_windows(d, W.counted_weights(counts, "doc_id"), "doc_id")
+    """Windows with their records' weights."""
+    d = documents(spark, sf).select("doc_id", "text", W.words(F.col("text")).alias("ids"))
+    w = W.weighted_windows(d, F.regexp_count("text", F.lit(W.WORD)), "ids", 128, 16)
     return w.select("doc_id", F.col("window_index").cast("long").alias("window_index"), F.size("ids").cast("long").alias("n_tokens"), r9(F.col("sample_weight")).alias("sample_weight"))
 
 
@@ -467,11 +467,10 @@ COUNTS = ("population", "files_scanned", "files_generated", "files_errored", "fi
 
 def scan_steps(spark, sf):
     """Each source as a repository whose documents come in the order of a hash."""
-    from pyspark.sql import Window
-
     k = F.col("doc_id")
     text = F.when(k % 11 == 0, "  \n").when(k % 17 == 0, F.concat(F.lit("@generated "), F.col("text"))).otherwise(F.col("text"))
-    order_ = documents(spark, sf).select("source", "doc_id").withColumn("step", F.row_number().over(Window.partitionBy("source").orderBy(T.digest(F.lit("step"), "doc_id"))))
+    keyed = documents(spark, sf).select("source", "doc_id", T.digest(F.lit("step"), "doc_id").alias("_key"))
+    order_ = running(keyed, ["source"], hex_bucket(F.col("_key"), documents(spark, sf).count()), ["_key"], {"step": F.lit(1)}).drop("_key")
     d = documents(spark, sf).select("doc_id", text.alias("text")).join(order_, "doc_id").withColumnRenamed("source", "repo")
     return scan.scored_steps(d, lambda line: K.hash_score(line))
 
