@@ -7,8 +7,11 @@ products most. A query visits the cells whose centres promise most, scans 4-bit
 reranks the best of each block exactly in double precision on the original vectors. A cell promises its centre's
 inner product and, on top, the maximum to expect from its spread.
 
-How many cells a query visits is measured on the sample: as many as held REACH of the sample's own true
-neighbours. Clustered vectors need a few cells, so work grows far slower than rows times queries; directions
+A query's own nearest tell when it may stop. First it visits the few cells that held half of the sample's true
+neighbours; its `depth`-th best score there is a floor that it need not go below. Then it visits every other cell that
+can reach the floor: centre product + |q| * radius * KAPPA, the radius being the largest distance of any row of the cell
+from the centre. With KAPPA 1 that bound is sound; KAPPA is the largest part of it that a true neighbour of the sample
+used, and a tenth more. Clustered vectors need few cells, so work grows far slower than rows times queries; directions
 without clusters need most cells, as for them no partition tells near from far.
 
 The model is fitted on the driver from at most SAMPLE rows (those of smallest hash) and has bounded size;
@@ -19,8 +22,9 @@ shard's rows come before its queries, which stream: nothing is gathered beyond a
 hash). Of rows with one and the same vector only the depth + 1 smallest ids can be
 among anyone's nearest, so the others leave before the blocks; that drops no answer.
 
-Inner products exist between vectors of the same dimension only: each dimension is a table of its own, one with up
-to BLOCK vectors searched exactly by an equi-join on the dimension. Rows with a null id, null or zero vectors, null
+Inner products exist between vectors of the same dimension only: each dimension has a model, cells and shards of its
+own, whatever its size. Dimensions go through one job together as long as their samples fit the bound, others follow in
+further jobs. Rows with a null id, null or zero vectors, null
 or non-finite components take no part; an empty table gives no rows; other columns are not read. Repeated rows count
 once. Rows with the same id and different vectors are one candidate and one query: the nearness of two ids is the
 largest inner product between their vectors (of the same dimension).
@@ -32,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,12 +49,13 @@ WIDTH = 2  # dimensions in a quantised block
 CODES = 16
 THRESHOLD = 0.2  # the share of a vector's norm at which inner products start to matter; sets eta
 RERANK = 192  # candidates of a block that are scored exactly
-REACH = 0.97  # share of the sample's true neighbours that the visited cells must have held
+REACH = 0.5  # share of the sample's true neighbours that the cells visited first must have held
+KAPPA = 1.1  # how much more of a cell's radius may count than the sample's neighbours used
 ASKED = 512  # sample rows that serve as queries for that
 CELLS_MOST = 1024
 SHARD_BYTES = 16 << 20  # bytes of vectors in a shard, the blocks that one task holds at a time
 TASKS = 50_000  # tasks of a scan at most; below that three for each shard, as hashing then seldom puts two into one
-DIMENSIONS = 64  # dimensions with more than BLOCK vectors that one table may have
+TOGETHER = 256  # dimensions of one job at most
 
 
 def clean(table: DataFrame) -> DataFrame:
@@ -104,9 +110,12 @@ class Model:
         """The largest inner product to expect in each cell: the centre's, and the expected maximum of the spread around it."""
         return q @ self.centres.T + np.linalg.norm(q, axis=1, keepdims=True) * self.lift
 
-    def reach(self, x: np.ndarray, share: float = REACH, depth: int = DEPTH, asked: int = ASKED) -> int:
-        """Cells a query must visit so that `share` of the true neighbours of `asked` rows among x lie in them."""
-        cells, ranks = self.cell(x), []
+    def calibrate(self, x: np.ndarray, share: float = REACH, depth: int = DEPTH, asked: int = ASKED) -> None:
+        """Sets first, the cells to visit before there is a floor, and kappa, from the true neighbours of `asked` rows among x."""
+        cells, ranks, used = self.cell(x), [np.zeros(0, np.int64)], [0.0]
+        far = np.linalg.norm(x - self.centres[cells], axis=1)
+        radius = np.zeros(len(self.centres))
+        np.maximum.at(radius, cells, far)
         for i in range(0, len(x), max(1, len(x) // asked)):
             score = x @ x[i]
             score[i] = -np.inf
@@ -114,7 +123,12 @@ class Model:
             order = np.empty(len(self.centres), np.int64)
             order[np.argsort(-self.promise(x[i : i + 1])[0], kind="stable")] = np.arange(len(self.centres))
             ranks.append(order[cells[near]])
-        return int(np.quantile(np.concatenate(ranks), share, method="higher")) + 1 if ranks and len(ranks[0]) else len(self.centres)
+            room = np.linalg.norm(x[i]) * radius[cells[near]]
+            over = score[near] - self.centres[cells[near]] @ x[i]
+            used.append(float(np.divide(over, room, out=np.zeros(len(near)), where=room > 0).max(initial=0.0)))
+        ranks = np.concatenate(ranks)
+        self.first = int(np.quantile(ranks, share, method="higher")) + 1 if len(ranks) else len(self.centres)
+        self.kappa = min(1.0, KAPPA * max(used))
 
     def codes(self, r: np.ndarray, unit: np.ndarray, passes: int = 2) -> np.ndarray:
         """Codes by coordinate descent on the anisotropic loss |e|^2 + (eta - 1) (e . unit)^2."""
@@ -169,42 +183,36 @@ def unpack_codes(packed: np.ndarray, blocks: int) -> np.ndarray:
     return out[:, :blocks]
 
 
-def fit(rows: DataFrame, count: int, sample: int = SAMPLE) -> tuple[Model, int]:
-    """From at most sample rows: the model, with a cell for BLOCK rows up to CELLS_MOST, and the cells to visit."""
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()
-    x = np.array([r["v"] for r in picked])
-    model = Model(x, max(1, min(CELLS_MOST, len(x), count // BLOCK)))
-    return model, model.reach(x)
+def fit(rows: DataFrame, counts: dict[int, int], sample: int = SAMPLE) -> dict[int, Model]:
+    """A model for each dimension from at most `sample` of its rows, those of smallest hash, with a cell for BLOCK rows up to CELLS_MOST."""
+    key = F.xxhash64("vec_id", "v")
+    part = F.try_element_at(F.create_map(*[F.lit(y) for d, n in counts.items() for y in (d, min(1.0, 1.25 * sample / n))]), F.size("v"))
+    t = rows.where(F.pmod(key, F.lit(1 << 20)) < part * (1 << 20)).select("v", F.pmod(key, F.lit(1 << 20)).alias("h"), key.alias("k")).limit(2 * sum(min(n, sample) for n in counts.values())).toArrow()
+    size, h, k, out = pc.list_value_length(t["v"]).to_numpy(), t["h"].to_numpy(), t["k"].to_numpy(), {}
+    for d, n in counts.items():
+        at = np.flatnonzero(size == d)
+        at = at[np.lexsort((k[at], h[at]))][:sample]
+        x = matrix(t["v"].take(pa.array(at)).combine_chunks())
+        out[d] = Model(x, max(1, min(CELLS_MOST, len(x), n // BLOCK)))
+        out[d].calibrate(x)
+    return out
 
 
 def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def exact(index: DataFrame, asked: DataFrame, depth: int) -> DataFrame:
-    """query_id, vec_id, score of all pairs within a dimension; for dimensions of at most BLOCK vectors."""
-    q = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.size("v").alias("d"))
-    c = index.select("vec_id", "v", F.size("v").alias("d"))
-    product = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return q.join(c, "d").where("query_id != vec_id").select("query_id", "vec_id", product.alias("score"))
-
-
 def search(table: DataFrame, queries: str = "vec_id % 20 = 0", depth: int = DEPTH, rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score of the ids that meet the SQL condition `queries`, against all rows."""
     spark = table.sparkSession
     with scratch(spark) as keep:
         rows = stored(clean(table), "vectors")
         index = stored(distinct_enough(rows, depth), "candidates")
-        counts = index.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"))
-        large = counts.where(F.col("n") > BLOCK).orderBy("d").limit(DIMENSIONS + 1).collect()
-        if len(large) > DIMENSIONS:
-            raise ValueError(f"more than {DIMENSIONS} dimensions with over {BLOCK} vectors each")
-        here = F.size("v").isin([r["d"] for r in large])
-        asked = rows.where(queries)
-        hits = exact(index.where(~here), asked.where(~here), depth)
-        for r in large:
-            own = F.size("v") == r["d"]
-            hits = hits.unionByName(approximate(index.where(own), asked.where(own), r["n"], depth, rerank, sample))
+        counts = {r["d"]: r["n"] for r in index.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect()}
+        hits, asked = spark.createDataFrame([], "query_id long, vec_id long, score double"), rows.where(queries)
+        for own in jobs(counts, sample):
+            here = F.size("v").isin(list(own))
+            hits = hits.unionByName(approximate(index.where(here), asked.where(here), own, depth, rerank, sample))
         if rows.groupBy("vec_id").count().where("count > 1").limit(1).count():
             hits = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
@@ -213,57 +221,94 @@ def search(table: DataFrame, queries: str = "vec_id % 20 = 0", depth: int = DEPT
     return out
 
 
-def approximate(index: DataFrame, asked: DataFrame, count: int, depth: int, rerank: int, sample: int) -> DataFrame:
-    """query_id, vec_id, score: of each query and shard that it visits the nearest `depth` ids, for vectors of one dimension."""
+def jobs(counts: dict[int, int], sample: int) -> Iterator[dict[int, int]]:
+    """The dimensions in groups whose samples together have the size of one."""
+    held: dict[int, int] = {}
+    for d, n in counts.items():
+        if held and (len(held) == TOGETHER or sum(min(x, sample) for x in held.values()) + min(n, sample) > sample):
+            yield held
+            held = {}
+        held[d] = n
+    if held:
+        yield held
+
+
+def by_dimension(b: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    size = pc.list_value_length(b.column("v"))
+    for d in pc.unique(size).to_pylist():
+        yield d, b.filter(pc.equal(size, d))
+
+
+class Layout:
+    """Where a dimension's cells lie: blocks, numbered so that near cells are neighbours, `per` of them a shard from `shard` on."""
+
+    def __init__(self, model: Model, slices: np.ndarray, radius: np.ndarray, shard: int, tasks: int):
+        self.slices, self.radius, self.shard = slices, radius, shard
+        self.base, blocks = block_order(model.centres, slices), int(slices.sum())
+        self.per = max(1, min(SHARD_BYTES // (8 * model.d * BLOCK), -(-blocks // tasks)))
+        self.shards = -(-blocks // self.per)
+
+
+def approximate(index: DataFrame, asked: DataFrame, counts: dict[int, int], depth: int, rerank: int, sample: int) -> DataFrame:
+    """query_id, vec_id, score: of each query and shard that it visits the nearest `depth` ids."""
     spark = index.sparkSession
-    model, visits = fit(index, count, sample)
-    shared = spark.sparkContext.broadcast(model)  # bounded: CELLS_MOST centres and the codebooks
+    models = fit(index, counts, sample)
+    shared = spark.sparkContext.broadcast(models)  # bounded: CELLS_MOST centres a sample, and the codebooks
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for b in batches:
-            if b.num_rows:
-                x = matrix(b.column("v"))
+            for d, own in by_dimension(b):
+                m, x = shared.value[d], matrix(own.column("v"))
                 cell = m.cell(x)
-                code = pack_codes(m.codes(x - m.centres[cell], x / np.linalg.norm(x, axis=1, keepdims=True)))
-                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in code], pa.binary())], ["vec_id", "v", "cell", "code"])
-
-    coded = stored(index.mapInArrow(assign, "vec_id long, v array<double>, cell int, code binary"), "codes")
-    slices = np.zeros(len(model.centres), np.int64)  # blocks of each cell; bounded as the cells are
-    for r in coded.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("n")).collect():
-        slices[r["cell"]] = r["n"]
-    blocks, base = int(slices.sum()), block_order(model.centres, slices)
-    per = max(1, min(SHARD_BYTES // (8 * model.d * BLOCK), -(-blocks // spark.sparkContext.defaultParallelism)))
-    layout = spark.createDataFrame([(int(c), int(slices[c]), int(base[c])) for c in np.flatnonzero(slices)], "cell int, slices long, base long")
+                r = x - m.centres[cell]
+                code = pack_codes(m.codes(r, x / np.linalg.norm(x, axis=1, keepdims=True)))
+                columns = [own.column("vec_id"), own.column("v"), pa.array([d] * len(x), pa.int32()), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(np.linalg.norm(r, axis=1))]
+                yield pa.RecordBatch.from_arrays(columns, ["vec_id", "v", "d", "cell", "code", "far"])
+
+    coded = stored(index.mapInArrow(assign, "vec_id long, v array<double>, d int, cell int, code binary, far double"), "codes")
+    slices = {d: np.zeros(len(m.centres), np.int64) for d, m in models.items()}  # blocks of each cell; bounded as the cells are
+    radius = {d: np.zeros(len(m.centres)) for d, m in models.items()}
+    for r in coded.groupBy("d", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("n"), F.max("far").alias("far")).collect():
+        slices[r["d"]][r["cell"]], radius[r["d"]][r["cell"]] = r["n"], r["far"]
+    places, shards = {}, 0
+    for d, m in models.items():
+        places[d] = Layout(m, slices[d], radius[d], shards, spark.sparkContext.defaultParallelism)
+        shards += places[d].shards
+    laid = spark.sparkContext.broadcast(places)  # three numbers a cell
+
+    layout = spark.createDataFrame([(d, int(c), int(p.slices[c]), int(p.base[c]), p.per, p.shard) for d, p in places.items() for c in np.flatnonzero(p.slices)], "d int, cell int, slices long, base long, per long, first long")
     place = F.col("base") + F.pmod(F.xxhash64("vec_id", "v"), F.col("slices"))
-    placed = join_small(coded, layout, ["cell"]).select(
-        F.floor(place / per).alias("shard"), F.lit(0).alias("kind"), place.alias("block"), "vec_id", "v", "code", F.lit(None).cast("array<long>").alias("blocks")
+    placed = join_small(coded, layout, ["d", "cell"]).select(
+        (F.col("first") + F.floor(place / F.col("per"))).alias("shard"), F.lit(0).alias("kind"), place.alias("block"), "vec_id", "v", "code", F.lit(None).cast("array<long>").alias("blocks")
     )
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each query and shard that it visits, with the blocks it visits there."""
-        m = shared.value
-        for b in batches:
-            x = matrix(b.column("v")) if b.num_rows else np.zeros((0, m.d))
-            for i in range(0, len(x), 64):
-                best = np.argsort(-m.promise(x[i : i + 64]), axis=1, kind="stable")[:, :visits]
-                row, shard, listed = [], [], []
-                for k, cells in enumerate(best):
-                    seen = np.sort(np.concatenate([np.arange(base[c], base[c] + slices[c]) for c in cells]))
-                    parts = np.split(seen, np.flatnonzero(np.diff(seen // per)) + 1) if len(seen) else []
-                    row += [i + k] * len(parts)
-                    shard += [int(p[0] // per) for p in parts]
-                    listed += parts
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("vec_id").take(pa.array(row, pa.int64())), b.column("v").take(pa.array(row, pa.int64())), pa.array(shard, pa.int64()), pa.array(listed, pa.list_(pa.int64()))], ["vec_id", "v", "shard", "blocks"]
-                )
-
-    asked = asked.mapInArrow(route, "vec_id long, v array<double>, shard long, blocks array<long>")
-    both = placed.unionByName(asked.select("shard", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("block"), "vec_id", "v", F.lit(b"").alias("code"), "blocks"))
-    dealt = both.repartition(min(3 * -(-blocks // per), TASKS), "shard").sortWithinPartitions("shard", "kind", "block", "vec_id")
+    def route(again: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """A row for each query and shard that it visits, with the blocks it visits there."""
+            for b in batches:
+                for d, own in by_dimension(b):
+                    m, p, x = shared.value[d], laid.value[d], matrix(own.column("v"))
+                    floor = own.column("floor").to_numpy(zero_copy_only=False)  # NaN: fewer than depth found
+                    for i in range(0, len(x), 64):
+                        q = x[i : i + 64]
+                        best = np.argsort(-m.promise(q), axis=1, kind="stable")[:, : m.first]
+                        reachable = ~(q @ m.centres.T + np.linalg.norm(q, axis=1, keepdims=True) * p.radius * m.kappa < floor[i : i + 64, None])
+                        row, shard, listed = [], [], []
+                        for k, cells in enumerate(best):
+                            if again:
+                                reachable[k, cells] = False
+                                cells = np.flatnonzero(reachable[k])
+                            seen = np.sort(np.concatenate([np.zeros(0, np.int64), *(np.arange(p.base[c], p.base[c] + p.slices[c]) for c in cells)]))
+                            parts = np.split(seen, np.flatnonzero(np.diff(seen // p.per)) + 1) if len(seen) else []
+                            row += [i + k] * len(parts)
+                            shard += [p.shard + int(x[0] // p.per) for x in parts]
+                            listed += parts
+                        at = pa.array(row, pa.int64())
+                        yield pa.RecordBatch.from_arrays([own.column("vec_id").take(at), own.column("v").take(at), pa.array(shard, pa.int64()), pa.array(listed, pa.list_(pa.int64()))], ["vec_id", "v", "shard", "blocks"])
+
+        return run
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         here, gathered, index = None, [], None
         for b in batches:
             if not b.num_rows:
@@ -279,6 +324,7 @@ def approximate(index: DataFrame, asked: DataFrame, count: int, depth: int, rera
                     codes = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(len(k), -1)
                     gathered.append((part.column("block").to_numpy(), k, x, codes))
                     continue
+                m = shared.value[x.shape[1]]  # a shard has one dimension
                 if index is None:
                     index, gathered = blocks_of(gathered, len(m.cuts)), []
                 # the cell's centre adds the same to every row of a block
@@ -289,7 +335,20 @@ def approximate(index: DataFrame, asked: DataFrame, count: int, depth: int, rera
                     out.append((np.full(len(top[0]), k[i]), *top))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
 
-    return dealt.mapInArrow(scan, "query_id long, vec_id long, score double")
+    def visited(floors: DataFrame, again: bool, name: str) -> DataFrame:
+        routed = floors.mapInArrow(route(again), "vec_id long, v array<double>, shard long, blocks array<long>")
+        both = placed.unionByName(routed.select("shard", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("block"), "vec_id", "v", F.lit(b"").alias("code"), "blocks"))
+        dealt = both.repartition(min(3 * shards, TASKS), "shard").sortWithinPartitions("shard", "kind", "block", "vec_id")
+        return stored(dealt.mapInArrow(scan, "query_id long, vec_id long, score double"), name)
+
+    hits = visited(asked.select("vec_id", "v", F.lit(None).cast("double").alias("floor")), False, "hits")
+    if all(m.first >= len(m.centres) for m in models.values()):
+        return hits
+    # the depth-th best of a query; an id that several of its vectors found counts once
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc())
+    each = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    floors = each.withColumn("n", F.row_number().over(w)).where(F.col("n") == depth).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+    return hits.unionByName(visited(join_small(asked, floors, ["vec_id"], "left").select("vec_id", "v", "floor"), True, "more"))
 
 
 def block_order(centres: np.ndarray, slices: np.ndarray) -> np.ndarray:
