@@ -5,7 +5,7 @@ variable-length element ids and sizes (unknown sizes too), clusters, simple bloc
 all three lacings and the cue index. Payload bytes are found through the packet table's byte ranges.
 
 Defined results: a null medium gives no packets and null features; any byte string that is not well-formed (empty,
-foreign, cut short, a block outside a cluster) raises ValueError from demux(): packets() gives it no rows,
+foreign, cut short, a block outside a cluster, nested deeper than NESTED, integers beyond 64 bits) raises ValueError from demux(): packets() gives it no rows,
 media_features() null features, media_errors() the error's text. Repeated rows count each; an empty table gives no
 rows; extra columns are ignored.
 """
@@ -30,6 +30,7 @@ TOP = {EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES, 0x114D9B74, 0x1941A469, 0x104
 MASTERS = {SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_TRACKS}
 
 UNIT = 64  # payload is padded to a positive multiple of this
+NESTED = 32  # levels of elements; the specification needs eight
 FRAME = 1024  # samples (bytes) in a frame: 128 ms at 8 kHz
 LACED = 8  # frames in a block
 BLOCKS = 8  # blocks in a cluster
@@ -192,7 +193,16 @@ def demux(b: bytes) -> Media:
     if b[:4] != EBML.to_bytes(4, "big"):
         raise ValueError("no EBML header")
     media, rates = Media(), {}
-    integer = lambda i, j: int.from_bytes(b[i:j], "big")
+
+    def integer(i: int, j: int) -> int:
+        if j - i > 8:
+            raise ValueError(f"integer of {j - i} bytes at byte {i}")
+        return int.from_bytes(b[i:j], "big")
+
+    def in_range(n: int, at: int) -> int:
+        if not -(1 << 63) <= n < 1 << 63:
+            raise ValueError(f"time or place beyond 64 bits at byte {at}")
+        return n
 
     def take_block(i: int, j: int, cluster: int, nth: int, time: int, simple: bool) -> None:
         track, i = read_vint(b, i)
@@ -206,27 +216,30 @@ def demux(b: bytes) -> Media:
         for lace, (at, size) in enumerate(ranges):
             ms = (time + offset) * media.scale // 1_000_000
             ms += sum(s for _, s in ranges[:lace]) * 1000 // per if per else 0
-            media.packets.append((track, cluster, nth, lace, ms, bool(flags & 0x80) or not simple, at, size))
+            media.packets.append((track, cluster, nth, lace, in_range(ms, i), bool(flags & 0x80) or not simple, at, size))
 
-    def walk(i: int, end: int, inside: dict) -> None:
+    def walk(i: int, end: int, inside: dict, depth: int = 1) -> None:
+        if depth > NESTED:
+            raise ValueError(f"elements nested deeper than {NESTED} at byte {i}")
         for eid, s, e, at in elements(b, i, end):
             if eid == SEGMENT:
-                walk(s, e, {"segment": s})
+                walk(s, e, {"segment": s}, depth + 1)
             elif eid == CLUSTER:
                 media.clusters.append((at, e))
-                walk(s, e, {**inside, "cluster": len(media.clusters) - 1, "time": 0, "block": 0})
+                walk(s, e, {**inside, "cluster": len(media.clusters) - 1, "time": 0, "block": 0}, depth + 1)
             elif eid == TRACK:
-                walk(s, e, t := {**inside, "track": {}})
+                walk(s, e, t := {**inside, "track": {}}, depth + 1)
                 t = t["track"]
                 number_ = t.get("number", 0)
                 media.tracks[number_] = t
                 if t.get("codec") == "A_PCM/INT/LIT" and t.get("rate") and 0 < t["rate"] < 1e9:
                     rates[number_] = int(t["rate"]) * t.get("channels", 1) * max(1, t.get("depth", 8) // 8)
             elif eid == CUE_POINT:
-                walk(s, e, c := {**inside, "cue": {}})
-                media.cues.append((c["cue"].get("time", 0) * media.scale // 1_000_000, c["cue"].get("track", 0), c["cue"].get("at", 0) + inside.get("segment", 0)))
+                walk(s, e, c := {**inside, "cue": {}}, depth + 1)
+                place = c["cue"].get("at", 0) + inside.get("segment", 0)
+                media.cues.append((in_range(c["cue"].get("time", 0) * media.scale // 1_000_000, s), in_range(c["cue"].get("track", 0), s), in_range(place, s)))
             elif eid in MASTERS:
-                walk(s, e, inside)
+                walk(s, e, inside, depth + 1)
             elif eid == SCALE:
                 media.scale = integer(s, e)
             elif eid == CLUSTER_TIME:

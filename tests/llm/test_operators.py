@@ -103,6 +103,13 @@ def test_malformed_media(spark):
     rate = matroska.element(matroska.TRACKS, matroska.element(matroska.TRACK, matroska.element(matroska.AUDIO, matroska.element(matroska.RATE, b"\0\0"))))
     bad = [b"", b"junk", head + wrap(simple), head + wrap(rate), head + wrap(matroska.element(matroska.CLUSTER, matroska.element(matroska.SIMPLE_BLOCK, b"\x81\0")))]
     bad += [head + wrap(matroska.element(matroska.CLUSTER, matroska.element(matroska.SIMPLE_BLOCK, b"\x81\0\0\x02\x01\xff")))]
+    deep = b""
+    for _ in range(3000):
+        deep = wrap(deep)
+    later = head + wrap(matroska.element(matroska.CLUSTER, matroska.element(matroska.CLUSTER_TIME, b"\x7f" * 9) + simple))
+    late = head + wrap(matroska.element(matroska.CLUSTER, matroska.element(matroska.CLUSTER_TIME, b"\xff" * 8) + simple))
+    cue = head + wrap(matroska.element(matroska.CUES, matroska.element(matroska.CUE_POINT, matroska.element(matroska.CUE_TIME, b"\xff" * 8))))
+    bad += [head + deep, head + (matroska.SEGMENT.to_bytes(4, "big") + b"\xff") * 3000, later, late, cue]
     rng = random.Random(4)
     for _ in range(400):
         b = bytearray(good[: rng.randrange(len(good))] if rng.random() < 0.5 else good)
