@@ -4,7 +4,7 @@ Cells come from k-means on a bounded sample; a vector's residual to its cell cen
 16 codes (4 bits) a block of two dimensions. Codebooks and codes minimise eta * |parallel error|^2 +
 |orthogonal error|^2, the parallel direction being the vector's own: errors along it change large inner
 products most. A query visits the cells whose centres promise most, scans 4-bit codes by table look-ups, and
-reranks the best of each block exactly in double precision on the original vectors. A cell promises its centre's
+reranks what may be near exactly in double precision on the original vectors. A cell promises its centre's
 inner product and, on top, the maximum to expect from its spread.
 
 A query's own nearest tell when it may stop. First it visits the few cells that held half of the sample's true
@@ -12,7 +12,9 @@ neighbours; its `depth`-th best score there is a floor that it need not go below
 can reach the floor: centre product + |q| * radius * KAPPA, the radius being the largest distance of any row of the cell
 from the centre. With KAPPA 1 that bound is sound; KAPPA is the largest part of it that a true neighbour of the sample
 used, and a tenth more. Clustered vectors need few cells, so work grows far slower than rows times queries; directions
-without clusters need most cells, as for them no partition tells near from far.
+without clusters need most cells, as for them no partition tells near from far. In a block the same holds of the codes: reranked
+are all rows whose product by codes, and the part of the codes' error (stored by row) that the sample's neighbours used, reaches the
+floor, so however many near copies share a code, none is left out.
 
 The model is fitted on the driver from at most SAMPLE rows (those of smallest hash) and has bounded size;
 every row is indexed. Cells hold about BLOCK rows; a crowded cell becomes several blocks that a query visits all.
@@ -48,7 +50,7 @@ DEPTH = 20
 WIDTH = 2  # dimensions in a quantised block
 CODES = 16
 THRESHOLD = 0.2  # the share of a vector's norm at which inner products start to matter; sets eta
-RERANK = 192  # candidates of a block that are scored exactly
+RERANK = 192  # candidates of a block that are scored exactly before there is a floor
 REACH = 0.5  # share of the sample's true neighbours that the cells visited first must have held
 KAPPA = 1.1  # how much more of a cell's radius may count than the sample's neighbours used
 ASKED = 512  # sample rows that serve as queries for that
@@ -111,8 +113,12 @@ class Model:
         return q @ self.centres.T + np.linalg.norm(q, axis=1, keepdims=True) * self.lift
 
     def calibrate(self, x: np.ndarray, share: float = REACH, depth: int = DEPTH, asked: int = ASKED) -> None:
-        """Sets first, the cells to visit before there is a floor, and kappa, from the true neighbours of `asked` rows among x."""
-        cells, ranks, used = self.cell(x), [np.zeros(0, np.int64)], [0.0]
+        """Sets first, the cells to visit before there is a floor, and kappa and slack, the parts of a cell's radius and of a code's
+        error that count, from the true neighbours of `asked` rows among x."""
+        cells, ranks, used, missed = self.cell(x), [np.zeros(0, np.int64)], [0.0], [0.0]
+        r = x - self.centres[cells]
+        err = self.errors(r, self.codes(r, x / np.linalg.norm(x, axis=1, keepdims=True)))
+        size = np.linalg.norm(err, axis=1)
         far = np.linalg.norm(x - self.centres[cells], axis=1)
         radius = np.zeros(len(self.centres))
         np.maximum.at(radius, cells, far)
@@ -126,9 +132,11 @@ class Model:
             room = np.linalg.norm(x[i]) * radius[cells[near]]
             over = score[near] - self.centres[cells[near]] @ x[i]
             used.append(float(np.divide(over, room, out=np.zeros(len(near)), where=room > 0).max(initial=0.0)))
+            room = np.linalg.norm(x[i]) * size[near]
+            missed.append(float(np.divide(err[near] @ x[i], room, out=np.zeros(len(near)), where=room > 0).max(initial=0.0)))
         ranks = np.concatenate(ranks)
         self.first = int(np.quantile(ranks, share, method="higher")) + 1 if len(ranks) else len(self.centres)
-        self.kappa = min(1.0, KAPPA * max(used))
+        self.kappa, self.slack = min(1.0, KAPPA * max(used)), min(1.0, KAPPA * max(missed))
 
     def codes(self, r: np.ndarray, unit: np.ndarray, passes: int = 2) -> np.ndarray:
         """Codes by coordinate descent on the anisotropic loss |e|^2 + (eta - 1) (e . unit)^2."""
@@ -151,9 +159,12 @@ class Model:
                 out[:, b] = k
         return out
 
+    def errors(self, r: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        return np.concatenate([r[:, i:j] - self.books[b][codes[:, b]] for b, (i, j) in enumerate(self.cuts)], 1)
+
     def update(self, r: np.ndarray, unit: np.ndarray, codes: np.ndarray) -> None:
         """Each code's best point given the others: a linear system of WIDTH unknowns a code."""
-        err = np.concatenate([r[:, i:j] - self.books[b][codes[:, b]] for b, (i, j) in enumerate(self.cuts)], 1)
+        err = self.errors(r, codes)
         for b, (i, j) in enumerate(self.cuts):
             u = unit[:, i:j]
             rest = (err * unit).sum(1) - (err[:, i:j] * u).sum(1)  # parallel error of the other blocks
@@ -261,11 +272,12 @@ def approximate(index: DataFrame, asked: DataFrame, counts: dict[int, int], dept
                 m, x = shared.value[d], matrix(own.column("v"))
                 cell = m.cell(x)
                 r = x - m.centres[cell]
-                code = pack_codes(m.codes(r, x / np.linalg.norm(x, axis=1, keepdims=True)))
-                columns = [own.column("vec_id"), own.column("v"), pa.array([d] * len(x), pa.int32()), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(np.linalg.norm(r, axis=1))]
-                yield pa.RecordBatch.from_arrays(columns, ["vec_id", "v", "d", "cell", "code", "far"])
+                code = m.codes(r, x / np.linalg.norm(x, axis=1, keepdims=True))
+                off, code = np.linalg.norm(m.errors(r, code), axis=1), pack_codes(code)
+                columns = [own.column("vec_id"), own.column("v"), pa.array([d] * len(x), pa.int32()), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(np.linalg.norm(r, axis=1)), pa.array(off)]
+                yield pa.RecordBatch.from_arrays(columns, ["vec_id", "v", "d", "cell", "code", "far", "off"])
 
-    coded = stored(index.mapInArrow(assign, "vec_id long, v array<double>, d int, cell int, code binary, far double"), "codes")
+    coded = stored(index.mapInArrow(assign, "vec_id long, v array<double>, d int, cell int, code binary, far double, off double"), "codes")
     slices = {d: np.zeros(len(m.centres), np.int64) for d, m in models.items()}  # blocks of each cell; bounded as the cells are
     radius = {d: np.zeros(len(m.centres)) for d, m in models.items()}
     for r in coded.groupBy("d", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("n"), F.max("far").alias("far")).collect():
@@ -279,7 +291,7 @@ def approximate(index: DataFrame, asked: DataFrame, counts: dict[int, int], dept
     layout = spark.createDataFrame([(d, int(c), int(p.slices[c]), int(p.base[c]), p.per, p.shard) for d, p in places.items() for c in np.flatnonzero(p.slices)], "d int, cell int, slices long, base long, per long, first long")
     place = F.col("base") + F.pmod(F.xxhash64("vec_id", "v"), F.col("slices"))
     placed = join_small(coded, layout, ["d", "cell"]).select(
-        (F.col("first") + F.floor(place / F.col("per"))).alias("shard"), F.lit(0).alias("kind"), place.alias("block"), "vec_id", "v", "code", F.lit(None).cast("array<long>").alias("blocks")
+        (F.col("first") + F.floor(place / F.col("per"))).alias("shard"), F.lit(0).alias("kind"), place.alias("block"), "vec_id", "v", "cell", "code", F.col("off").alias("bar"), F.lit(None).cast("array<long>").alias("blocks")
     )
 
     def route(again: bool):
@@ -304,7 +316,7 @@ def approximate(index: DataFrame, asked: DataFrame, counts: dict[int, int], dept
                             shard += [p.shard + int(x[0] // p.per) for x in parts]
                             listed += parts
                         at = pa.array(row, pa.int64())
-                        yield pa.RecordBatch.from_arrays([own.column("vec_id").take(at), own.column("v").take(at), pa.array(shard, pa.int64()), pa.array(listed, pa.list_(pa.int64()))], ["vec_id", "v", "shard", "blocks"])
+                        yield pa.RecordBatch.from_arrays([*(own.column(c).take(at) for c in ("vec_id", "v", "floor")), pa.array(shard, pa.int64()), pa.array(listed, pa.list_(pa.int64()))], ["vec_id", "v", "floor", "shard", "blocks"])
 
         return run
 
@@ -322,22 +334,26 @@ def approximate(index: DataFrame, asked: DataFrame, counts: dict[int, int], dept
                 x, k = matrix(part.column("v")), part.column("vec_id").to_numpy()
                 if kind[s] == 0:
                     codes = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(len(k), -1)
-                    gathered.append((part.column("block").to_numpy(), k, x, codes))
+                    gathered.append((part.column("block").to_numpy(), k, x, codes, part.column("cell").to_numpy(), part.column("bar").to_numpy()))
                     continue
                 m = shared.value[x.shape[1]]  # a shard has one dimension
                 if index is None:
                     index, gathered = blocks_of(gathered, len(m.cuts)), []
-                # the cell's centre adds the same to every row of a block
-                lut, out = m.tables(x), []
+                lut, norm, floor, out = m.tables(x), np.linalg.norm(x, axis=1), part.column("bar").to_numpy(zero_copy_only=False), []
                 for i, listed in enumerate(part.column("blocks").to_pylist()):
-                    found = [nearest(*index[n], k[i], x[i], lut[i], depth, rerank) for n in listed if n in index]
-                    top = best_of(*(np.concatenate(c) for c in zip(*found, strict=True)), depth) if found else (k[:0], x[:0, 0])
+                    top, bar = (k[:0], x[:0, 0]), -np.inf if np.isnan(floor[i]) else floor[i]
+                    for n in listed:
+                        if n in index:
+                            ids, vecs, flat, cell, off = index[n]
+                            found = nearest(ids, vecs, flat, x[i] @ m.centres[cell], off * (norm[i] * m.slack), k[i], x[i], lut[i], depth, rerank, bar)
+                            top = best_of(np.concatenate([top[0], found[0]]), np.concatenate([top[1], found[1]]), depth)
+                            bar = max(bar, top[1][-1]) if len(top[0]) == depth else bar
                     out.append((np.full(len(top[0]), k[i]), *top))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
 
     def visited(floors: DataFrame, again: bool, name: str) -> DataFrame:
-        routed = floors.mapInArrow(route(again), "vec_id long, v array<double>, shard long, blocks array<long>")
-        both = placed.unionByName(routed.select("shard", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("block"), "vec_id", "v", F.lit(b"").alias("code"), "blocks"))
+        routed = floors.mapInArrow(route(again), "vec_id long, v array<double>, floor double, shard long, blocks array<long>")
+        both = placed.unionByName(routed.select("shard", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("block"), "vec_id", "v", F.lit(0).alias("cell"), F.lit(b"").alias("code"), F.col("floor").alias("bar"), "blocks"))
         dealt = both.repartition(min(3 * shards, TASKS), "shard").sortWithinPartitions("shard", "kind", "block", "vec_id")
         return stored(dealt.mapInArrow(scan, "query_id long, vec_id long, score double"), name)
 
@@ -369,29 +385,33 @@ def block_order(centres: np.ndarray, slices: np.ndarray) -> np.ndarray:
 
 
 def blocks_of(parts: list[tuple], width: int) -> dict[int, tuple]:
-    """By block: ids, vectors, and the place in the look-up table of each code, code blocks first."""
+    """By block: ids, vectors, the place in the look-up table of each code (code blocks first), the cell, and the errors of the codes."""
     if not parts:
         return {}
-    block, ids, vecs, codes = (np.concatenate(c) for c in zip(*parts, strict=True))
+    block, ids, vecs, codes, cells, off = (np.concatenate(c) for c in zip(*parts, strict=True))
     offset, edge = np.arange(width) * CODES, np.flatnonzero(np.diff(block)) + 1
     return {
-        int(block[s]): (ids[s:e], vecs[s:e], np.ascontiguousarray((unpack_codes(codes[s:e], width).astype(np.intp) + offset).T))
+        int(block[s]): (ids[s:e], vecs[s:e], np.ascontiguousarray((unpack_codes(codes[s:e], width).astype(np.intp) + offset).T), int(cells[s]), off[s:e])
         for s, e in zip([0, *edge], [*edge, len(block)], strict=True)
     }
 
 
-def nearest(ids: np.ndarray, vecs: np.ndarray, flat: np.ndarray, own: int, q: np.ndarray, lut: np.ndarray, depth: int, rerank: int) -> tuple[np.ndarray, np.ndarray]:
-    """ids and exact scores of a block's nearest, its own id aside: the `rerank` best by codes are scored."""
-    if len(ids) > rerank:
-        # codes of a code block lie together, so each look-up is one gather and the sums run over rows
-        guess = lut[flat[0]]
-        for f in flat[1:]:
-            guess += lut[f]
+def nearest(ids: np.ndarray, vecs: np.ndarray, flat: np.ndarray, centre: float, room: np.ndarray, own: int, q: np.ndarray, lut: np.ndarray, depth: int, rerank: int, bar: float) -> tuple[np.ndarray, np.ndarray]:
+    """ids and exact scores of a block's nearest, its own id aside. Scored are all rows whose product by codes, with room for
+    the codes' error, reaches the bar; without a bar the `rerank` best by codes are scored first and set one."""
+    # codes of a code block lie together, so each look-up is one gather and the sums run over rows
+    guess = lut[flat[0]] + centre
+    for f in flat[1:]:
+        guess += lut[f]
+    first = (ids[:0], q[:0])
+    if bar == -np.inf and len(ids) > rerank:
         near = np.argpartition(-guess, rerank - 1)[:rerank]
-    else:
-        near = np.arange(len(ids))
+        near = near[ids[near] != own]
+        first = best_of(ids[near], (vecs[near] * q).sum(1), depth)
+        bar = first[1][-1] if len(first[0]) == depth else bar
+    near = np.flatnonzero(guess + room >= bar)
     near = near[ids[near] != own]
-    return best_of(ids[near], (vecs[near] * q).sum(1), depth)
+    return best_of(np.concatenate([first[0], ids[near]]), np.concatenate([first[1], (vecs[near] * q).sum(1)]), depth)
 
 
 def best_of(ids: np.ndarray, score: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
