@@ -21,6 +21,7 @@ from .operators import sampling, selection
 from .operators import windows as W
 from .operators.prefix import hex_bucket, running
 from .plans import scan
+from .streaming import progress, replay
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -489,6 +490,13 @@ def repo_stats(spark, sf):
     return t.select("repo", F.col("step").cast("long").alias("step"), *COUNTS, *[r9(F.col(c)).alias(c) for c in ROUNDED], "stop_reason")
 
 
+@query(SQL["repo_stats"])
+def progress_stream(spark, sf):
+    """repo_stats by the stream: steps are replayed in micro-batches, and each repository's last progress is what remains."""
+    last = progress.last_progress(replay.replayed(scan_steps(spark, sf), 128))
+    return last.select("repo", F.col("step").cast("long").alias("step"), *COUNTS, *[r9(F.col(c)).alias(c) for c in ROUNDED], "stop_reason")
+
+
 def shuffle_sql(sizes: str) -> str:
     """shuffled(repo, candidate_index, step) from a query of (repo, n): the swaps one by one in a recursive CTE."""
     return f"""counted AS ({sizes}),

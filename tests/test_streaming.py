@@ -1,0 +1,85 @@
+"""The replay source and the stateful estimate."""
+
+import random
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.operators import estimate as E
+from lodestone.streaming import progress, replay
+
+CONFIG = E.Sampling(target=0.15, min_files=5)
+
+
+def made(seed, repos=4, n=40):
+    rng = random.Random(seed)
+    out = []
+    for r in range(repos):
+        for i in range(n):
+            status, m = rng.choice(["scanned"] * 5 + ["generated", "errored"]), rng.randint(1, 9)
+            out.append((f"r{r}", n, i + 1, status, m if status == "scanned" else 0, rng.randint(0, m) if r else m, 0.4 * m, rng.random() < 0.5))
+    return [x if x[3] == "scanned" else (*x[:4], 0, 0, 0.0, False) for x in out]
+
+
+def shown(rows):
+    return {r["repo"]: {k: round(v, 9) if isinstance(v, float) else v for k, v in r.asDict().items() if k not in ("repo", "stalled")} for r in rows}
+
+
+def test_offsets_are_steps_and_batches_are_bounded(tmp_path):
+    s = replay.StepStream(10, 4, 2)
+    assert s.initialOffset() == {"step": 0} and [s.latestOffset()["step"] for _ in range(4)] == [4, 8, 10, 10]
+    assert [(p.low, p.high) for p in s.partitions({"step": 4}, {"step": 8})] == [(4, 6), (6, 8)] and s.partitions({"step": 8}, {"step": 8}) == []
+    assert [x for p in s.partitions({"step": 0}, {"step": 7}) for b in s.read(p) for x in b.column("step").to_pylist()] == list(range(1, 8))
+    place = str(tmp_path / "place")
+    again = replay.StepStream(10, 4, 2, place)
+    assert again.latestOffset() == {"step": 4}
+    again.commit({"step": 4})
+    assert [replay.StepStream(10, 4, 2, place).latestOffset()["step"] for _ in range(2)] == [8, 8]
+
+
+def test_replay_equals_batch(spark, tmp_path):
+    steps = spark.createDataFrame(made(3), progress.STEP).drop("population")
+    want = shown(E.repo_stats(steps, CONFIG).collect())
+    got = shown(progress.last_progress(replay.replayed(steps, 7), CONFIG).collect())
+    assert got == want and {v["stop_reason"] for v in want.values()} >= {"precision_reached"}
+    sizes = []
+    for more in (steps, steps.union(steps.withColumn("step", F.col("step") + 40))):  # the second run goes on
+        r = replay.replayed(more, 7, str(tmp_path / "place"))
+        q = r.writeStream.foreachBatch(lambda b, n: sizes.append(b.count())).option("checkpointLocation", str(tmp_path / "c")).start()
+        q.processAllAvailable()
+        q.stop()
+        if more is steps:
+            assert sizes == [28] * 5 + [20]  # four repositories, seven steps of each
+    assert sum(sizes) == 320 and max(sizes) == 28
+
+
+def test_shuffled_late_and_repeated_steps(spark, tmp_path):
+    rows = made(5)
+    want = shown(E.repo_stats(spark.createDataFrame(rows, progress.STEP).drop("population"), CONFIG).collect())
+    random.Random(1).shuffle(rows)
+    for i in range(0, len(rows), 40):
+        spark.createDataFrame(rows[i : i + 40] + rows[:5], progress.STEP).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    seen = []
+    q = progress.events(spark.readStream.schema(progress.STEP).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), lambda kind, data: seen.append((kind, data)), CONFIG, str(tmp_path / "state"))
+    q.processAllAvailable()
+    q.stop()
+    done = [d for kind, d in seen if kind == "complete"]
+    assert len(done) == len({d["repo"] for d in done}) == 4
+    for d in done:
+        assert {k: round(v, 9) if isinstance(v, float) else v for k, v in d.items() if k not in ("repo", "stalled")} == want[d["repo"]]
+    state = lambda name, **o: spark.read.format("statestore").option("path", str(tmp_path / "state")).option("stateVarName", name).options(**o).load()
+    assert state("sums").count() == 0 and state("early").count() == 0 and state("done").count() == 4
+
+
+def test_stalled_repositories_report_again(spark, tmp_path):
+    rows = [r for r in made(7, repos=1) if r[2] <= 3]
+    spark.createDataFrame(rows, progress.STEP).coalesce(1).write.parquet(str(tmp_path / "in"))
+    seen = []
+    stream = progress.progress(spark.readStream.schema(progress.STEP).parquet(str(tmp_path / "in")), CONFIG, stall=500)
+    q = stream.writeStream.outputMode("update").foreachBatch(lambda b, n: seen.extend(b.collect())).option("checkpointLocation", str(tmp_path / "c")).start()
+    end = time.time() + 60
+    while time.time() < end and not any(r["stalled"] for r in seen):
+        time.sleep(0.2)
+    q.stop()
+    assert any(r["stalled"] and r["step"] == 3 for r in seen) and not seen[0]["stalled"]
