@@ -145,15 +145,24 @@ class Tree:
                     continue
                 if at.parts > 1 and zlib.crc32(name.encode()) % at.parts != at.part:
                     continue
-                row = {"source_id": at.source, "path": path, "name": name, "suffix": suffix(name), "language": language(name)}
-                if not all(holds(f, row[column(f)]) for f in self.filters if column(f) != "size"):
+                row = self.named(at.source, path)
+                if row is None:
                     continue
                 try:
                     size = e.stat(follow_symlinks=False).st_size
                 except OSError:
                     continue
-                if all(holds(f, size) for f in self.filters if column(f) == "size"):
-                    yield path, name, row["suffix"], row["language"], size
+                if self.sized(size):
+                    yield *row, size
+
+    def named(self, source: str, path: str) -> tuple[str, str, str, str | None] | None:
+        """path, name, suffix and language of a file, if the filters on all but size hold."""
+        name = path.rsplit("/", 1)[-1]
+        row = {"source_id": source, "path": path, "name": name, "suffix": suffix(name), "language": language(name)}
+        return tuple(row.values())[1:] if all(holds(f, row[column(f)]) for f in self.filters if column(f) != "size") else None
+
+    def sized(self, size: int) -> bool:
+        return all(holds(f, size) for f in self.filters if column(f) == "size")
 
 
 class TreeReader(D.DataSourceReader):
@@ -219,6 +228,8 @@ def batch(rows: list[list], names: list[str]) -> pa.RecordBatch:
 class CodeTree(D.DataSource):
     """The data source `code_tree`."""
 
+    READERS: tuple[type, type] = (TreeReader, PushingReader)
+
     @classmethod
     def name(cls) -> str:
         return "code_tree"
@@ -235,20 +246,23 @@ class CodeTree(D.DataSource):
         if roots is None:
             raise ValueError("code_tree needs a path or the option roots")
         tree = Tree(roots, json.loads(o.get("include", "{}")), json.loads(o.get("exclude", "{}")), [])
-        kind = PushingReader if str(o.get("pushdown", "false")).lower() == "true" else TreeReader
+        kind = self.READERS[str(o.get("pushdown", "false")).lower() == "true"]
         return kind(tree, int(o.get("partitions", "64")), self._content())
 
 
 def register(spark: SparkSession) -> SparkSession:
     """Makes the format known to the session and lets filters reach Python sources."""
+    from .archives import TarFiles
+
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(CodeTree)
+    spark.dataSource.register(TarFiles)
     return spark
 
 
-def code_tree(spark: SparkSession, roots: dict[str, str], include: dict[str, list[str]] | None = None, exclude: dict[str, list[str]] | None = None, where: Column | str | None = None, content: bool = True, partitions: int | None = None) -> DataFrame:
-    """All sources' files as one table; where is pushed into the listing."""
-    r = register(spark).read.format("code_tree").option("roots", json.dumps({k: str(v) for k, v in roots.items()})).option("content", str(content).lower())
+def code_tree(spark: SparkSession, roots: dict[str, str], include: dict[str, list[str]] | None = None, exclude: dict[str, list[str]] | None = None, where: Column | str | None = None, content: bool = True, partitions: int | None = None, format: str = "code_tree") -> DataFrame:
+    """All sources' files as one table; where is pushed into the listing. format tar_files: roots are archives."""
+    r = register(spark).read.format(format).option("roots", json.dumps({k: str(v) for k, v in roots.items()})).option("content", str(content).lower())
     r = r.option("include", json.dumps(include or {})).option("exclude", json.dumps(exclude or {})).option("pushdown", str(where is not None).lower())
     df = r.option("partitions", str(partitions or max(64, 4 * spark.sparkContext.defaultParallelism))).load()
     return df if where is None else df.where(where)

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import json
-import shutil
-from pathlib import Path
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -45,24 +45,65 @@ def problems(spark: SparkSession, path: str, full: bool = True) -> DataFrame:
     return made.select("path", "line", what.alias("problem")).where("problem IS NOT NULL")
 
 
-def write(df: DataFrame, folder: str, order: list | None = None) -> None:
-    """One folder a split with compact lines in the given order; null fields are written. Parts stay parallel and in order:
-    joined in turn (joined()) they are the one file a split."""
-    for split in S.SPLITS:
-        part = df.where(F.col("split") == split)
-        (part.orderBy(*order) if order else part).select(*S.CHUNK_COLUMNS).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/{split}.jsonl")
-
-
-def joined(folder: str | Path, split: str) -> Path:
-    """The parts of a written split as one file {split}.jsonl beside its folder, which goes; for folders on this machine."""
-    parts, out = Path(folder, f"{split}.jsonl"), Path(folder, f"{split}.jsonl.tmp")
-    with out.open("wb") as f:
-        for p in sorted(parts.glob("part-*")):
-            with p.open("rb") as g:
-                shutil.copyfileobj(g, f)
-    shutil.rmtree(parts)
-    return out.rename(parts)
-
-
-def write_summary(summary: dict, path: str | Path) -> None:
-    Path(path).write_text(json.dumps(summary, indent=2, ensure_ascii=False) + "\n", encoding="utf-8")
+def write(df: DataFrame, folder: str, order: list | None = None, splits: tuple[str, ...] | list[str] = S.SPLITS, observed: Observation | None = None, **counters: Column) -> None:
+    """One file {split}.jsonl a split with compact lines in the given order, null fields too, on any file system of the session.
+
+    All splits are sorted and written by one job, whose committer leaves no part of a lost task; the parts of a split are
+    then joined in their order beside the file and renamed once, so a file is there whole or not at all. counters are
+    observed on the rows as they are written."""
+    spark = df.sparkSession
+    parts = f"{folder.rstrip('/')}/_parts-{uuid.uuid4().hex}"
+    wanted = df.where(F.col("split").isin(list(splits))).withColumn("_split", F.col("split"))
+    rows = wanted.orderBy("_split", *(order or []))
+    rows = rows.observe(observed, *[c.alias(n) for n, c in counters.items()]) if observed is not None else rows
+    try:
+        rows.select(*S.CHUNK_COLUMNS, "_split").write.partitionBy("_split").option("ignoreNullFields", "false").json(parts)
+        for split in splits:
+            joined(spark, f"{parts}/_split={split}", f"{folder.rstrip('/')}/{split}.jsonl")
+    finally:
+        path, fs = located(spark, parts)
+        fs.delete(path, True)
+
+
+def located(spark: SparkSession, path: str) -> tuple:
+    """A path and its file system, as the session's Hadoop configuration has them."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def replaced(spark: SparkSession, target: str, fill: Callable) -> None:
+    """A file that fill(stream, file system) writes, under another name until it is whole."""
+    path, fs = located(spark, target)
+    fresh, _ = located(spark, f"{target}.{uuid.uuid4().hex}.tmp")
+    try:
+        stream = fs.create(fresh, True)
+        try:
+            fill(stream, fs)
+        finally:
+            stream.close()
+        fs.delete(path, True)
+        if not fs.rename(fresh, path):
+            raise OSError(f"{target} could not be renamed into place")
+    finally:
+        fs.delete(fresh, False)
+
+
+def joined(spark: SparkSession, parts: str, target: str) -> None:
+    """The part files of a folder, in the order of their names, as one file; none or no folder give an empty file."""
+    folder, fs = located(spark, parts)
+    files = sorted((f.getPath() for f in fs.listStatus(folder)), key=lambda p: p.getName()) if fs.exists(folder) else []
+
+    def fill(stream, fs) -> None:
+        for f in files:
+            source = fs.open(f)
+            try:
+                spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, stream, 1 << 20, False)
+            finally:
+                source.close()
+
+    replaced(spark, target, fill)
+
+
+def write_summary(spark: SparkSession, summary: dict, path: str) -> None:
+    text = json.dumps(summary, indent=2, ensure_ascii=False) + "\n"
+    replaced(spark, path, lambda stream, _: stream.write(bytearray(text.encode("utf-8"))))

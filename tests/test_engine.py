@@ -5,6 +5,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from lodestone import schema as S
@@ -494,7 +495,8 @@ def test_prepare(spark, tmp_path):
     assert (summary["records_after_deduplication"], summary["same_label_duplicates_removed"], summary["cross_label_conflicts_removed"], summary["balanced"]) == (9, 0, 1, True)
     back = jsonl.read(spark, f"{tmp_path}/out/train.jsonl")
     assert back.count() == 8 and json.loads((tmp_path / "out" / "summary.json").read_text()) == summary
-    line = next(open(next((tmp_path / "out" / "train.jsonl").glob("part-*")), encoding="utf-8"))
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")) == ["summary.json", "train.jsonl"]
+    line = (tmp_path / "out" / "train.jsonl").read_text(encoding="utf-8").splitlines()[0]
     assert list(json.loads(line)) == list(S.CHUNK_COLUMNS) and json.loads(line)["revision"] is None
     assert jsonl.quarantine(back.withColumn("label", F.lit(3))).count() == 8
     assert final.count() == 8
@@ -506,12 +508,31 @@ def test_order_without_balance(spark, tmp_path):
     for folder in ("a", "a-b"):
         (root / folder).mkdir(parents=True)
         (root / folder / "x.py").write_text("".join(f"value_{folder[-1]}_{i} = {i} + 100000000000000000000000000\n" for i in range(120)))
-    prepare.prepare(spark, {"train": {"sources": [source("h")]}}, {"h": str(root)}, str(tmp_path / "out"), balance=False, max_chars=200)
-    one = jsonl.joined(tmp_path / "out", "train")
+    prepare.prepare(spark, {"train": {"sources": [source("h")]}}, {"h": str(root)}, f"file:{tmp_path}/out", balance=False, max_chars=200)
+    one = tmp_path / "out" / "train.jsonl"
     rows = [json.loads(x) for x in one.read_text(encoding="utf-8").splitlines()]
     assert one.is_file() and [(r["path"], r["chunk_index"]) for r in rows] == [(p, i) for p in ("a/x.py", "a-b/x.py") for i in range(len(rows) // 2)] and len(rows) > 40
 
 
+def test_one_file_a_split(spark, tmp_path):
+    """In order over many parts, by any URI; a write that fails leaves the files as they were."""
+    columns = {c: F.lit(None).cast("string") for c in S.CHUNK_COLUMNS} | {"split": F.when(F.col("id") % 3 == 0, "test").otherwise("train"), "chunk_index": F.col("id")}
+    df = spark.range(5000).repartition(7).select("id", *[c.alias(n) for n, c in columns.items() if n != "id"])
+    for out in (str(tmp_path / "a"), f"file:{tmp_path}/b", f"file://{tmp_path}/c"):
+        seen = Observation()
+        jsonl.write(df, out, ["chunk_index"], ("train", "test", "validation"), seen, n=F.count("*"), low=F.min("chunk_index"))
+        folder = tmp_path / out[-1]
+        ids = {s: [json.loads(x)["chunk_index"] for x in (folder / f"{s}.jsonl").read_text().splitlines()] for s in S.SPLITS}
+        assert ids == {"train": [i for i in range(5000) if i % 3], "test": list(range(0, 5000, 3)), "validation": []} and seen.get == {"n": 5000, "low": 0}
+        jsonl.write_summary(spark, {"é": 1}, f"{out}/summary.json")
+        assert json.loads((folder / "summary.json").read_text(encoding="utf-8")) == {"é": 1}
+    broken = df.withColumn("text", F.when(F.col("id") == 4000, F.raise_error(F.lit("lost"))).otherwise(F.lit("x")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        jsonl.write(broken, str(tmp_path / "a"), ["chunk_index"])
+    assert sorted(p.name for p in (tmp_path / "a").iterdir() if not p.name.startswith(".")) == ["summary.json", "test.jsonl", "train.jsonl", "validation.jsonl"]
+    assert len((tmp_path / "a/train.jsonl").read_text().splitlines()) == len([i for i in range(5000) if i % 3])
+
+
 def test_bad_lines_are_located(spark, tmp_path):
     good = json.dumps({"text": "t", "label": 0, "language": "c"})
     bad = ["{", json.dumps({"text": "t", "label": 2, "language": "c"}), json.dumps({"text": "t", "label": 1, "language": ""}), json.dumps({"label": 1, "language": "c"})]

@@ -1,15 +1,17 @@
 """Trees as tables: the code_tree source and the frontier listing against plain walks."""
 
+import io
 import os
 import random
+import tarfile
 
 import pytest
+from pyspark.sql import datasource as D
+from pyspark.sql import functions as F
 
 from lodestone import schema as S
 from lodestone.functions import paths as P
-from lodestone.sources import code_tree, frontier, tree
-
-from pyspark.sql import functions as F
+from lodestone.sources import archives, code_tree, frontier, ingest, tree
 
 
 def grown(root, seed, links=False, n=60):
@@ -48,6 +50,10 @@ def plain_files(root, include=(), exclude=()):
     return out
 
 
+def explained(df):
+    return df._jdf.queryExecution().explainString(df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
 @pytest.mark.parametrize("partitions", [1, 5, 500])
 def test_code_tree_equals_a_plain_walk(spark, tmp_path, partitions):
     roots = {f"s{i}": grown(tmp_path / str(i), i, links=True, n=120) for i in range(4)}
@@ -65,7 +71,7 @@ def test_pushed_filters(spark, tmp_path):
     every = code_tree.code_tree(spark, roots).cache()
     for where in ("language IS NOT NULL AND size <= 100", "name = 'a.py'", "path LIKE 'src/%' AND suffix IN ('.py', '.go')", "source_id = 's1' AND NOT name = 'a.py'", "size > 5 AND size < 500 AND name LIKE '%.PY'", "language IS NULL", "path IN ('a.py', 'lib/a.py')", "path LIKE 'src/de%'"):
         df = code_tree.code_tree(spark, roots, where=where)
-        plan = df._jdf.queryExecution().explainString(df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        plan = explained(df)
         assert "PushedFilters: [" in plan and "PushedFilters: []" not in plan
         rows = lambda x: sorted((r["source_id"], r["path"], r["size"]) for r in x.collect())
         assert rows(df) == rows(every.where(where)), where
@@ -80,8 +86,6 @@ def test_filters_decide_before_files_are_opened(tmp_path, monkeypatch):
     (tmp_path / "src" / "big.py").write_text("x" * 99)
     t = code_tree.Tree({"s": str(tmp_path)}, {}, {"s": ["src/skip"]}, [])
     reader = code_tree.PushingReader(t, 1, True)
-    from pyspark.sql import datasource as D
-
     odd = D.EqualTo(("content",), b"x")
     assert list(reader.pushFilters([D.StringStartsWith(("path",), "src/"), odd, D.LessThan(("size",), 50)])) == [odd]
     entered, opened, scan, read = [], [], os.scandir, code_tree.read
@@ -146,3 +150,71 @@ def test_a_root_that_cannot_be_listed_is_an_error(spark, tmp_path):
     (tmp_path / "vendor").mkdir()
     with pytest.raises(tree.AccessError):
         frontier.listed(spark, {"a": tree.MapAccessor({"x": "y"}), "b": tree.MapAccessor({})})
+
+
+# --- archives ------------------------------------------------------------------------------------------
+def packed(folder, archive, mode, top="top-1"):
+    with tarfile.open(archive, mode) as tar:
+        tar.add(folder, arcname=top)
+    return str(archive)
+
+
+@pytest.mark.parametrize(("suffix", "mode"), [("tar.gz", "w:gz"), ("tar", "w"), ("tar.xz", "w:xz")])
+def test_archives_equal_unpacking_and_listing(spark, tmp_path, suffix, mode):
+    include, exclude, files, folders = {"s1": ["src", "lib"]}, {"s0": ["src"], "s1": ["src/a.py"]}, {}, {}
+    for i in range(3):
+        root = grown(tmp_path / f"t{i}", 30 + i, links=True, n=90)
+        files[f"s{i}"] = packed(root, tmp_path / f"{i}.{suffix}", mode)
+        folders[f"s{i}"] = str(ingest.unpack(files[f"s{i}"], tmp_path / f"out{i}", include.get(f"s{i}"), exclude.get(f"s{i}")))
+    rows = lambda df: sorted((r["source_id"], r["path"], r["language"], r["size"], bytes(r["content"])) for r in df.collect())
+    want = code_tree.code_tree(spark, folders)
+    got = code_tree.code_tree(spark, files, include, exclude, format="tar_files")
+    assert rows(got) == rows(want) and want.count() > 40
+    where = "language IS NOT NULL AND size <= 100"
+    small = code_tree.code_tree(spark, files, include, exclude, where, format="tar_files")
+    assert rows(small) == rows(want.where(where)) and "LessThanOrEqual(size,100)" in explained(small)
+    assert code_tree.code_tree(spark, {k: "file://" + v for k, v in files.items()}, content=False, format="tar_files").where("source_id = 's2'").count() == sum(r["source_id"] == "s2" for r in want.collect())
+
+
+def test_bodies_that_are_left_out_are_not_read(tmp_path):
+    (tmp_path / "t/node_modules").mkdir(parents=True)
+    for name in ("node_modules/x.js", "big.py"):
+        (tmp_path / "t" / name).write_bytes(b"z" * 3_000_000)
+    (tmp_path / "t/a.py").write_bytes(b"x = 1")
+    path = packed(tmp_path / "t", tmp_path / "a.tar", "w")
+
+    class Counted(io.FileIO):
+        taken = 0
+
+        def read(self, n=-1):
+            got = super().read(n)
+            Counted.taken += len(got)
+            return got
+
+        def readinto(self, b):
+            got = super().readinto(b)
+            Counted.taken += got
+            return got
+
+    reader = archives.PushingTarReader(code_tree.Tree({"s": path}, {}, {}, [D.LessThan(("size",), 100)]), 1, True)
+    kept, archives.opened = archives.opened, lambda uri: Counted(uri)
+    try:
+        rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    finally:
+        archives.opened = kept
+    assert [(r["path"], r["content"]) for r in rows] == [("a.py", b"x = 1")] and Counted.taken < 50_000
+
+
+def test_archives_that_are_not_as_expected(spark, tmp_path):
+    with tarfile.open(tmp_path / "two.tar", "w") as tar:
+        for name in ("a/x.py", "b/y.py"):
+            tar.addfile(tarfile.TarInfo(name))
+    with tarfile.open(tmp_path / "odd.tar", "w") as tar:
+        for name in ("top/../../etc.py", "top/ok.py"):
+            tar.addfile(tarfile.TarInfo(name))
+        link = tarfile.TarInfo("top/link.py")
+        link.type, link.linkname = tarfile.SYMTYPE, "ok.py"
+        tar.addfile(link)
+    with pytest.raises(Exception, match="one top folder"):
+        code_tree.code_tree(spark, {"s": str(tmp_path / "two.tar")}, format="tar_files").collect()
+    assert [(r["path"], bytes(r["content"])) for r in code_tree.code_tree(spark, {"s": str(tmp_path / "odd.tar")}, format="tar_files").collect()] == [("ok.py", b"")]
