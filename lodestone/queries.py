@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from . import schema as S
 from .functions import paths as P
 from .functions import scores as K
+from .functions import tables
 from .functions import text as T
 from .operators import corpus as C
 from .operators import estimate as E
@@ -112,6 +113,16 @@ def chunk_documents_short(spark, sf):
     return chunk_rows(spark, sf, 700)
 
 
+@query(SQL["chunk_documents_short"])
+def chunk_code_sql(spark, sf):
+    """The chunks of chunk_documents_short by SQL text over the table function chunk_code."""
+    tables.register(spark)
+    documents(spark, sf).createOrReplaceTempView("lodestone_documents")
+    c = spark.sql("SELECT doc_id, chunk_index, chunk AS text, sha2(chunk, 256) AS text_sha256 FROM lodestone_documents, LATERAL chunk_code(text, 700)").where(T.stripped_length("text") >= S.MIN_CHARS)
+    path = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
+    return c.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "text_sha256", T.digest(F.lit("docs"), path, "chunk_index", "text_sha256").alias("id"), F.length("text").cast("long").alias("n"))
+
+
 BROKEN_SQL = "(SELECT doc_id, replace(text, '. ', '.' || chr(CASE doc_id % 5 WHEN 0 THEN 12 WHEN 1 THEN 133 WHEN 2 THEN 8232 WHEN 3 THEN 11 ELSE 10 END)) AS text FROM documents)"
 
 
@@ -238,6 +249,15 @@ def token_windows(spark, sf):
     return doc_windows(spark, sf).select("doc_id", F.col("window_index").cast("long").alias("window_index"), F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_md5"))
 
 
+@query(SQL["token_windows"])
+def token_windows_sql(spark, sf):
+    """token_windows by SQL text over the table function of that name."""
+    tables.register(spark)
+    documents(spark, sf).select("doc_id", W.words(F.col("text")).alias("ids")).createOrReplaceTempView("lodestone_tokens")
+    w = spark.sql("SELECT t.doc_id, w.window_index, w.ids FROM lodestone_tokens t, LATERAL token_windows(t.ids, 128, 16) w")
+    return w.select("doc_id", F.col("window_index").cast("long").alias("window_index"), F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_md5"))
+
+
 @query(f"""WITH {WINDOWS_SQL}, c AS (SELECT doc_id, count(*) AS n_windows FROM w GROUP BY 1) SELECT doc_id, n_windows, round((SELECT avg(n_windows) FROM c) / n_windows, 9) AS sample_weight FROM c""")
 def window_weights(spark, sf):
     counts = W.window_counts(documents(spark, sf), "doc_id", F.regexp_count("text", F.lit(W.WORD)), 128, 16)
