@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,21 +75,65 @@ def read(candidates: DataFrame, accessor: Accessor, max_chars: int = S.SCAN_READ
     return candidates.select("repo", "step", "path").mapInArrow(run, "repo string, step int, text string")
 
 
-def analyze(spark: SparkSession, accessor: Accessor, config: estimate.Sampling = estimate.Sampling(), seed: int = 0, score: Callable[[DataFrame], DataFrame] = scored_steps, max_bytes: int = S.SCAN_FILE_BYTES, max_files: int = S.SCAN_MAX_FILES, on_progress: Callable[[dict], bool | None] | None = None, block: int = FIRST_BLOCK) -> dict:
+@contextmanager
+def interruptible(spark: SparkSession, cancelled: Callable[[], bool] | None, poll: float = 0.1) -> Iterator[None]:
+    """Jobs of this thread inside the block end, with an exception, soon after cancelled() is true: they have a tag of their own,
+    which a watching thread cancels (a session's interruptTag knows only tags of its own thread)."""
+    sc = spark.sparkContext
+    if cancelled is None:
+        yield
+        return
+    tag, done = f"scan-{uuid.uuid4().hex}", threading.Event()
+
+    def watch() -> None:
+        while not done.wait(poll):
+            if cancelled():
+                sc.cancelJobsWithTag(tag)  # again at each poll: a job may have begun after the last
+
+    watcher = threading.Thread(target=watch, daemon=True)
+    sc.addJobTag(tag)
+    sc.setInterruptOnCancel(True)
+    watcher.start()
+    try:
+        yield
+    finally:
+        done.set()
+        watcher.join()
+        sc.setInterruptOnCancel(False)
+        sc.removeJobTag(tag)
+
+
+def analyze(spark: SparkSession, accessor: Accessor, config: estimate.Sampling = estimate.Sampling(), seed: int = 0, score: Callable[[DataFrame], DataFrame] = scored_steps, max_bytes: int = S.SCAN_FILE_BYTES, max_files: int = S.SCAN_MAX_FILES, on_progress: Callable[[dict], bool | None] | None = None, block: int = FIRST_BLOCK, cancelled: Callable[[], bool] | None = None) -> dict:
     """Statistics of one repository. Files are read and scored in tasks, in the seeded order, a block at a time; only the
     blocks' step rows (numbers) reach the driver, which goes through them file by file and stops where the estimate does.
 
-    on_progress gets the statistics after the selection and after each file; a false return cancels there."""
+    on_progress gets the statistics after the selection and after each file; a false return cancels there. cancelled (by
+    default on_progress's attribute of that name) is asked while jobs run, and ends them: what is then known is returned."""
+    cancelled = cancelled or getattr(on_progress, "cancelled", None)
+    stats, s = dict(NOTHING), begin(0)
+    try:
+        with interruptible(spark, cancelled):
+            for stats, s in walk_through(spark, accessor, config, seed, score, max_bytes, max_files, block):
+                if on_progress is not None and on_progress(stats | report(s)) is False and s["stop"] is None:
+                    return stats | report(s) | {"stop_reason": "cancelled"}
+    except Exception:
+        if cancelled is None or not cancelled():
+            raise
+        return stats | report(s) | {"stop_reason": "cancelled"}
+    return stats | report(s) | ({} if s["total"] else {"stop_reason": "all_files_scanned"})
+
+
+def walk_through(spark: SparkSession, accessor: Accessor, config: estimate.Sampling, seed: int, score: Callable[[DataFrame], DataFrame], max_bytes: int, max_files: int, block: int) -> Iterator[tuple[dict, dict]]:
+    """The selection's counters and the running state, after the selection and after each file up to the stop."""
     listed = entries(spark, accessor, prune=lambda n: n.startswith(".") or n in S.SCAN_DIRECTORIES).cache()
+    ordered = None
     try:
         found = selection.selection_stats(listed, max_bytes, max_files).drop("repo").first()
-        stats = found.asDict() if found else NOTHING
+        stats = found.asDict() if found else dict(NOTHING)
         s = begin(stats["files_selected"])
-        told = lambda: on_progress is None or on_progress(stats | report(s)) is not False
-        if not told():
-            return stats | report(s) | {"stop_reason": "cancelled"}
+        yield stats, s
         if not s["total"]:
-            return stats | report(s) | {"stop_reason": "all_files_scanned"}
+            return
         ordered = sampling.sampled(selection.candidates(listed, max_bytes=max_bytes, max_files=max_files), seed).cache()
         tasks = spark.sparkContext.defaultParallelism
         low, high = 0, block
@@ -94,14 +141,13 @@ def analyze(spark: SparkSession, accessor: Accessor, config: estimate.Sampling =
             here = ordered.where((F.col("step") > low) & (F.col("step") <= high)).repartition(tasks)
             for row in sorted(score(read(here, accessor)).select(*STEP).collect(), key=lambda r: r["step"]):  # at most max_files rows of numbers
                 advance(s, row.asDict(), config)
-                if not told() and s["stop"] is None:
-                    s["stop"] = "cancelled"
+                yield stats, s
                 if s["stop"]:
-                    break
+                    return
             low, high = high, high * 2
-        ordered.unpersist()
-        return stats | report(s)
     finally:
+        if ordered is not None:
+            ordered.unpersist()
         listed.unpersist()
 
 

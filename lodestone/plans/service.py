@@ -90,7 +90,7 @@ def streamed(body: bytes, open_: Callable[[str, str | None], Accessor], estimate
     may be left out for a slow reader, never the newest), then one complete or one error; comments while nothing happens.
 
     open_ makes the accessor, whose errors still have a status; estimate(accessor, on_progress) runs beside the reader and
-    is cancelled (on_progress gives False) once the reader closes the events."""
+    is cancelled (on_progress gives False, on_progress.cancelled() True) once the reader closes the events."""
     data = request("POST", "/github-stream", body)
     if isinstance(data, tuple):
         return data
@@ -112,6 +112,8 @@ def streamed(body: bytes, open_: Callable[[str, str | None], Accessor], estimate
                 waiting.put(("progress", stats))
             return not closed.is_set()
 
+        told.cancelled = closed.is_set
+
         def work() -> None:
             try:
                 last = ("complete", estimate(accessor, told))
