@@ -340,18 +340,16 @@ def values_sql(xs) -> str:
     return "[" + ", ".join("'" + x + "'" for x in xs) + "]"
 
 
-TREE_SQL = f"""tree AS (SELECT source AS repo, list_extract({values_sql(TREE_DIRS)}, CAST(doc_id // 3 % 10 + 1 AS INTEGER)) || 'f' || doc_id || '_' || list_extract({values_sql(TREE_NAMES)}, CAST(doc_id % 14 + 1 AS INTEGER)) AS path, n_chars * 700 AS size FROM documents WHERE doc_id % 14 NOT IN (3, 6, 10, 12)
- UNION ALL SELECT source, list_extract({values_sql(TREE_DIRS)}, CAST(doc_id // 3 % 10 + 1 AS INTEGER)) || list_extract({values_sql(TREE_NAMES)}, CAST(doc_id % 14 + 1 AS INTEGER)), n_chars * 700 FROM documents WHERE doc_id IN (SELECT min(doc_id) FROM documents WHERE doc_id % 14 IN (3, 6, 10, 12) GROUP BY source, doc_id // 3 % 10, doc_id % 14))"""
+TREE_SQL = f"""tree AS (SELECT source AS repo, list_extract({values_sql(TREE_DIRS)}, CAST(doc_id // 3 % 10 + 1 AS INTEGER)) || CASE WHEN doc_id % 14 IN (3, 6, 10, 12) THEN 'o' || doc_id || '/' ELSE 'f' || doc_id || '_' END || list_extract({values_sql(TREE_NAMES)}, CAST(doc_id % 14 + 1 AS INTEGER)) AS path, n_chars * 700 AS size FROM documents)"""
 
 
 def tree_files(spark, sf):
     d, k = documents(spark, sf), F.col("doc_id")
     folder = F.element_at(F.array(*map(F.lit, TREE_DIRS)), (F.floor(k / 3) % 10 + 1).cast("int"))
     name = F.element_at(F.array(*map(F.lit, TREE_NAMES)), (k % 14 + 1).cast("int"))
-    odd = (k % 14).isin(3, 6, 10, 12)
-    plain = d.where(~odd).select(F.col("source").alias("repo"), F.concat(folder, F.lit("f"), k.cast("string"), F.lit("_"), name).alias("path"), (F.col("n_chars") * 700).alias("size"))
-    firsts = d.where(odd).groupBy("source", F.floor(k / 3) % 10, k % 14).agg(F.min(F.struct("doc_id", "n_chars")).alias("m")).select("source", "m.*")
-    return plain.unionByName(firsts.select(F.col("source").alias("repo"), F.concat(folder, name).alias("path"), (F.col("n_chars") * 700).alias("size")))
+    # names that have no room for a number of their own lie in a folder of their own
+    own = F.when((k % 14).isin(3, 6, 10, 12), F.format_string("o%d/", k)).otherwise(F.format_string("f%d_", k))
+    return d.select(F.col("source").alias("repo"), F.concat(folder, own, name).alias("path"), (F.col("n_chars") * 700).alias("size"))
 
 
 def tree_entries(spark, sf):
