@@ -103,8 +103,7 @@ def counted(packed: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 class Trie:
     """A block's trie. Phrases that lie in the first `skip` tokens are not counted: the part before has them."""
 
-    def __init__(self, lang: bytes, words: list[bytes], skip: int):
-        enc = pa.array(words, pa.binary()).dictionary_encode()
+    def __init__(self, lang: bytes, enc: pa.DictionaryArray, skip: int):
         order = pc.sort_indices(enc.dictionary)
         rank = np.empty(len(order), np.int64)
         rank[order.to_numpy()] = np.arange(len(order))
@@ -155,14 +154,18 @@ class Trie:
         return out
 
 
-def blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[bytes, list[bytes], int]]:
-    """(language, tokens, tokens to skip). Texts of a language are put together up to `most` bytes, of all languages up to four times as many."""
+def encoded(words: list[bytes]) -> pa.DictionaryArray:
+    return pa.array(words, pa.binary()).dictionary_encode()
+
+
+def blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[bytes, pa.DictionaryArray, int]]:
+    """(language, encoded tokens, tokens to skip); the tokens themselves are let go before the trie is built. Texts of a language are put together up to `most` bytes, of all languages up to four times as many."""
     held: dict[bytes, list[bytes]] = {}
     size: dict[bytes, int] = {}
 
-    def out(lang: bytes) -> tuple[bytes, list[bytes], int]:
+    def out(lang: bytes) -> tuple[bytes, pa.DictionaryArray, int]:
         size.pop(lang)
-        return lang, tokens(STOP.join(held.pop(lang)) + STOP), 0
+        return lang, encoded(tokens(STOP.join(held.pop(lang)) + STOP)), 0
 
     for b in batches:
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
@@ -170,10 +173,11 @@ def blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[bytes
             if len(text) > most:
                 tail: list[bytes] = []
                 for p in parts(text, most):
-                    words = tail + tokens(p)
-                    if words:
-                        yield lang, words, len(tail)
-                    tail = words[1 - DEPTH :]
+                    skip, words = len(tail), tail + tokens(p)
+                    tail, enc = words[1 - DEPTH :], encoded(words)
+                    del words
+                    if len(enc):
+                        yield lang, enc, skip
                 continue
             held.setdefault(lang, []).append(text)
             size[lang] = size.get(lang, 0) + len(text) + 1
@@ -193,8 +197,8 @@ def tries(docs: DataFrame, name: str, most: int, *bitmaps: Bitmap) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [Bitmap(s.value) for s in shared]
-        for lang, words, skip in blocks(batches, most):
-            for path, n in getattr(Trie(lang, words, skip), name)(*known):
+        for lang, enc, skip in blocks(batches, most):
+            for path, n in getattr(Trie(lang, enc, skip), name)(*known):
                 rows = pa.RecordBatch.from_arrays([path, pa.array(n, pa.int64())], ["path", "n"]).filter(pa.array(n > 0))
                 for i in range(0, rows.num_rows, 1 << 16):
                     yield rows.slice(i, 1 << 16)
