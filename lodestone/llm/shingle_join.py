@@ -342,7 +342,8 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     component_id is the smallest doc_id reachable by links; rows without shingles stand alone."""
     with scratch(docs.sparkSession) as keep:
         nodes = stored(members(docs), "members")
-        sets = stored(sets_of(docs, alive(docs, nodes, percent)), "sets")
+        kept = stored(alive(docs, nodes, percent), "alive")  # the counting's shuffle is gone before texts are shuffled
+        sets = stored(sets_of(docs, kept), "sets")
         comp = linked_components(indexed(sets, percent), sets, percent)
         named = nodes.join(comp, "node", "left").select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("comp"))
         full = named.where("n_shingles > 0")

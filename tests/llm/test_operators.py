@@ -966,6 +966,22 @@ def test_stored_folders_go_unless_kept(spark):
     assert common.size_bound(wide) >= 8 * 3 + 100 and common.size_bound(wide.limit(0)) == 0
 
 
+def test_stored_leaves_no_shuffle_files(spark):
+    import time
+
+    from lodestone.llm import common
+
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", blocks.getAllFiles().mkString(" ")))
+    before, setting = held(), spark.conf.get(key := "spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    out = common.stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    end = time.time() + 20
+    while held() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not held() - before and out.count() == 7
+    assert spark.conf.get(key, None) == setting
+
+
 # pipeline --------------------------------------------------------------------------------------------
 def test_pipeline_against_brute_force(spark):
     """Every stage on its own input, at sf0.001: decisions and texts from plain Python."""
