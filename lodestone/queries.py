@@ -511,7 +511,7 @@ def repo_stats(spark, sf):
 @query(SQL["repo_stats"])
 def progress_stream(spark, sf):
     """repo_stats by the stream: steps are replayed in micro-batches, and each repository's last progress is what remains."""
-    last = progress.last_progress(replay.replayed(scan_steps(spark, sf), 128))
+    last = progress.last_progress(replay.replayed(scan_steps(spark, sf), 128, most=1 << 16))
     return last.select("repo", F.col("step").cast("long").alias("step"), *COUNTS, *[r9(F.col(c)).alias(c) for c in ROUNDED], "stop_reason")
 
 

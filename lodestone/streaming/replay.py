@@ -27,19 +27,23 @@ class Range(D.InputPartition):
 class StepStream(D.DataSourceStreamReader):
     """Offsets are steps: a micro-batch takes the next `per_batch` steps up to `last`, as `tasks` partitions.
 
+    With `most`, a micro-batch takes as many steps as all before it, `per_batch` at least and `most` at most: a long
+    repository then needs few micro-batches, each of which costs a fixed time and a look through all rows.
+
     Spark asks for the latest offset without saying where the stream is, so the place is kept here, and for runs that go
     on from a checkpoint in the file `place` (any store that Arrow reads), which commits write. It is a batch behind
     at most, so a run that goes on first finds nothing new and then the next steps."""
 
-    def __init__(self, last: int, per_batch: int, tasks: int, place: str | None = None):
-        self.last, self.per_batch, self.tasks, self.place = last, per_batch, tasks, place
+    def __init__(self, last: int, per_batch: int, tasks: int, place: str | None = None, most: int | None = None):
+        self.last, self.per_batch, self.tasks, self.place, self.most = last, per_batch, tasks, place, most or per_batch
         self.at: int | None = None
 
     def initialOffset(self) -> dict:
         return {"step": 0}
 
     def latestOffset(self) -> dict:
-        self.at = min(self.last, (self._committed() if self.at is None else self.at) + self.per_batch)
+        at = self._committed() if self.at is None else self.at
+        self.at = min(self.last, at + max(self.per_batch, min(at, self.most)))
         return {"step": self.at}
 
     def _committed(self) -> int:
@@ -68,7 +72,7 @@ class StepStream(D.DataSourceStreamReader):
 
 
 class Steps(D.DataSource):
-    """The data source `steps`: the numbers 1 to `last` as a stream, `per_batch` (64) at a time by `tasks` (1), and the file `place`."""
+    """The data source `steps`: the numbers 1 to `last` as a stream, `per_batch` (64) at a time by `tasks` (1), growing up to `most` (`per_batch`), and the file `place`."""
 
     @classmethod
     def name(cls) -> str:
@@ -79,13 +83,14 @@ class Steps(D.DataSource):
 
     def streamReader(self, schema) -> StepStream:
         o = self.options
-        return StepStream(int(o["last"]), int(o.get("per_batch", "64")), int(o.get("tasks", "1")), o.get("place"))
+        return StepStream(int(o["last"]), int(o.get("per_batch", "64")), int(o.get("tasks", "1")), o.get("place"), int(o["most"]) if "most" in o else None)
 
 
-def replayed(steps: DataFrame, per_batch: int = 64, place: str | None = None) -> DataFrame:
-    """Step rows (repo, step, status, ...) as a stream of all repositories' steps in order, per_batch steps of each a micro-batch.
+def replayed(steps: DataFrame, per_batch: int = 64, place: str | None = None, most: int | None = None) -> DataFrame:
+    """Step rows (repo, step, status, ...) as a stream of all repositories' steps in order, per_batch steps of each a micro-batch,
+    growing up to most.
 
-    Only numbers stream; a micro-batch joins its steps with the checkpointed rows, so backpressure bounds what is read. place is
+    Only numbers stream; a micro-batch joins its steps with the checkpointed rows, so backpressure bounds what is taken. place is
     needed by streams that go on from a checkpoint."""
     spark: SparkSession = steps.sparkSession
     spark.dataSource.register(Steps)
@@ -93,5 +98,6 @@ def replayed(steps: DataFrame, per_batch: int = 64, place: str | None = None) ->
     rows = cut_lineage(steps.join(sizes, "repo").select(*[c.split()[0] for c in STEP.split(", ")]))
     last = rows.agg(F.max("step")).first()[0] or 0
     stream = spark.readStream.format("steps").option("last", str(last)).option("per_batch", str(per_batch))
+    stream = stream.option("most", str(most)) if most else stream
     stream = (stream.option("place", place) if place else stream).load()
-    return stream.join(rows, "step").select(rows.columns)
+    return F.broadcast(stream).join(rows, "step").select(rows.columns)  # at most a micro-batch's numbers, so the rows stay where they are

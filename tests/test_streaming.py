@@ -38,6 +38,24 @@ def test_offsets_are_steps_and_batches_are_bounded(tmp_path):
     assert [replay.StepStream(10, 4, 2, place).latestOffset()["step"] for _ in range(2)] == [8, 8]
 
 
+def test_batches_grow_with_the_steps(spark, tmp_path):
+    place = str(tmp_path / "place")
+    s, ends = replay.StepStream(1_000_000, 128, 1, place, 1 << 16), []
+    while not ends or ends[-1] < 1_000_000:
+        ends.append(s.latestOffset()["step"])
+    sizes = [b - a for a, b in zip([0, *ends], ends)]
+    assert len(ends) == 25 and max(sizes) == 1 << 16 and sizes[:4] == [128, 128, 256, 512]
+    s.commit({"step": ends[2]})  # a run that goes on meets the same ends
+    assert replay.StepStream(1_000_000, 128, 1, place, 1 << 16).latestOffset()["step"] == ends[3]
+    steps = spark.createDataFrame(made(9, repos=2, n=300), progress.STEP).drop("population")
+    got, sizes = replay.replayed(steps, 7, most=100), []
+    q = got.writeStream.foreachBatch(lambda b, n: sizes.append(b.count())).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sizes == [2 * n for n in (7, 7, 14, 28, 56, 100, 88)]
+    assert shown(progress.last_progress(got, CONFIG).collect()) == shown(E.repo_stats(steps, CONFIG).collect())
+
+
 def test_replay_equals_batch(spark, tmp_path):
     steps = spark.createDataFrame(made(3), progress.STEP).drop("population")
     want = shown(E.repo_stats(steps, CONFIG).collect())
