@@ -36,7 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, join_small, map_rows, quoted, scratch, stored, texts
+from .collocations import Bitmap, spread
+from .common import drop_stored, fresh, join_small, map_rows, quoted, scratch, stored, texts
 
 WORDS = 5
 PERCENT = 75
@@ -45,6 +46,7 @@ UNIVERSE = 0.34  # part of the token universe that step 1 counts
 STARS = 2
 FIRSTS = 16
 BITS = 16  # longs of a node's bitmap
+SLOTS = 1 << 25  # bits of a bitmap of ids
 M64 = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
 LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
@@ -159,27 +161,50 @@ def alive(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFram
     return sets.join(lonely, "node", "left").where(F.coalesce("lonely", F.lit(0)) <= F.col("n") - F.ceil(F.col("n") * percent / 100)).where(F.lit(100) * F.col("n") >= percent * (F.col("n") + 1)).select("node", "n", "doc_id")
 
 
-def sets_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """node, tokens (sorted array) of the kept nodes, from one holder's text each; the texts of null ids are made sets
-    first and then joined by node."""
+def bitmap(ids: DataFrame, size: int = SLOTS) -> Bitmap:
+    """The bitmap of the one long column of ids, null as 0. At most size / 64 rows of two numbers reach the driver."""
 
-    def make():
-        def step(x):
-            out = {"node": [], "tokens": []}
-            for k, t in zip(x["node"], x["text"], strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = spread(unsigned(b.column(0)), size)
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["slot", "bits"])
+
+    t = ids.mapInArrow(run, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(size // 64, np.uint64)
+    bits[t["slot"].to_numpy()] = t["bits"].to_numpy().view(np.uint64)
+    return Bitmap(bits)
+
+
+def unsigned(column: pa.Array) -> np.ndarray:
+    return column.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def sets_of(docs: DataFrame, kept: DataFrame, size: int = SLOTS) -> DataFrame:
+    """node, tokens (sorted array) of the kept nodes, from one holder's text each.
+
+    Texts are not shuffled: tasks know the holders' ids and the kept nodes by bitmaps, which miss none, and make the
+    sets of what they let through; a join by node drops the rest."""
+    spark = docs.sparkSession
+    shared = [spark.sparkContext.broadcast(bitmap(kept.select(c), size).bits) for c in ("doc_id", "node")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holders, nodes = (Bitmap(s.value) for s in shared)
+        seen: set[int] = set()  # of rows with equal sets one is enough, whichever
+        for b in batches:
+            held, names = [], []
+            for t in b.filter(pa.array(holders.has(unsigned(b.column("doc_id"))))).column("text").to_pylist():
                 s = shingles(t)
                 name = node_of(s)
-                if k is None or name == k:  # rows that share a doc_id have other texts
-                    out["node"].append(name)
-                    out["tokens"].append(s.view(np.int64).tolist())
-            return out
-
-        return step
+                if name not in seen and nodes.has(np.array([name], np.int64).view(np.uint64))[0]:
+                    seen.add(name)
+                    held.append(s)
+                    names.append(name)
+            if held:
+                ends = np.cumsum([0, *map(len, held)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.ListArray.from_arrays(ends, np.concatenate(held).view(np.int64))], ["node", "tokens"])
 
-    made = lambda body: map_rows(body.select("node", "text"), "node long, tokens array<long>", make)
-    known = made(texts(docs, "doc_id").join(kept.where("doc_id IS NOT NULL").select("doc_id", "node"), "doc_id"))
-    nameless = made(texts(docs.where("doc_id IS NULL")).withColumn("node", F.lit(None).cast("long"))).join(kept.where("doc_id IS NULL").select("node"), "node")
-    return known.unionByName(nameless).dropDuplicates(["node"])
+    made = texts(docs, "doc_id").mapInArrow(run, "node long, tokens array<long>")
+    return made.join(kept.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def levels(n: int, percent: int = PERCENT) -> list[int]:
@@ -216,6 +241,7 @@ def indexed(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     adaptive execution splits. A node's list is bounded by its own set."""
     rows = sets.select("node", F.explode("tokens").alias("token"))
     df = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token", F.least(F.col("df"), F.lit(RARE + 1)).cast("int").alias("df"))
+    df = stored(df, "counts")  # the counting's shuffle is gone before the rows are shuffled twice
     shared = rows.join(df, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
     listed = shared.select("node", F.col("shared.token").alias("shared"), F.size(F.filter("shared", lambda s: s["df"] <= RARE)).alias("rare"))
     sized = listed.join(sets.select("node", F.size("tokens").alias("n")), "node")
@@ -235,6 +261,7 @@ def indexed(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         return step
 
     made = stored(map_rows(sized.select("node", "n", "shared", "rare"), "signature long, node long, n int", make), "signatures")
+    drop_stored(df)
     twice = made.groupBy("signature").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("signature")
     return made.join(twice, "signature")
 

@@ -929,6 +929,46 @@ def test_keep_one_by_a_shuffled_join(spark, odd, monkeypatch):
     assert sorted(map(str, shingle_join.keep_one(odd).collect())) == want
 
 
+def test_the_join_shuffles_no_texts_and_counts_by_itself(spark, monkeypatch):
+    """With no broadcast, as on large tables: bytes of shuffle files of the step that makes sets, and of the index's steps."""
+    import os
+
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(300))) for i in range(600)]
+    rows += [(1000 + i, rows[i][1].upper() + " more") for i in range(30)] + [(None, rows[40][1] + " more"), (None, rows[40][1] + " more"), (0, rows[0][1]), (0, "another text of the id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def written(run):
+        files = lambda: set(re.findall(r"/[^ ,()]*shuffle_\d+_\d+_\d+\.data", blocks.getAllFiles().mkString(" ")))
+        before = files()
+        run()
+        return sum(os.path.getsize(f) for f in files() - before)
+
+    steps, stored = {}, shingle_join.stored
+
+    def measured(df, name):
+        steps[name] = written(lambda: df.write.format("noop").mode("overwrite").save())
+        return stored(df, name)
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = stored(docs, "docs")
+        kept = stored(shingle_join.alive(docs, stored(shingle_join.members(docs), "members")), "alive")
+        for size in (shingle_join.SLOTS, 64):  # few bits let nearly all through; the join drops it
+            got = {r["node"]: r["tokens"] for r in shingle_join.sets_of(docs, kept, size).collect()}
+            want = {shingle_join.node_of(t): t.view(np.int64).tolist() for t in (shingle_join.shingles(t) for _, t in rows)}
+            assert got == {k: want[k] for k in (r["node"] for r in kept.collect())} and len(got) >= 62
+        made = written(lambda: shingle_join.sets_of(docs, kept).write.format("noop").mode("overwrite").save())
+        assert made < 0.3 * sum(len(t) for _, t in rows)
+        sets = stored(shingle_join.sets_of(docs, kept), "sets")
+        monkeypatch.setattr(shingle_join, "stored", measured)
+        shingle_join.indexed(sets).count()
+        assert max(steps.values()) < 0.85 * sum(steps.values()), steps
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_signatures_share_whenever_sets_link():
     rng = random.Random(9)
     for _ in range(4000):
